@@ -24,12 +24,12 @@ def whole(c: Column, type_: str = "int") -> Column:
 
 
 def rounded(c: Column, digits: int = 0) -> Column:
-    """Round half to even, the rounding of the numeric Python stack."""
-    return F.bround(c, digits)
+    """Round half to even on the scaled double, the rounding of the numeric Python stack."""
+    return F.rint(c * F.lit(10.0**digits)) / F.lit(10.0**digits) if digits else F.rint(c)
 
 
 def rounded_int(c: Column) -> Column:
-    return F.bround(c, 0).cast("int")
+    return F.rint(c).cast("int")
 
 
 def lookup(key: Column, mapping: Mapping) -> Column:
@@ -44,7 +44,7 @@ def pick(values: Sequence, position: Column) -> Column:
 
 def percent_text(ratio: Column) -> Column:
     """``0.857`` -> ``86%``."""
-    return F.concat(F.bround(ratio * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+    return F.concat(F.rint(ratio * 100).cast("bigint").cast("string"), F.lit("%"))
 
 
 def season_of(month: Column) -> Column:

@@ -1,17 +1,17 @@
 """Exact quantiles that never hold one group's values in one place.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
-mergeable sketch brackets the wanted rank, round after round; each round leaves about
-0.6% of the rows strictly inside the bracket. Once at most ``limit`` rows are inside, the
+mergeable sketch brackets the wanted rank, round after round; each round leaves less
+than 1% of the rows strictly inside the bracket. Once at most ``limit`` rows are inside, the
 values between the bracket ends are counted exactly and ordered: at most ``limit + 2``
-distinct values per (group, column, rank), however often a value repeats.
+distinct values per (group, column, bracket), however often a value repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
@@ -19,13 +19,20 @@ LIMIT = 1_000_000
 # Marks per round. The sketch's rank error is a tenth of the distance between two marks.
 STEPS = 1000
 
+_BRACKET = "p double, n bigint, lo double, hi double, below bigint, interior bigint"
+_INF = float("inf")
+
+
+def _is_value(c: str):
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(by..., column, value)`` for the non-null values of numeric columns."""
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
     ])
-    return df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return df.select(*by, F.inline(pairs)).where(_is_value("value"))
 
 
 def exact_quantiles(
@@ -41,84 +48,75 @@ def exact_quantiles(
     ``by`` names keys with few values (weekday, season). Columns without values give no row.
     Brackets go through the driver: one row per (group, column, rank).
     """
-    spark = df.sparkSession
+    spark, limit = df.sparkSession, max(limit, STEPS)
     values = long_values(df, columns, by)
     keys = [*by, "column"]
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    inf = float("inf")
-
-    brackets = (
-        values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("p", F.explode(probs))
-        .select(
-            *keys, "p", "n",
-            F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"),
-            F.lit(0).cast("bigint").alias("below"), F.col("n").alias("interior"),
-        )
-    )
-    schema = brackets.schema
-    rows = brackets.collect()
-    done = [r for r in rows if r["interior"] <= limit]
-    wide = [r for r in rows if r["interior"] > limit]
+    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by) + f"column string, {_BRACKET}"
 
+    sizes = df.groupBy(*by).agg(*[F.count_if(_is_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()
+    brackets = [
+        Row(**{b: r[b] for b in by}, column=c, p=float(p), n=r[f"n{i}"], lo=-_INF, hi=_INF, below=0, interior=r[f"n{i}"])
+        for r in sizes for i, c in enumerate(columns) if r[f"n{i}"] for p in probabilities
+    ]
+    done = [b for b in brackets if b["interior"] <= limit]
+    wide = [b for b in brackets if b["interior"] > limit]
     while wide:
-        rank_keys = [*keys, "p"]
-        current = spark.createDataFrame(wide, schema)
-        inside = values.join(current, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
-        # Rank of the wanted value among the rows inside the bracket, as a share.
-        share = (F.col("p") * (F.col("n") - 1) - F.col("below")) / F.col("m")
-        marks = [i / STEPS for i in range(STEPS + 1)]
-        grid = (
-            inside.groupBy(*rank_keys)
-            .agg(
-                *[F.first(c).alias(c) for c in ("n", "lo", "hi", "below")],
-                F.count(F.lit(1)).alias("m"),
-                F.percentile_approx("value", marks, accuracy).alias("marks"),
-            )
-            .withColumn("at", F.floor(share * STEPS).cast("int"))
-            .select(
-                *rank_keys, "n",
-                # The old end stays where the wanted rank is next to it.
-                F.when(F.col("at") > 1, F.try_element_at("marks", F.col("at") - 1))
-                .otherwise(F.col("lo")).alias("lo"),
-                F.when(F.col("at") < STEPS - 3, F.try_element_at("marks", F.col("at") + 4))
-                .otherwise(F.col("hi")).alias("hi"),
-            )
-        )
-        ends = spark.createDataFrame(grid.collect(), grid.schema)
-        narrowed = (
-            values.join(ends, keys)
-            .groupBy(*rank_keys)
-            .agg(
-                F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-                F.count_if(F.col("value") < F.col("lo")).alias("below"),
-                F.count_if((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).alias("interior"),
-            )
-        )
-        rows = narrowed.select(*schema.names).collect()
-        done += [r for r in rows if r["interior"] <= limit]
-        wide = [r for r in rows if r["interior"] > limit]
+        brackets = _narrowed(values, spark.createDataFrame(wide, schema), keys, accuracy, schema)
+        done += [b for b in brackets if b["interior"] <= limit]
+        wide = [b for b in brackets if b["interior"] > limit]
 
-    final = spark.createDataFrame(done, schema)
+    wanted = spark.createDataFrame(done, schema)
+    bracket = [*keys, "lo", "hi"]
+    ranges = spark.createDataFrame(
+        list({tuple(b[c] for c in bracket): b for b in done}.values()), schema).select(*bracket, "below")
     counts = (
-        values.join(final, keys)
-        .where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy(*keys, "p", "n", "below", "value").agg(F.count(F.lit(1)).alias("c"))
+        values.join(ranges, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
+        .groupBy(*bracket, "below", "value").agg(F.count(F.lit(1)).alias("c"))
     )
-    order = Window.partitionBy(*keys, "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*bracket).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     position = F.col("p") * (F.col("n") - 1)
-    reached = F.col("below") + F.sum("c").over(order)
+    part = F.first("position") - F.floor(F.first("position"))
     return (
-        counts.withColumn("reached", reached)
+        counts.select(*bracket, "value", (F.col("below") + F.sum("c").over(order)).alias("reached"))
+        .join(wanted.select(*bracket, "p", position.alias("position")), bracket)
         .groupBy(*keys, "p")
         .agg(
-            F.first(position).alias("position"),
-            F.min(F.when(F.col("reached") > F.floor(position), F.col("value"))).alias("a"),
-            F.min(F.when(F.col("reached") > F.ceil(position), F.col("value"))).alias("b"),
+            F.min(F.when(F.col("reached") > F.floor("position"), F.col("value"))).alias("a"),
+            F.min(F.when(F.col("reached") > F.ceil("position"), F.col("value"))).alias("b"),
+            part.alias("part"),
+        )
+        .select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+    )
+
+
+def _narrowed(values: DataFrame, wide: DataFrame, keys: list[str], accuracy: int, schema: str) -> list[Row]:
+    """One round: a tighter bracket around each wanted rank, and the rows below and inside it."""
+    spark, rank_keys = values.sparkSession, [*keys, "p"]
+    # Position of the wanted value among the rows inside the bracket, from 0. The marks next to
+    # it are left out, which covers the sketch's rank error.
+    position = F.col("p") * (F.col("n") - 1) - F.col("below")
+    first = (F.floor((position - 1) / F.col("m") * STEPS) - 1).cast("int")
+    last = (F.ceil((position + 2) / F.col("m") * STEPS) + 1).cast("int")
+    ends = (
+        values.join(wide, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
+        .groupBy(*rank_keys)
+        .agg(
+            *[F.first(c).alias(c) for c in ("n", "lo", "hi", "below")],
+            F.count(F.lit(1)).alias("m"),
+            F.percentile_approx("value", [i / STEPS for i in range(STEPS + 1)], accuracy).alias("marks"),
         )
         .select(
-            *keys, "p",
-            (F.col("a") + (F.col("b") - F.col("a")) * (F.col("position") - F.floor("position"))).alias("value"),
+            *rank_keys, "n",
+            # The old end stays where the wanted rank is next to it.
+            F.when(first > 0, F.try_element_at("marks", first + 1)).otherwise(F.col("lo")).alias("lo"),
+            F.when(last < STEPS, F.try_element_at("marks", last + 1)).otherwise(F.col("hi")).alias("hi"),
         )
     )
-
+    ends = spark.createDataFrame(ends.collect(), ends.schema)
+    x, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    return (
+        values.join(ends, keys)
+        .groupBy(*rank_keys, "n", "lo", "hi")
+        .agg(F.count_if(x < lo).alias("below"), F.count_if((x > lo) & (x < hi)).alias("interior"))
+        .select(*keys, "p", "n", "lo", "hi", "below", "interior").collect()
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bedwise.functions.columns import as_column
+from bedwise.functions.columns import as_column, rounded
 from bedwise.functions.labels import weekday_label
 from bedwise.functions.quantiles import exact_quantiles
 from bedwise.schema import numeric_columns
@@ -233,10 +233,10 @@ def coverage(df: DataFrame) -> DataFrame:
 
 def site_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("hospital_id").agg(
-        F.bround(F.avg("total_admissions"), 1).alias("admissions_mean"),
-        F.bround(F.stddev_samp("total_admissions"), 1).alias("admissions_std"),
-        F.bround(F.avg("emergency_admissions"), 1).alias("emergency_mean"),
-        F.bround(F.avg("available_beds"), 1).alias("beds_mean"),
+        rounded(F.avg("total_admissions"), 1).alias("admissions_mean"),
+        rounded(F.stddev_samp("total_admissions"), 1).alias("admissions_std"),
+        rounded(F.avg("emergency_admissions"), 1).alias("emergency_mean"),
+        rounded(F.avg("available_beds"), 1).alias("beds_mean"),
     )
 
 

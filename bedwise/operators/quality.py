@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bedwise.functions.columns import day_name_of
+from bedwise.functions.columns import day_name_of, rounded
 from bedwise.operators.aggregates import column_stats, correlations, rows_of
 from bedwise.schema import COUNT_COLUMNS, REQUIRED_COLUMNS, numeric_columns
 from bedwise.settings import CSV
@@ -152,10 +152,10 @@ def compare_with_reference(generated: DataFrame, reference: DataFrame, tolerance
     close = apart("g_mean", "r_mean") < F.lit(tolerance * 100)
     return new.join(old, "column").select(
         "column",
-        F.bround("g_mean", 2).alias("gen_mean"), F.bround("r_mean", 2).alias("ref_mean"),
-        F.bround(apart("g_mean", "r_mean"), 1).alias("mean_diff_pct"),
-        F.bround("g_std", 2).alias("gen_std"), F.bround("r_std", 2).alias("ref_std"),
-        F.bround(apart("g_std", "r_std"), 1).alias("std_diff_pct"),
+        rounded(F.col("g_mean"), 2).alias("gen_mean"), rounded(F.col("r_mean"), 2).alias("ref_mean"),
+        rounded(apart("g_mean", "r_mean"), 1).alias("mean_diff_pct"),
+        rounded(F.col("g_std"), 2).alias("gen_std"), rounded(F.col("r_std"), 2).alias("ref_std"),
+        rounded(apart("g_std", "r_std"), 1).alias("std_diff_pct"),
         F.when(close, "OK").otherwise("DRIFT").alias("status"),
     )
 

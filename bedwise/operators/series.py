@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bedwise.functions.columns import clip
+from bedwise.functions.columns import clip, rounded
 from bedwise.settings import MODEL
 
 
@@ -136,4 +136,4 @@ def stock_ledger(
         F.col("__days.__row").alias("row"),
         F.aggregate("__days", opening, fill, lambda acc: acc["levels"]).alias("level"),
     )))
-    return filled.select("row.*", F.bround("level", 1).alias(name))
+    return filled.select("row.*", rounded(F.col("level"), 1).alias(name))

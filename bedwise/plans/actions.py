@@ -86,7 +86,7 @@ def generate_recommendations(
             7, "DELAY_ELECTIVE", MEDIUM, "Envisager de reporter les interventions programmées")),
         (stock < F.lit(capacity.min_stock_pct), _rule(
             8, "STOCK_REPLENISH", F.when(stock < 40, HIGH).otherwise(MEDIUM),
-            F.concat(F.lit("Fournitures à "), F.bround(stock, 0).cast("int").cast("string"), F.lit("%")),
+            F.concat(F.lit("Fournitures à "), F.rint(stock).cast("int").cast("string"), F.lit("%")),
             F.lit(capacity.min_stock_pct) - stock + 20, "% stock")),
         (critical, _rule(9, "REDISTRIBUTE", HIGH, "Redistribuer les patients entre les services")),
     ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -66,8 +67,13 @@ def train_model(
         seed=MODEL.seed if seed is None else seed,
         featureSubsetStrategy="all", maxBins=max_bins,
     )
-    labelled = train.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
-    return Pipeline(stages=[*create_preprocessor(labelled, columns), forest]).fit(labelled.select(*columns, target))
+    labelled = train.where(F.col(target).isNotNull()).select(*columns, F.col(target).cast("double").alias(target))
+    # Fill values, category indexes and the forest read the same rows.
+    labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[*create_preprocessor(labelled, columns), forest]).fit(labelled)
+    finally:
+        labelled.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

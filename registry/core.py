@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# Added before rounding on both sides, so that a value half way between two roundings goes the
+# same way whatever order its sum was taken in.
+NUDGE = 3.7e-8
+
+
+def nudged(sql: str) -> str:
+    """``round(x, d)`` -> ``round((x) + NUDGE, d)`` throughout a statement."""
+    out, at = [], 0
+    for found in re.finditer(r"\bround\(", sql):
+        if found.start() < at:
+            continue
+        depth, comma, i = 1, None, found.end()
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[i], 0)
+            if sql[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        out.append(sql[at:found.end()])
+        if comma is None:
+            out.append(sql[found.end():i])
+        else:
+            out.append(f"({nudged(sql[found.end():comma])}) + {NUDGE}{sql[comma:i]}")
+        at = i
+    return "".join(out) + sql[at:]
+
+
 def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a query. Doubles are rounded so that sums in another order compare equal."""
 
@@ -23,15 +50,14 @@ def query(name: str, sql: str | None = None, digits: int = 6):
         run.build, run.digits = build, digits
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = nudged(sql)
         return build
 
     return register
 
 
 def fixed(df: DataFrame, digits: int) -> DataFrame:
-    # Adding zero turns a negative zero into zero.
     return df.select(*[
-        (F.round(f"`{f.name}`", digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+        F.round(F.col(f"`{f.name}`") + F.lit(NUDGE), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])

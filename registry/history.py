@@ -452,7 +452,7 @@ def _(spark, sf):
 
 
 @query("centred_load", f"""WITH {SUPPLIER} SELECT hospital_id, date, round(CAST(patients AS DOUBLE) / total_admissions
-  - avg(CAST(patients AS DOUBLE) / total_admissions) OVER (PARTITION BY hospital_id), 6) + 0 AS load FROM supplier_days""")
+  - avg(CAST(patients AS DOUBLE) / total_admissions) OVER (PARTITION BY hospital_id), 6) AS load FROM supplier_days""")
 def _(spark, sf):
     df = W.centred(supplier_days(spark, sf), F.col("patients") / F.col("total_admissions"), "load")
     return df.select("hospital_id", "date", "load")

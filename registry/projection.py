@@ -106,7 +106,7 @@ def actions_sql(source: str, keys: str) -> str:
 FROM {source} WHERE {c}""" for o, k, p, d, q, u, c in rules)
     return f"""fired AS ({select}),
 recs AS (SELECT * FROM fired UNION ALL SELECT {keys}, date, 10, '{a["MONITOR"]}', '{R.LOW}', 'Opérations normales', NULL, NULL
-  FROM {source} ANTI JOIN fired USING ({keys}, date))"""
+  FROM {source} WHERE NOT ({" OR ".join(f"({r[-1]})" for r in rules)}))"""
 
 
 KEYS = "scenario, hospital_id"
@@ -191,7 +191,7 @@ def _(spark, sf):
     return A.error_ratio_pct(metrics, supplier_days(spark, sf).where(F.col("hospital_id") == "S1"))
 
 
-@query("residual_stats", f"""WITH {IN_SAMPLE} SELECT round(avg(y - f), 6) + 0 AS residual_mean, round(stddev_samp(y - f), 6) AS residual_std,
+@query("residual_stats", f"""WITH {IN_SAMPLE} SELECT round(avg(y - f), 6) AS residual_mean, round(stddev_samp(y - f), 6) AS residual_std,
   round(avg(CAST(abs(y - f) < y * 0.1e0 AS DOUBLE)), 6) AS within_10pct FROM fit""")
 def _(spark, sf):
     df = in_sample(spark, sf).select(F.col("total_admissions").alias("actual"), F.col("predicted_admissions").alias("predicted"))
@@ -254,9 +254,9 @@ def _(spark, sf):
 
 @query("scenario_projection", f"""WITH {PROJECTED} SELECT scenario, hospital_id, date, round(predicted_admissions, 6) AS predicted_admissions,
   round(scenario_admissions, 6) AS scenario_admissions, round(effective_staff, 6) AS effective_staff, round(effective_beds, 6) AS effective_beds,
-  round(effective_capacity, 6) AS effective_capacity, round(capacity_gap, 6) + 0 AS capacity_gap, round(effective_stock_pct, 6) AS effective_stock_pct,
+  round(effective_capacity, 6) AS effective_capacity, round(capacity_gap, 6) AS capacity_gap, round(effective_stock_pct, 6) AS effective_stock_pct,
   round(occupancy_rate, 6) AS occupancy_rate, is_overcapacity, is_critical, round(baseline_admissions, 6) AS baseline_admissions,
-  round(demand_change_pct, 6) + 0 AS demand_change_pct FROM projected""")
+  round(demand_change_pct, 6) AS demand_change_pct FROM projected""")
 def _(spark, sf):
     return projected(spark, sf)
 
@@ -265,7 +265,7 @@ CUSTOM = X.ScenarioParams.from_dict({"epidemic_intensity": 20, "beds_reduction":
 
 
 @query("single_scenario", f"""WITH {projected_sql(PREDICTED, {'custom': CUSTOM})} SELECT hospital_id, date, round(scenario_admissions, 6) AS scenario_admissions,
-  round(effective_capacity, 6) AS effective_capacity, round(capacity_gap, 6) + 0 AS capacity_gap, round(occupancy_rate, 6) AS occupancy_rate, is_overcapacity, is_critical FROM projected""")
+  round(effective_capacity, 6) AS effective_capacity, round(capacity_gap, 6) AS capacity_gap, round(occupancy_rate, 6) AS occupancy_rate, is_overcapacity, is_critical FROM projected""")
 def _(spark, sf):
     df = X.apply_scenario(predicted(spark, sf), CUSTOM)
     return df.select("hospital_id", "date", "scenario_admissions", "effective_capacity", "capacity_gap", "occupancy_rate", "is_overcapacity", "is_critical")
@@ -276,16 +276,16 @@ def _(spark, sf):
     return X.summarize_scenario_impact(projected(spark, sf), ["scenario", "hospital_id"])
 
 
-@query("scenario_deltas", f"""WITH {PROJECTED} SELECT scenario, round((avg(scenario_admissions) - avg(baseline_admissions)) / avg(baseline_admissions) * 100, 6) + 0 AS avg_change_pct,
-  round(max(scenario_admissions) - max(baseline_admissions), 6) + 0 AS peak_change, round(sum(baseline_admissions), 3) AS baseline_total,
+@query("scenario_deltas", f"""WITH {PROJECTED} SELECT scenario, round((avg(scenario_admissions) - avg(baseline_admissions)) / avg(baseline_admissions) * 100, 6) AS avg_change_pct,
+  round(max(scenario_admissions) - max(baseline_admissions), 6) AS peak_change, round(sum(baseline_admissions), 3) AS baseline_total,
   round((avg(occupancy_rate) - 0.45e0) * 100, 6) AS occupancy_points FROM projected GROUP BY 1""")
 def _(spark, sf):
     df = X.scenario_deltas(projected(spark, sf), ["scenario"])
     return df.withColumn("baseline_total", F.round("baseline_total", 3))
 
 
-@query("resource_impact", f"""WITH {PROJECTED} SELECT scenario, round(avg(effective_staff), 6) AS effective_staff, round(425 - avg(effective_staff), 6) + 0 AS staff_reduction,
-  round(avg(effective_beds), 6) AS effective_beds, round(1450 - avg(effective_beds), 6) + 0 AS beds_reduction, round(avg(effective_stock_pct), 6) AS effective_stock_pct,
+@query("resource_impact", f"""WITH {PROJECTED} SELECT scenario, round(avg(effective_staff), 6) AS effective_staff, round(425 - avg(effective_staff), 6) AS staff_reduction,
+  round(avg(effective_beds), 6) AS effective_beds, round(1450 - avg(effective_beds), 6) AS beds_reduction, round(avg(effective_stock_pct), 6) AS effective_stock_pct,
   avg(effective_stock_pct) < 50 AS stock_low FROM projected GROUP BY 1""")
 def _(spark, sf):
     return X.resource_impact(projected(spark, sf), ["scenario"])
@@ -328,7 +328,7 @@ def pressed(spark, sf):
         (F.lit(100.0) - F.col("l_tax") * 1000).alias("effective_stock_pct"), (F.col("l_returnflag") == "R").alias("is_critical"))
 
 
-PRESSED_RECS = f"{PRESSED}, {actions_sql('pressed', 'day_key, line').replace('ANTI JOIN fired USING (day_key, line, date)', 'p WHERE NOT EXISTS (SELECT 1 FROM fired f WHERE f.day_key = p.day_key AND f.line = p.line AND f.date = p.date)')}"
+PRESSED_RECS = f"{PRESSED}, {actions_sql('pressed', 'day_key, line')}"
 
 
 @query("all_rules", f"""WITH {PRESSED_RECS} SELECT action, priority, unit, description, count(*) AS actions, round(sum(quantity), 3) AS quantity FROM recs GROUP BY ALL""", digits=3)

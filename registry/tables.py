@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bedwise.functions.columns import rounded_int
 from bedwise.operators.demand import (
     available_resources, department_split, external_alert, operational_measures, with_calendar,
 )
@@ -80,7 +81,7 @@ def hospital_days(spark: SparkSession, sf: str) -> DataFrame:
     k = F.lit(400.0) / F.avg("n").over(Window.partitionBy("hospital_id"))
 
     def scaled(c: str) -> Column:
-        return F.bround(F.col(c) * F.col("k"), 0).cast("int")
+        return rounded_int(F.col(c) * F.col("k"))
 
     df = region_days(spark, sf).withColumn("k", k)
     df = df.withColumns(_events() | {

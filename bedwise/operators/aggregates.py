@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,9 +61,9 @@ def resample(df: DataFrame, every: str, by: Sequence[str] = (), columns: Sequenc
     Periods between the first and the last that hold no row are kept, with null means.
     """
     if every == "week":
-        label, step = F.date_add(F.trunc("date", "WEEK"), 6), F.expr("interval 7 days")
+        label, step = F.date_add(F.trunc("date", "WEEK"), 6), "7 days"
     elif every == "month":
-        label, step = F.trunc("date", "MONTH"), F.expr("interval 1 month")
+        label, step = F.trunc("date", "MONTH"), "1 month"
     else:
         raise ValueError(f"unknown period {every!r}")
     columns = [c for c in (columns or numeric_columns(df)) if c not in by]
@@ -71,12 +71,12 @@ def resample(df: DataFrame, every: str, by: Sequence[str] = (), columns: Sequenc
         df.where(F.col("date").isNotNull())
         .groupBy(*by, label.alias("period")).agg(*[F.avg(c).alias(c) for c in columns])
     )
-    ends = means.groupBy(*by) if by else means
-    spine = (
-        ends.agg(F.min("period").alias("first"), F.max("period").alias("last"))
-        .select(*by, F.explode(F.sequence("first", "last", step)).alias("period"))
-    )
-    return spine.join(means, [*by, "period"], "left").withColumnRenamed("period", "date")
+    # Each period is unfolded up to the one before the next; a site has few periods.
+    following = F.lead("period").over(Window.partitionBy(*by).orderBy("period"))
+    last = F.coalesce(F.expr(f"cast(__next - interval {step} as date)"), F.col("period"))
+    unfolded = means.withColumn("__next", following).select(
+        "*", F.posexplode(F.sequence("period", last, F.expr(f"interval {step}"))).alias("__gap", "date"))
+    return unfolded.select(*by, "date", *[F.when(F.col("__gap") == 0, F.col(c)).alias(c) for c in columns])
 
 
 def mean_by(df: DataFrame, key: str, value: str = MODEL.target) -> DataFrame:
@@ -122,10 +122,12 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str = MOD
 
 def top_correlations(correlated: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` strongest positive and the ``n`` strongest negative variables."""
-    strongest = [F.abs("r").desc(), F.asc("variable")]
-    up = correlated.where(F.col("r") > 0).orderBy(*strongest).limit(n).withColumn("sign", F.lit("positive"))
-    down = correlated.where(F.col("r") < 0).orderBy(*strongest).limit(n).withColumn("sign", F.lit("negative"))
-    return up.unionByName(down)
+    sign = F.when(F.col("r") > 0, "positive").when(F.col("r") < 0, "negative")
+    strongest = Window.partitionBy("sign").orderBy(F.abs("r").desc(), "variable")
+    return (
+        correlated.withColumn("sign", sign).where(F.col("sign").isNotNull())
+        .withColumn("__rank", F.row_number().over(strongest)).where(F.col("__rank") <= n).drop("__rank")
+    )
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -149,15 +151,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def box_plot(df: DataFrame, key: str = "dow", value: str = MODEL.target) -> DataFrame:
     """Minimum, quartiles and maximum of ``value`` per ``key``."""
-    ends = df.where(F.col(value).isNotNull()).groupBy(key).agg(
-        F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"),
-    )
-    quartiles = exact_quantiles(df.where(F.col(key).isNotNull()), [value], [0.25, 0.5, 0.75], by=[key])
-    wide = quartiles.groupBy(key).agg(*[
-        F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
-        for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
-    ])
-    return ends.join(wide, key).select(key, "low", "q1", "median", "q3", "high")
+    names = {0.0: "low", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "high"}
+    quantiles = exact_quantiles(df.where(F.col(key).isNotNull()), [value], list(names), by=[key])
+    return quantiles.groupBy(key).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in names.items()])
 
 
 def weekday_box_plot(df: DataFrame, value: str = MODEL.target) -> DataFrame:

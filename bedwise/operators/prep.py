@@ -141,7 +141,13 @@ def key_at(counts: DataFrame, key: str, n: int, limit: int = KEY_LIMIT) -> str |
     return last if last is not None else best
 
 
-def _split(df: DataFrame, n_train: Column, date_column: str, site_column: str) -> tuple[DataFrame, DataFrame]:
+def train_condition(
+    df: DataFrame, n_train: Column, date_column: str = "date", site_column: str = "hospital_id",
+) -> Column:
+    """True for the first ``n_train`` rows by (date, site); ``n_train`` may use the row count ``n``.
+
+    The cut is a threshold on (date, site) found from row counts, so a split moves no rows.
+    """
     day = F.col(date_column)
     # One row per date: bounded by the calendar.
     per_day = df.groupBy(date_column).agg(F.count(F.lit(1)).alias("rows"))
@@ -156,19 +162,25 @@ def _split(df: DataFrame, n_train: Column, date_column: str, site_column: str) -
         .first()
     )
     if cut is None:
-        return df, df.where(F.lit(False))
-    if cut[date_column] is None:
-        first = day.isNotNull()
-    else:
-        first = day < F.lit(cut[date_column])
+        return F.lit(True)
+    first = day.isNotNull() if cut[date_column] is None else day < F.lit(cut[date_column])
     if cut["left"] and site_column in df.columns:
         same = day.eqNullSafe(F.lit(cut[date_column]))
         on_day = df.where(same).groupBy(site_column).agg(F.count(F.lit(1)).alias("rows"))
         site = key_at(on_day.where(F.col(site_column).isNotNull()), site_column, cut["left"])
         if site is not None:
             first = first | (same & (F.col(site_column) <= F.lit(site)))
-    first = F.coalesce(first, F.lit(False))
-    return df.where(first), df.where(~first)
+    return F.coalesce(first, F.lit(False))
+
+
+def rounded_down(test_size: float) -> Column:
+    """Training rows when their number is rounded down."""
+    return F.floor(F.col("n") * F.lit(1 - test_size))
+
+
+def rest_rounded_up(test_size: float) -> Column:
+    """Training rows when the number of test rows is rounded up."""
+    return F.col("n") - F.ceil(F.col("n") * F.lit(test_size))
 
 
 def get_train_test_split(
@@ -176,17 +188,18 @@ def get_train_test_split(
 ) -> tuple[DataFrame, DataFrame]:
     """The first ``int(n * (1 - test_size))`` rows by (date, site) train, the rest test.
 
-    The split is a threshold on (date, site), found from row counts, so both parts are
-    plain filters of the input. Rows equal in date and site stay together, in the test part.
+    Both parts are plain filters. Rows equal in date and site stay together, in the test part.
     """
-    return _split(df, F.floor(F.col("n") * F.lit(1 - test_size)), date_column, site_column)
+    train = train_condition(df, rounded_down(test_size), date_column, site_column)
+    return df.where(train), df.where(~train)
 
 
 def unshuffled_split(
     df: DataFrame, test_size: float = MODEL.test_size, date_column: str = "date", site_column: str = "hospital_id",
 ) -> tuple[DataFrame, DataFrame]:
     """As ``get_train_test_split``, with the size of the test part rounded up."""
-    return _split(df, F.col("n") - F.ceil(F.col("n") * F.lit(test_size)), date_column, site_column)
+    train = train_condition(df, rest_rounded_up(test_size), date_column, site_column)
+    return df.where(train), df.where(~train)
 
 
 def union_all(tables: Sequence[DataFrame]) -> DataFrame:

@@ -143,8 +143,13 @@ def validate_column_presence(df: DataFrame, expected: Sequence[str] = REQUIRED_C
 def compare_with_reference(generated: DataFrame, reference: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """Drift of mean and standard deviation for the numeric columns both tables have."""
     shared = [c for c in numeric_columns(generated) if c in reference.columns]
-    new = column_stats(generated, shared).select("column", F.col("mean").alias("g_mean"), F.col("std").alias("g_std"))
-    old = column_stats(reference, shared).select("column", F.col("mean").alias("r_mean"), F.col("std").alias("r_std"))
+    return compare_stats(column_stats(generated, shared), column_stats(reference, shared), tolerance)
+
+
+def compare_stats(generated: DataFrame, reference: DataFrame, tolerance: float = 0.25) -> DataFrame:
+    """Drift between two ``column_stats`` tables, for the columns in both."""
+    new = generated.select("column", F.col("mean").alias("g_mean"), F.col("std").alias("g_std"))
+    old = reference.select("column", F.col("mean").alias("r_mean"), F.col("std").alias("r_std"))
 
     def apart(g: str, r: str) -> Column:
         return F.try_divide(F.abs(F.col(g) - F.col(r)), F.col(r) + F.lit(1e-9)) * 100
@@ -190,7 +195,9 @@ def validate_dataset(
         F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").alias(s) for s in ("min", "max", "mean", "std")])
         for c in numeric
     ])
-    comparison = None if reference is None else compare_with_reference(df, reference)
+    comparison = None
+    if reference is not None:
+        comparison = compare_stats(stats, column_stats(reference, [c for c in numeric if c in reference.columns]))
     return ValidationReport(summary, issues, stats, comparison)
 
 

@@ -1,8 +1,9 @@
 """Seasonal baseline: mean per weekday and per month.
 
 A fitted baseline is a DataFrame with one row per site (one row in all without ``by``):
-``(by..., overall_mean, overall_std, dow_means array[7], month_means array[12])``. One
-conditional aggregation fits it, and one join on the site applies it.
+``(by..., overall_mean, overall_std, dow_means array[7], month_means array[12], last_date)``.
+One conditional aggregation fits it. A forecast unfolds that row over the coming days, so fit
+and forecast of a whole network read the history once and need no join.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bedwise.functions.labels import month_label, weekday_label
+from bedwise.plans.forecast import future_days
 from bedwise.settings import MODEL
 
 _PARTS = ["overall_mean", "overall_std", "dow_means", "month_means"]
@@ -28,6 +30,7 @@ def train_baseline(df: DataFrame, target_col: str = MODEL.target, by: Sequence[s
         F.stddev_samp(y).alias("overall_std"),
         F.array(*[F.avg(F.when(dow == i, y)) for i in range(7)]).alias("dow_means"),
         F.array(*[F.avg(F.when(month == i, y)) for i in range(1, 13)]).alias("month_means"),
+        *([F.max("date").alias("last_date")] if "date" in df.columns else []),
     )
 
 
@@ -47,16 +50,31 @@ def predict_baseline(
     which puts sites of any size on the scale of one capacity setting.
     """
     if by:
-        joined = df.join(baseline, list(by), "left")
+        joined = df.join(baseline.select(*by, *_PARTS), list(by), "left")
         parts = {c: F.col(c) for c in _PARTS}
     else:
         joined = df
         row = baseline.select(F.struct(*_PARTS).alias("b")).scalar()
         parts = {c: row[c] for c in _PARTS}
+    return joined.select(*df.columns, _prediction(parts, normal_level).alias(name))
+
+
+def _prediction(parts: dict[str, Column], normal_level: float | None) -> Column:
     value = _seasonal(parts["dow_means"], parts["month_means"], parts["overall_mean"])
-    if normal_level is not None:
-        value = value * F.try_divide(F.lit(float(normal_level)), parts["overall_mean"])
-    return joined.select(*df.columns, value.alias(name))
+    if normal_level is None:
+        return value
+    return value * F.try_divide(F.lit(float(normal_level)), parts["overall_mean"])
+
+
+def forecast_baseline(
+    baseline: DataFrame, n_days: int = 30, by: Sequence[str] = ("hospital_id",), name: str = "predicted_admissions",
+    normal_level: float | None = None,
+) -> DataFrame:
+    """Predictions for the ``n_days`` after each site's last day, with the calendar columns."""
+    days = future_days(baseline.withColumn("start", F.date_add("last_date", 1)), n_days)
+    calendar = [c for c in days.columns if c not in (*baseline.columns, "start")]
+    prediction = _prediction({c: F.col(c) for c in _PARTS}, normal_level)
+    return days.select(*by, *calendar, prediction.alias(name))
 
 
 def baseline_tables(baseline: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
@@ -70,7 +88,10 @@ def baseline_tables(baseline: DataFrame, by: Sequence[str] = ()) -> dict[str, Da
         )
 
     return {
-        "overall": baseline.select(*by, F.col("overall_mean").alias("mean"), F.col("overall_std").alias("std")),
+        "overall": baseline.select(
+            *by, F.col("overall_mean").alias("mean"), F.col("overall_std").alias("std"),
+            *[c for c in ("last_date",) if c in baseline.columns],
+        ),
         "dow_means": unfolded("dow_means", "dow", 0),
         "month_means": unfolded("month_means", "month", 1),
     }
@@ -83,7 +104,7 @@ def baseline_from_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) -
         group = table.groupBy(*by) if by else table
         return group.agg(F.array(*[F.max(F.when(F.col(key) == k, F.col("mean"))) for k in keys]).alias(name))
 
-    overall = tables["overall"].select(*by, F.col("mean").alias("overall_mean"), F.col("std").alias("overall_std"))
+    overall = tables["overall"].withColumnsRenamed({"mean": "overall_mean", "std": "overall_std"})
     dow = folded(tables["dow_means"], "dow", range(7), "dow_means")
     month = folded(tables["month_means"], "month", range(1, 13), "month_means")
     if by:

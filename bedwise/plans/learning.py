@@ -132,8 +132,9 @@ def compare_feature_sets(
             "Realistic": REALISTIC_FEATURES,
         }
     train, test = unshuffled_split(df)
-    rows = []
-    for name, columns in sets.items():
-        model = train_model(train, [c for c in columns if c in df.columns], target, **options)
-        rows.append(evaluate_model(model, test, target).select(F.lit(name).alias("model"), "*"))
-    return union_all(rows)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        models = {n: train_model(train, [c for c in cs if c in df.columns], target, **options) for n, cs in sets.items()}
+    finally:
+        train.unpersist()
+    return union_all([evaluate_model(m, test, target).select(F.lit(n).alias("model"), "*") for n, m in models.items()])

@@ -431,19 +431,19 @@ SPLIT = """{with_}, ranked AS (
 SELECT hospital_id, date, total_admissions, CASE WHEN rank <= {cut} THEN 'train' ELSE 'test' END AS part FROM ranked"""
 
 
-def split_parts(parts):
-    train, test = parts
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+def split_parts(spark, sf, n_train):
+    days = supplier_days(spark, sf).select("hospital_id", "date", "total_admissions")
+    return days.withColumn("part", F.when(P.train_condition(days, n_train), "train").otherwise("test"))
 
 
 @query("chronological_split", "WITH " + SPLIT.format(with_=SUPPLIER, cut="floor(n * (1 - 0.2e0))"))
 def _(spark, sf):
-    return split_parts(P.get_train_test_split(supplier_days(spark, sf).select("hospital_id", "date", "total_admissions")))
+    return split_parts(spark, sf, P.rounded_down(0.2))
 
 
 @query("unshuffled_split", "WITH " + SPLIT.format(with_=SUPPLIER, cut="n - ceil(n * 0.2e0)"))
 def _(spark, sf):
-    return split_parts(P.unshuffled_split(supplier_days(spark, sf).select("hospital_id", "date", "total_admissions")))
+    return split_parts(spark, sf, P.rest_rounded_up(0.2))
 
 
 @query("years_elapsed", f"""WITH {SUPPLIER} SELECT hospital_id, date, CAST(year(date) - min(year(date)) OVER (PARTITION BY hospital_id) AS INTEGER) AS years_elapsed FROM supplier_days""")

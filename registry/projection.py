@@ -120,9 +120,7 @@ def fitted(spark, sf):
 
 
 def predicted(spark, sf):
-    history = supplier_days(spark, sf)
-    days = M.days_after(history, HORIZON)
-    return B.predict_baseline(B.train_baseline(history, by=SITE), days, SITE, normal_level=NORMAL_LEVEL)
+    return B.forecast_baseline(fitted(spark, sf), HORIZON, SITE, normal_level=NORMAL_LEVEL)
 
 
 def projected(spark, sf):

@@ -100,7 +100,7 @@ def hospital_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hospital_full(spark: SparkSession, sf: str) -> DataFrame:
-    df = naive_forecast(stock_ledger(hospital_days(spark, sf)))
+    df = stock_ledger(naive_forecast(hospital_days(spark, sf)))
     return df.select(*DAILY_TYPES)
 
 

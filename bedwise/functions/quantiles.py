@@ -65,24 +65,29 @@ def exact_quantiles(
         done += [b for b in brackets if b["interior"] <= limit]
         wide = [b for b in brackets if b["interior"] > limit]
 
-    wanted = spark.createDataFrame(done, schema)
-    bracket = [*keys, "lo", "hi"]
+    # Ranks that share a bracket share its counts.
+    number: dict[tuple, int] = {}
+    for b in done:
+        number.setdefault(tuple(b[c] for c in (*keys, "lo", "hi", "below")), len(number))
+    wanted = spark.createDataFrame(
+        [(number[tuple(b[c] for c in (*keys, "lo", "hi", "below"))], *b) for b in done], f"bracket int, {schema}")
     ranges = spark.createDataFrame(
-        list({tuple(b[c] for c in bracket): b for b in done}.values()), schema).select(*bracket, "below")
+        [(i, *k[:-1]) for k, i in number.items()], wanted.select("bracket", *keys, "lo", "hi").schema)
     counts = (
         values.join(ranges, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy(*bracket, "below", "value").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("c"))
     )
-    order = Window.partitionBy(*bracket).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     position = F.col("p") * (F.col("n") - 1)
     part = F.first("position") - F.floor(F.first("position"))
+    reached = F.col("below") + F.col("within")
     return (
-        counts.select(*bracket, "value", (F.col("below") + F.sum("c").over(order)).alias("reached"))
-        .join(wanted.select(*bracket, "p", position.alias("position")), bracket)
+        counts.select("bracket", "value", F.sum("c").over(order).alias("within"))
+        .join(wanted.select("bracket", *keys, "p", "below", position.alias("position")), "bracket")
         .groupBy(*keys, "p")
         .agg(
-            F.min(F.when(F.col("reached") > F.floor("position"), F.col("value"))).alias("a"),
-            F.min(F.when(F.col("reached") > F.ceil("position"), F.col("value"))).alias("b"),
+            F.min(F.when(reached > F.floor("position"), F.col("value"))).alias("a"),
+            F.min(F.when(reached > F.ceil("position"), F.col("value"))).alias("b"),
             part.alias("part"),
         )
         .select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))

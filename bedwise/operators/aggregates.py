@@ -85,10 +85,8 @@ def mean_by(df: DataFrame, key: str, value: str = MODEL.target) -> DataFrame:
 
 def _correlation(a: str, b: str) -> Column:
     # A constant side gives null; ``corr`` would divide by zero.
-    x = F.when(F.col(b).isNotNull(), F.col(a))
-    y = F.when(F.col(a).isNotNull(), F.col(b))
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.covar_pop(x, y) / F.when(spread != 0, spread)
+    x, y = f"if(`{b}` is null, null, `{a}`)", f"if(`{a}` is null, null, `{b}`)"
+    return F.expr(f"covar_pop(`{a}`, `{b}`) / nullif(stddev_pop({x}) * stddev_pop({y}), 0D)")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -96,21 +94,12 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     pairs = list(combinations(range(len(columns)), 2))
     row = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"if(stddev_pop(`{c}`) > 0, 1D, null)").alias(f"r{i}_{i}") for i, c in enumerate(columns)],
         *[_correlation(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs],
     )
-
-    def cell(i: int, j: int) -> Column:
-        if i == j:
-            return F.when(F.col(f"s{i}") != 0, F.lit(1.0))
-        return F.col(f"r{min(i, j)}_{max(i, j)}")
-
     span = range(len(columns))
-    return rows_of(row, *[
-        F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), cell(i, j).alias("r"))
-        for i in span for j in span
-    ])
+    cells = [f"struct('{columns[i]}' as x, '{columns[j]}' as y, r{min(i, j)}_{max(i, j)} as r)" for i in span for j in span]
+    return row.select(F.expr(f"inline(array({', '.join(cells)}))"))
 
 
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str = MODEL.target) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,29 +116,33 @@ def key_at(counts: DataFrame, key: str, n: int, limit: int = KEY_LIMIT) -> str |
     """Largest string key with at most ``n`` rows at or before it; null if the first has more.
 
     ``counts`` holds ``(key, rows)``. While more than ``limit`` keys are left, one leading
-    character more is fixed, so no task orders more than ``limit`` keys.
+    character more is fixed; then at most ``limit`` keys come to the driver.
     """
     best, prefix = None, ""
-    while counts.count() > limit:
+    while len(left := counts.limit(limit + 1).collect()) > limit:
         width = len(prefix) + 1
         lead = F.substring(key, 1, width)
-        heads = counts.groupBy(lead.alias("head")).agg(F.sum("rows").alias("rows")).orderBy("head").collect()
-        whole, split = None, None
-        for head, rows in heads:
-            if rows > n:
-                split = head
-                break
-            n -= rows
-            whole = head
+        heads = counts.groupBy(lead.alias("head")).agg(F.sum("rows").alias("rows")).collect()
+        whole, split, n = _fitting(heads, n)
         if whole is not None:
             best = counts.where(lead <= F.lit(whole)).agg(F.max(key)).first()[0]
         if split is None or len(split) < width:  # all keys fit, or one key has more rows than are left
             return best
         prefix = split
         counts = counts.where(F.col(key).startswith(prefix))
-    reached = F.sum("rows").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    last = counts.withColumn("reached", reached).where(F.col("reached") <= n).agg(F.max(key)).first()[0]
-    return last if last is not None else best
+    whole, _, _ = _fitting(left, n)
+    return best if whole is None else whole
+
+
+def _fitting(counts: Sequence[Row], n: int) -> tuple[str | None, str | None, int]:
+    """Last key that fits into ``n`` rows, the first that does not, and the rows left."""
+    whole = None
+    for key, rows in sorted(counts, key=lambda r: r[0].encode()):
+        if rows > n:
+            return whole, key, n
+        n -= rows
+        whole = key
+    return whole, None, n
 
 
 def train_condition(

@@ -229,50 +229,46 @@ def column_profile(df: DataFrame) -> DataFrame:
     """
     fields = df.schema.fields
 
-    def number(f: T.StructField) -> Column:
-        return F.col(f.name).cast("int") if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
-
-    measured = [F.count(F.lit(1)).alias("n")]
+    measured = ["count(1) as n"]
     for f in fields:
-        measured.append(F.count_if(F.col(f.name).isNull()).alias(f"{f.name}__nulls"))
+        c = f"`{f.name}`"
+        measured.append(f"count_if({c} is null) as `{f.name}__nulls`")
         if _is_number(f):
-            x = number(f)
+            x = f"cast({c} as int)" if isinstance(f.dataType, T.BooleanType) else c
             measured += [
-                F.min(x).cast("double").alias(f"{f.name}__min"), F.max(x).cast("double").alias(f"{f.name}__max"),
-                F.avg(x).alias(f"{f.name}__mean"), F.stddev_samp(x).alias(f"{f.name}__std"),
-                F.count_if(~x.isin(0, 1)).alias(f"{f.name}__other"),
+                f"double(min({x})) as `{f.name}__min`", f"double(max({x})) as `{f.name}__max`",
+                f"avg({x}) as `{f.name}__mean`", f"stddev_samp({x}) as `{f.name}__std`",
+                f"count_if({x} not in (0, 1)) as `{f.name}__other`",
             ]
-    row = df.agg(*measured)
-    return rows_of(row, *[_profile_row(i, f) for i, f in enumerate(fields)])
+    row = df.agg(*[F.expr(m) for m in measured])
+    return row.select(F.expr(f"inline(array({', '.join(_profile_row(i, f) for i, f in enumerate(fields))}))"))
 
 
 def _is_number(f: T.StructField) -> bool:
     return f.name != "date" and isinstance(f.dataType, (T.NumericType, T.BooleanType))
 
 
-def _profile_row(position: int, f: T.StructField) -> Column:
-    def got(s: str) -> Column:
-        return F.col(f"{f.name}__{s}")
-
-    null = F.lit(None).cast("double")
+def _profile_row(position: int, f: T.StructField) -> str:
+    got = {s: f"`{f.name}__{s}`" for s in ("nulls", "min", "max", "mean", "std", "other")}
     if _is_number(f):
-        binary = (got("min") == 0) & (got("max") == 1) & (got("other") == 0)
-        counts = isinstance(f.dataType, T.IntegralType)
-        rest = F.when(got("min") >= 0, "count").otherwise("continuous") if counts else F.lit("continuous")
         if any(w in f.name for w in RATIO_WORDS):
-            rest = F.lit("ratio")
-        kind = F.when(binary, "binary").otherwise(rest)
-        poisson = (kind == "count") & (got("std") * got("std") < got("mean") * 2)
-        spread = F.when(poisson, "poisson").otherwise("normal")
-        moments = [got(s) for s in ("min", "max", "mean", "std")]
+            rest = "'ratio'"
+        elif isinstance(f.dataType, T.IntegralType):
+            rest = f"if({got['min']} >= 0, 'count', 'continuous')"
+        else:
+            rest = "'continuous'"
+        kind = f"if({got['min']} = 0 and {got['max']} = 1 and {got['other']} = 0, 'binary', {rest})"
+        poisson = f"{kind} = 'count' and {got['std']} * {got['std']} < {got['mean']} * 2"
+        spread = f"if({poisson}, 'poisson', 'normal')"
+        moments = [got[s] for s in ("min", "max", "mean", "std")]
     else:
         text = f.name != "date" and isinstance(f.dataType, T.StringType)
-        kind, spread = F.lit("categorical" if text else "date"), F.lit(None).cast("string")
-        moments = [null] * 4
-    return F.struct(
-        F.lit(position).alias("position"), F.lit(f.name).alias("column"), kind.alias("type"),
-        F.lit(f.dataType.simpleString()).alias("dtype"), F.try_divide(got("nulls"), F.col("n")).alias("na_rate"),
-        *[m.alias(s) for m, s in zip(moments, ("min", "max", "mean", "std"))], spread.alias("distribution"),
+        kind, spread = ("'categorical'" if text else "'date'"), "string(null)"
+        moments = ["double(null)"] * 4
+    stats = ", ".join(f"{m} as {s}" for m, s in zip(moments, ("min", "max", "mean", "std")))
+    return (
+        f"struct({position} as position, '{f.name}' as column, {kind} as type, '{f.dataType.simpleString()}' as dtype, "
+        f"try_divide({got['nulls']}, n) as na_rate, {stats}, {spread} as distribution)"
     )
 
 

@@ -82,8 +82,10 @@ def exact_quantiles(
     part = F.first("position") - F.floor(F.first("position"))
     reached = F.col("below") + F.col("within")
     return (
-        counts.select("bracket", "value", F.sum("c").over(order).alias("within"))
+        counts.select("bracket", "value", "c", F.sum("c").over(order).alias("within"))
         .join(wanted.select("bracket", *keys, "p", "below", position.alias("position")), "bracket")
+        # Only the values at the two ranks around the position.
+        .where((reached > F.floor("position")) & (reached - F.col("c") <= F.ceil("position")))
         .groupBy(*keys, "p")
         .agg(
             F.min(F.when(reached > F.floor("position"), F.col("value"))).alias("a"),

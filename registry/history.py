@@ -16,6 +16,7 @@ from bedwise.operators import filters as FL
 from bedwise.operators import prep as P
 from bedwise.operators import quality as V
 from bedwise.operators import series as W
+from bedwise.operators.views import raw_preview, relation_points
 from bedwise.settings import HOSPITALS, MONTH_FACTORS, WEEKDAY_FACTORS
 from bedwise.sources.files import export_rows, hospital_catalogue, in_date_order
 from registry.core import query
@@ -163,14 +164,12 @@ SELECT strftime(date, '%d/%m/%Y') AS date, hospital_id, total_admissions, emerge
        available_staff, bed_occupancy_rate
 FROM hospital ORDER BY hospital.date, hospital_id LIMIT 100""")
 def _(spark, sf):
-    columns = ["date", "hospital_id", "total_admissions", "emergency_admissions", "available_beds", "available_staff", "bed_occupancy_rate"]
-    return export_rows(hospital_days(spark, sf).select(columns).orderBy("date", "hospital_id").limit(100))
+    return raw_preview(hospital_days(spark, sf))
 
 
 @query("relation_points", """SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS color FROM lineitem""")
 def _(spark, sf):
-    return table(spark, sf, "lineitem").select(
-        F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_returnflag").alias("color"))
+    return relation_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
 
 
 # --- filters ------------------------------------------------------------------------------

@@ -33,10 +33,14 @@ def region_days(spark: SparkSession, sf: str) -> DataFrame:
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    # The dimensions are joined to each other first, so an order is joined once.
+    placed = (
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("c_custkey", "c_mktsegment", "r_name")
+    )
+    return (
+        orders.join(placed, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("r_name").alias("hospital_id"), F.to_date("o_orderdate").alias("date"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -107,16 +111,14 @@ def hospital_full(spark: SparkSession, sf: str) -> DataFrame:
 def supplier_days(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "lineitem")
-        .groupBy(
-            F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("hospital_id"),
-            F.to_date("l_shipdate").alias("date"),
-        )
+        .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
         .agg(
             F.count(F.lit(1)).cast("int").alias("total_admissions"),
             F.sum(F.col("l_quantity").cast("bigint")).alias("patients"),
             F.count_if(F.col("l_returnflag") == "R").cast("int").alias("epidemic_level"),
             F.max(_flag(F.col("l_linestatus") == "O")).alias("supply_delivery_day"),
         )
+        .select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("hospital_id"), "*").drop("l_suppkey")
     )
 
 

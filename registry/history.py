@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from bedwise.functions.labels import (
-    MONTH_LABELS, SEASON_LABELS, WEEKDAY_LABELS, month_label, season_label, variable_label, weekday_label,
+    MONTH_LABELS, SEASON_LABELS, VARIABLE_LABELS, WEEKDAY_LABELS, month_label, season_label, variable_label, weekday_label,
 )
 from bedwise.functions.columns import day_name_of, season_of
 from bedwise.operators import aggregates as A
@@ -21,8 +21,8 @@ from bedwise.settings import HOSPITALS, MONTH_FACTORS, WEEKDAY_FACTORS
 from bedwise.sources.files import export_rows, hospital_catalogue, in_date_order
 from registry.core import query
 from registry.tables import (
-    DAILY, FIRST_DAY, HOSPITAL, HOSPITAL_FULL, LEDGER, REGION_DAYS, SUPPLIER, daily_facts, hospital_days,
-    hospital_full, region_days, sql_list, sql_season, supplier_days, table,
+    DAILY, HOSPITAL, HOSPITAL_FULL, LEDGER, SUPPLIER, daily_facts, hospital_days, hospital_full, sql_list, sql_season,
+    supplier_days, table,
 )
 
 START, END = date(1997, 1, 1), date(1998, 12, 31)
@@ -313,6 +313,15 @@ def _(spark, sf):
     return A.target_correlations(hospital_days(spark, sf), HOSPITAL_NUMBERS)
 
 
+VARIABLE_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VARIABLE_LABELS.items())
+
+
+@query("labelled_correlations", f"""WITH {TARGET_CORR} SELECT CASE variable {VARIABLE_CASE} ELSE variable END AS label, round(r, 3) AS r FROM correlated""", digits=3)
+def _(spark, sf):
+    correlated = A.target_correlations(hospital_days(spark, sf), HOSPITAL_NUMBERS)
+    return correlated.select(variable_label(F.col("variable")).alias("label"), "r")
+
+
 @query("top_correlations", f"""WITH {TARGET_CORR},
 ranked AS (SELECT variable, r, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS sign,
   row_number() OVER (PARTITION BY r > 0 ORDER BY abs(r) DESC, variable) AS k FROM correlated WHERE r <> 0)

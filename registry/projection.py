@@ -12,7 +12,7 @@ from bedwise.functions.labels import MONTH_LABELS, PRIORITY_LABELS, WEEKDAY_LABE
 from bedwise.operators import aggregates as A
 from bedwise.operators import filters as FL
 from bedwise.operators import series as W
-from bedwise.operators.prep import build_features, get_train_test_split
+from bedwise.operators.prep import build_features
 from bedwise.plans import actions as R
 from bedwise.plans import baseline as B
 from bedwise.plans import forecast as M

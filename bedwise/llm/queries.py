@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedwise.llm import decontaminate, minhash_dedup, mixing
+from bedwise.llm import decontaminate, embedding_dedup, minhash_dedup, mixing, token_store, toxicity, url_filter
 from bedwise.llm.common import ship
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -32,6 +34,71 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98
+), reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.r = link.a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) ON id = vec_id
+"""
+
+
+@query("op1_embedding_neardup", EMBEDDING_SQL)
+def _(spark, sf):
+    return embedding_dedup.near_vectors(table(spark, sf, "embeddings"), threshold=0.98)
+
+
+@query("op2_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.train(docs, table(spark, sf, "labels")).score(docs)
+
+
+URL_SQL = r"""
+WITH RECURSIVE rules(rule_host, rule_path, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+p AS (
+  SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), adr AS (
+  SELECT *, regexp_replace(host, ':(80|443)$', '') || CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END AS adr
+  FROM (SELECT *, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p)
+), best AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host) * 100000 + length(rule_path)) AS rule, arg_max(v, length(rule_host) * 100000 + length(rule_path)) AS v
+  FROM adr JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+), target AS (
+  SELECT adr AS a, unnest([regexp_extract(html, '(?is)<link\b[^>]*\bcanonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(html, '(?is)<meta\b[^>]*\brefresh\b[^>]*url\s*=\s*([^"''\s>]+)', 1)]) AS u FROM adr
+), edge AS (
+  SELECT a, translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || coalesce(nullif(regexp_extract(u, '://[^/?#]*([^#]*)', 1), ''), '/') AS b
+  FROM target WHERE contains(u, '://')
+), near AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+bad AS (SELECT DISTINCT adr FROM adr JOIN best USING (page_id) WHERE v = 'block' UNION SELECT near.b FROM bad JOIN near ON bad.adr = near.a)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bad.adr IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM adr LEFT JOIN best USING (page_id) LEFT JOIN bad USING (adr)
+"""
+
+
+@query("op4_url_filter", URL_SQL)
+def _(spark, sf):
+    return url_filter.url_verdicts(table(spark, sf, "pages"), url_filter.rule_table(spark))
+
+
+@query("op5_token_store")
+def _(spark, sf):
+    return token_store.token_table(table(spark, sf, "documents"), tokenizer_path())
+
+
 LOWERED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 MINHASH_SQL = r"""

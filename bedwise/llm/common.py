@@ -90,6 +90,30 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
+def bloom(frame: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes: a bitmap of ``bits`` bits, two set for each value.
+
+    It is made in groups of 64 bits, so what reaches the driver is at most bits / 8 bytes and as many for cell numbers.
+    """
+    shift = bits.bit_length() - 1
+    places = frame.select(F.explode(F.array(F.expr(f"`{column}` & {bits - 1}L"), F.expr(f"shiftrightunsigned(`{column}`, {shift}) & {bits - 1}L"))).alias("p"))
+    cells = places.groupBy(F.shiftright("p", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v"))
+    table = cells.toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[table["cell"].to_numpy(np.int64)] = table["v"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bloom(filter_bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the filter; those that are in it always may."""
+    bits = len(filter_bits) * 64
+    mask, shift = np.uint64(bits - 1), np.uint64(bits.bit_length() - 1)
+    found = np.ones(len(values), bool)
+    for p in (values & mask, (values >> shift) & mask):
+        found &= ((filter_bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return found
+
+
 # --- bytes and words in numpy -------------------------------------------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)

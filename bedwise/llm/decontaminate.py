@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedwise.llm.common import LOWER, byte_chunks, cut, list_array, mix, prefix_hash, runs_hash, span_hash, word_spans, word_table
+from bedwise.llm.common import LOWER, bloom, byte_chunks, cut, in_bloom, list_array, prefix_hash, runs_hash, span_hash, word_spans, word_table
 
 WIDTH, GRAM = 13, 3
 BLOOM_BITS = 1 << 24
@@ -62,25 +62,6 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return windows.select("window", "width").mapInArrow(run, "window string, width int, k int, gram long")
 
 
-def bloom(grams: DataFrame) -> np.ndarray:
-    """Bitmap of BLOOM_BITS bits over the column ``gram``, two bits each. It is built in groups, so it has a fixed size everywhere."""
-    shift = BLOOM_BITS.bit_length() - 1
-    bits = grams.select(F.explode(F.array(F.expr(f"gram & {BLOOM_BITS - 1}"), F.expr(f"shiftrightunsigned(gram, {shift}) & {BLOOM_BITS - 1}"))).alias("p"))
-    cells = bits.groupBy(F.shiftright("p", 5).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("v"))
-    table = cells.toPandas()
-    out = np.zeros(BLOOM_BITS // 32, np.uint32)
-    out[table["cell"].to_numpy(np.int64)] = table["v"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def held(filter_bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    mask, shift = np.uint64(BLOOM_BITS - 1), np.uint64(BLOOM_BITS.bit_length() - 1)
-    found = np.ones(len(grams), bool)
-    for p in (grams & mask, (grams >> shift) & mask):
-        found &= ((filter_bits[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
-    return found
-
-
 def shingle_places(column: pa.Array, sizes: list[int], filter_bits: np.ndarray):
     """For runs of rows: the bytes, word spans, first word of each row, and (row, word, gram) of every shingle in the filter."""
     for lo, hi, buf, off in byte_chunks(column):
@@ -89,7 +70,7 @@ def shingle_places(column: pa.Array, sizes: list[int], filter_bits: np.ndarray):
         words, rows, places, grams = span_hash(prefix_hash(buf), starts, ends), [], [], []
         for g in sizes:
             h = runs_hash(words, g)
-            at = np.flatnonzero(held(filter_bits, h))
+            at = np.flatnonzero(in_bloom(filter_bits, h))
             row = np.searchsorted(first, at, "right") - 1
             inside = at + g <= first[row + 1]
             rows.append(row[inside])
@@ -105,7 +86,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFr
     shingles = cut(window_shingles(windows.select("window", "width").distinct()), "shingles")
     sizes = sorted({min(GRAM, r["width"]) for r in shingles.select("width").distinct().collect()})  # at most three
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text")
-    every = spark.sparkContext.broadcast(bloom(shingles.select("gram")))
+    every = spark.sparkContext.broadcast(bloom(shingles, "gram", BLOOM_BITS))
 
     def count(batches):
         for batch in batches:
@@ -118,7 +99,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFr
     prefixes = shingles.join(counts, "gram", "left").groupBy("window", "width").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "k")).alias("p"))
     prefixes = cut(prefixes.where("p.n > 0").select("window", "width", "p.gram", "p.k"), "prefixes")
-    rare = spark.sparkContext.broadcast(bloom(prefixes.select("gram")))
+    rare = spark.sparkContext.broadcast(bloom(prefixes, "gram", BLOOM_BITS))
     reach = WIDTH - 1
 
     def find(batches):

@@ -5,7 +5,8 @@ All places that can hold a repeat are found without sorting all suffixes in one
 1. Anchors. In every 200-byte window the 64-byte string with the smallest hash is an anchor, so equal windows have equal anchors
    at equal distances. Anchors seen at one place only are dropped. What tasks get is a bitmap of fixed size.
 2. Around an anchor lie all windows that contain it. Where this whole neighbourhood occurs twice, all of them repeat.
-3. The others lie at the ends of repeats. Their windows are dealt to ``RANGES`` ranges of starts; those of a range share a core
+3. The others lie at the ends of repeats. Their windows, and those of one place of each repeated neighbourhood with the same
+   anchor, are dealt to ``RANGES`` ranges of starts; those of a range share a core
    of some 166 bytes, by which rows meet. A core seen once ends it; equal ranges repeat as a whole; the rest is divided once
    more in the task, and what remains is decided by a suffix array over the strings around their common cores.
 
@@ -143,6 +144,10 @@ def around(h, place, first, last) -> np.ndarray:
     return mix(span_hash(h, first, last + WIDTH) + (place - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def occurrence(f: np.ndarray, t: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return mix(mix(f + t.view(np.uint64)) + pos.astype(np.uint64))
+
+
 def repeated(rows: DataFrame, key: str, *place: str) -> DataFrame:
     """Keys that occur at two places or more."""
     at = F.struct(*place)
@@ -284,16 +289,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 h, place, row, hashes, first, last = anchors(buf, off)
                 keep = in_bloom(twice.value, hashes)
                 place, row, first, last = place[keep], row[keep], first[keep], last[keep]
-                base = off[row]
+                base, f = off[row], around(h, place, first, last)
                 yield pa.RecordBatch.from_arrays([
-                    stack(around(h, place, first, last)), pa.array(t[lo + row]), *(pa.array((x - base).astype(np.int32)) for x in (place, first, last))], ["f", "t", "pos", "s0", "s1"])
+                    stack(f), stack(hashes[keep]), stack(occurrence(f, t[lo + row], place - base)), pa.array(t[lo + row]), *(pa.array((x - base).astype(np.int32)) for x in (place, first, last))],
+                    ["f", "h", "k", "t", "pos", "s0", "s1"])
 
-    near = texts.mapInArrow(neighbourhoods, "f long, t long, pos int, s0 int, s1 int")
+    near = texts.mapInArrow(neighbourhoods, "f long, h long, k long, t long, pos int, s0 int, s1 int")
     near = near.repartition("f").dropDuplicates(["f", "t", "pos"])
     by = Window.partitionBy("f")
     at = F.struct("t", "pos")
-    near = cut(near.withColumn("again", F.min(at).over(by) != F.max(at).over(by)).drop("pos"), "neighbourhoods")
-    open_ = spark.sparkContext.broadcast(bloom(near.where("NOT again"), "f", BLOOM_BITS))
+    near = near.withColumn("low", F.min(at).over(by)).withColumn("again", F.col("low") != F.max(at).over(by))
+    near = cut(near.withColumn("lead", F.col("low") == at).drop("pos", "low"), "neighbourhoods")
+    # Neighbourhoods that occur once, and one place of each other that has the same anchor: their windows may still agree.
+    once = near.where("NOT again")
+    partners = near.where("again AND lead").join(once.select("h").distinct(), "h", "left_semi")
+    open_ = spark.sparkContext.broadcast(bloom(once.select("k").unionAll(partners.select("k")), "k", BLOOM_BITS))
 
     def cores(batches):
         for batch in batches:
@@ -302,7 +312,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 h, place, row, hashes, first, last = anchors(buf, off)
                 keep = in_bloom(twice.value, hashes)
                 place, row, first, last = place[keep], row[keep], first[keep], last[keep]
-                keep = in_bloom(open_.value, around(h, place, first, last))
+                keep = in_bloom(open_.value, occurrence(around(h, place, first, last), t[lo + row], place - off[row]))
                 place, row, first, last = place[keep], row[keep], first[keep], last[keep]
                 data = buf.tobytes()
                 for r in range(RANGES):

@@ -5,8 +5,9 @@ MinHash values; an odd sketch (the MinHash samples folded to a bitmap of paritie
 threshold, and the full sets decide the rest.
 
 Inside a bucket not all pairs are made. First every class is compared with one centre of its bucket; then, where a
-bucket still holds several components, with another centre; then only pairs across components that remain, in blocks,
-by their sketches. Pairs within one component need no test, as the result names components.
+bucket still holds several components, with other centres; then classes of different components that remain are
+compared in blocks, and only links that join components come out. Pairs within one component need no test, as the result
+names components.
 
 Defined results. Null or wordless text: empty set, linked with nothing. Rows with one doc_id are one document: they
 share a component. Null doc_id: n_shingles as usual, linked with nothing, component_id null, kept true. An empty table
@@ -28,6 +29,7 @@ WIDTH = 5
 BANDS, ROWS = 24, 5
 BITS = 512
 BLOCK = 1024
+STARS = 3
 SPACE = word_table(lambda b: not (b == 32 or 9 <= b <= 13))
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLY, ADD = (_SEEDS[:BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[BANDS * ROWS:] >> np.uint64(32)).astype(np.uint32)
@@ -152,33 +154,41 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket whose sizes and sketches allow the threshold.
+    """Links (a, b) between different components of a bucket, as many as join them.
 
-    ``rows``: key, id, comp, n, sketch. Large buckets are dealt out as pairs of blocks.
+    ``rows``: key, id, comp, n, keys, sketch, grams. Large buckets are dealt out as pairs of blocks. A pair is tested in the
+    first band that it shares only, by its sketches and then on the full sets; what a task has joined it tests no more.
     """
     limit = sketch_limit(percent)
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "sketch")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "keys", "sketch", "grams")
 
     def run(key, table):
         own, ids, comp, n = (table.column(c).to_numpy() for c in ("own", "id", "comp", "n"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        i, j = key[1].as_py(), key[2].as_py()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j) if i != j else left
-        found = []
-        for at in range(0, len(left), 64):
-            l = left[at:at + 64]
-            near = np.bitwise_count(sketch[l][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32) <= limit
-            near &= comp[l][:, None] != comp[right][None, :]
-            near &= 100 * np.minimum(n[l][:, None], n[right][None, :]) >= percent * np.maximum(n[l][:, None], n[right][None, :])
-            near &= (ids[l][:, None] < ids[right][None, :]) if i == j else (ids[l][:, None] != ids[right][None, :])
-            x, y = np.nonzero(near)
-            found.append(np.stack([ids[l][x], ids[right][y]]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": np.minimum(*both), "b": np.maximum(*both)})
+        sketch, keys = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1) for c in ("sketch", "keys"))
+        sketch = sketch.view(np.uint64)
+        grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        band = int(np.flatnonzero(keys[0] == key[0].as_py())[0])
+        right = np.flatnonzero(own == key[2].as_py())
+        comp, links = comp.copy(), []
+        for x in np.flatnonzero(own == key[1].as_py()).tolist():
+            y = right[(comp[right] != comp[x])]
+            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int32) <= limit]
+            y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+            if not len(y):
+                continue
+            own_set, sets = grams[x], [grams[k] for k in y.tolist()]
+            flat, size = np.concatenate(sets), np.array([len(g) for g in sets])
+            found = own_set[np.minimum(np.searchsorted(own_set, flat), len(own_set) - 1)] == flat
+            common = np.add.reduceat(found, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
+            for k in y[100 * common >= percent * (len(own_set) + size - common)].tolist():
+                if comp[k] != comp[x]:
+                    links.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                    comp[comp == comp[k]] = comp[x]
+        return pa.table({"a": pa.array([l[0] for l in links], pa.int64()), "b": pa.array([l[1] for l in links], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -194,11 +204,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
     buckets = reps.select("id", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    buckets = cut(buckets.join(shared, "key"), "buckets")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = buckets.join(shared, "key")
+    # The class that shares most with others is likely the one that the others were made from.
+    shares = buckets.groupBy("id").agg(F.sum("m").alias("shares"))
+    buckets = cut(buckets.join(shares, "id").select("key", "id", "shares"), "buckets")
     sketches = reps.select("id", "n", "sketch")
     limit = sketch_limit(percent)
-
     differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -206,25 +218,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         met = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return met.where(differing <= limit).select("a", "b")
 
-    links, comp, apart = None, None, buckets.withColumn("comp", F.col("id"))
-    for turn in range(3):
-        if turn < 2:
-            # A centre per bucket, the same order in all buckets, so that most buckets name the same pair.
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            centre = apart.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
-            pairs = apart.join(centre, "key").where("comp <> c.comp").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
-            pairs = cut(likely(pairs), "pairs")
-        else:
-            pairs = cut(across(apart.join(sketches, "id").select("key", "id", "comp", "n", "sketch"), percent), "pairs")
-        new = confirmed(docs, pairs, percent)
+    apart, links, comp = buckets.withColumn("comp", F.col("id")), None, None
+    for turn in range(STARS):
+        # A centre per bucket, by one order for all buckets, so that most buckets name the same pairs.
+        order = F.struct(-F.col("shares"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        centre = apart.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
+        pairs = apart.join(centre, "key").where("comp <> c.comp").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
+        new = confirmed(docs, cut(likely(pairs), "pairs"), percent)
         links = new if links is None else links.unionAll(new)
         comp = components(links)
-        apart = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        if turn < 2:
-            mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-            apart = cut(apart.join(mixed, "key"), "apart")
-            if apart.isEmpty():
-                break
+        named = buckets.join(comp, "id", "left").select("key", "id", "shares", F.coalesce("comp", "id").alias("comp"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        apart = cut(named.join(mixed, "key"), "apart")
+        if apart.isEmpty():
+            break
+    else:
+        sets = cut(member_sets(docs, apart.select("id").distinct()), "sets")
+        rows = apart.join(reps.select("id", "n", "keys", "sketch"), "id").join(sets, "id")
+        links = links.unionAll(cut(across(rows.select("key", "id", "comp", "n", "keys", "sketch", "grams"), percent), "links"))
     whole = components(links.unionAll(copies))
     named = whole.select(F.col("id").alias("doc_id"), "comp")
     out = marks.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedwise.llm.common import LOWER, byte_chunks, components, cut, list_array, mix, prefix_hash, runs_hash, span_hash, word_spans, word_table
+from bedwise.llm.common import LOWER, bloom, byte_chunks, components, cut, in_bloom, list_array, mix, prefix_hash, runs_hash, span_hash, word_spans, word_table
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
 BITS = 512
+BLOOM_BITS = 1 << 26
 BLOCK = 1024
 STARS = 3
 SPACE = word_table(lambda b: not (b == 32 or 9 <= b <= 13))
@@ -118,18 +119,30 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, grams binary): the full shingle sets of the wanted documents."""
+    """(id, grams binary): the full shingle sets of the wanted documents, and of few others.
+
+    A bitmap of fixed size picks them while the texts are read, so no text is shuffled; what it lets through by chance
+    falls out of the joins that follow.
+    """
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["k"])
+
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.mapInArrow(hashed, "k long"), "k", BLOOM_BITS))
 
     def run(batches):
         for batch in batches:
+            some = pa.array(np.flatnonzero(in_bloom(wanted.value, mix(batch.column(0).to_numpy().view(np.uint64)))))
+            batch = batch.take(some)
             for lo, hi, values, offsets in shingle_sets(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo),
                     pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()),
                 ], ["id", "grams"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, grams binary")
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return known.mapInArrow(run, "id long, grams binary")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

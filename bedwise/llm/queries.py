@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedwise.llm import decontaminate, embedding_dedup, minhash_dedup, mixing, suffix_dedup, token_store, toxicity, url_filter
+from bedwise.llm import decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, pii, suffix_dedup, token_store, toxicity, url_filter
 from bedwise.llm.common import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -141,6 +141,12 @@ def _(spark, sf):
     return suffix_dedup.without_repeats(table(spark, sf, "documents")).drop("kept")
 
 
+@query("op7_html_extract")
+def _(spark, sf):
+    pages = table(spark, sf, "pages")
+    return html_extract.main_text(pages, html_extract.train(pages))
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -192,6 +198,12 @@ def _(spark, sf):
     return mixing.mixture(table(spark, sf, "documents"))
 
 
+@query("op9_pii")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return pii.personal_data_report(docs, pii.train(pii.labelled_table(spark, docs)))
+
+
 DECONTAMINATE_SQL = r"""
 WITH iw AS (
   SELECT item_id, regexp_extract_all(""" + LOWERED.format("text") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark

@@ -23,6 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from bedwise.llm.common import LOWER, byte_chunks, cut, prefix_hash, span_hash, word_spans, word_table
 
@@ -156,24 +157,38 @@ class ToxicityModel:
     def __init__(self, lexicon: np.ndarray, trees=None, calibration=None, share: float = 0.0):
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """Rows (doc_id, held_out, score, predicted)."""
-        lexicon = self.lexicon
+    def _scored(self, docs: DataFrame) -> DataFrame:
+        """``docs`` (any columns that a row of features may carry along, and text) without text, with ``score``."""
+        lexicon, others = self.lexicon, [c for c in docs.columns if c != "text"]
+        schema = with_features(docs, others)
 
         def run(batches):
             for batch in batches:
-                for lo, hi, x in features(batch.column(1), lexicon):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(x))], ["doc_id", "x"])
+                for lo, hi, x in features(batch.column("text"), lexicon):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in others), pa.array(list(x))], [*others, "x"])
 
-        rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+        rows = docs.mapInArrow(run, schema)
         if self.trees is None:
             scored = rows.withColumn("score", F.lit(float(self.share)))
         else:
             raw = self.trees.transform(rows.withColumn("features", array_to_vector("x"))).withColumn("raw", vector_to_array("probability")[1])
-            scored = self.calibration.transform(raw.select("doc_id", "raw"))
-        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+            scored = self.calibration.transform(raw.select(*others, "raw"))
+        return scored.select(*others, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """Rows (doc_id, held_out, score, predicted)."""
+        scored = self._scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
         held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
-        return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+        return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+    def keep(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` that are not predicted toxic. Rows travel with their features, so there is no join."""
+        scored = self._scored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
+        return scored.where(F.col("score") < THRESHOLD).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def with_features(docs: DataFrame, others: list[str]) -> StructType:
+    return StructType([docs.schema[c] for c in others] + [StructField("x", ArrayType(DoubleType()))])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:

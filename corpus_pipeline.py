@@ -9,15 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bedwise.llm import decontaminate, minhash_dedup, mixing
+from bedwise.llm import decontaminate, minhash_dedup, mixing, token_store, toxicity
 from bedwise.llm.common import new_path, ship
+from bedwise.llm.queries import tokenizer_path
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labels of the documents."""
+    ship(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.keep(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: one document of each group stays. Rows with one doc_id are one document; null ids all stay."""
+    """Near duplicates: one document of each group stays. Of rows with one doc_id one stays; rows without an id all stay."""
     ship(spark)
-    first = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    first = minhash_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    chosen = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +41,18 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed(docs)
 
 
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix in files, described as read back."""
+    ship(spark)
+    return token_store.token_table(docs, tokenizer_path())
+
+
 STAGES = [
+    ("toxicity", without_toxic),
     ("minhash_near_dedup", keep_one_of_each_group),
     ("benchmark_decontamination", without_benchmark),
     ("source_mixing", mixed_sources),
+    ("token_files", token_files),
 ]
 ORACLE_SQL = None
 

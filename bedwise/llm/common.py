@@ -98,9 +98,9 @@ def bloom(frame: DataFrame, column: str, bits: int) -> np.ndarray:
     shift = bits.bit_length() - 1
     places = frame.select(F.explode(F.array(F.expr(f"`{column}` & {bits - 1}L"), F.expr(f"shiftrightunsigned(`{column}`, {shift}) & {bits - 1}L"))).alias("p"))
     cells = places.groupBy(F.shiftright("p", 6).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v"))
-    table = cells.toPandas()
+    table = cells.toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[table["cell"].to_numpy(np.int64)] = table["v"].to_numpy(np.int64).view(np.uint64)
+    out[table["cell"].to_numpy()] = table["v"].to_numpy().view(np.uint64)
     return out
 
 

@@ -28,7 +28,7 @@ from bedwise.llm.common import LOWER, bloom, byte_chunks, components, cut, in_bl
 WIDTH = 5
 BANDS, ROWS = 24, 5
 BITS = 512
-BLOOM_BITS = 1 << 26
+BLOOM_BITS = 1 << 25
 BLOCK = 1024
 STARS = 3
 SPACE = word_table(lambda b: not (b == 32 or 9 <= b <= 13))

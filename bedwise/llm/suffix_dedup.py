@@ -35,7 +35,7 @@ from bedwise.llm.common import INVERSE, bloom, byte_chunks, cut, in_bloom, mix,
 WIDTH, ANCHOR = 200, 64
 REACH = WIDTH - ANCHOR
 RANGES, PARTS = 4, 4
-BLOOM_BITS = 1 << 26
+BLOOM_BITS = 1 << 25
 LARGE = 20_000
 LOW = np.array([-REACH + (REACH + 1) * r // RANGES for r in range(RANGES)])
 HIGH = np.append(LOW[1:] - 1, 0)

@@ -149,7 +149,7 @@ def learned_lexicons(rows: DataFrame) -> list[np.ndarray]:
         odds = F.log((bad + 0.1) / (n_bad + 1.0)) - F.log((good + 0.1) / (n_good + 1.0))
         best = per.select("term", bad.alias("bad"), odds.alias("odds")).where(f"bad >= {LEAST_DOCS} AND odds >= {LEAST_ODDS}")
         best = best.orderBy(F.col("bad").desc(), "term").limit(LEXICON)
-        lexicons.append(best.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+        lexicons.append(best.select("term").toArrow()["term"].to_numpy().view(np.uint64))
     return lexicons
 
 

@@ -70,6 +70,21 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_single(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces of one pre-token each: many in one text, told apart by the library's word numbers."""
+        out = []
+        for lo in range(0, len(pieces), 2000):
+            some = pieces[lo:lo + 2000]
+            e = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+            word, ids = np.array(e.word_ids), np.array(e.ids, "<u4")
+            ends = np.flatnonzero(np.append(word[1:] != word[:-1], True)) + 1 if len(word) else word
+            if len(ends) != len(some):  # a piece that the library divides
+                out += self._encode(some)
+                continue
+            data, at = ids.tobytes(), (4 * ends).tolist()
+            out += [data[a:b] for a, b in zip([0, *at[:-1]], at)]
+        return out
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
@@ -81,8 +96,8 @@ class WordEncoder:
                 parts[w] = (m[1], m[2].decode().lower().encode(), m[3])
             else:
                 odd.append(w)
-        missing = list({p for t in parts.values() for p in t} - self.pieces.keys())
-        self.pieces.update(zip(missing, self._encode(missing)))
+        missing = [p for p in {p for t in parts.values() for p in t} if p not in self.pieces]
+        self.pieces.update(zip(missing, self._encode_single(missing)))
         get = self.pieces.__getitem__
         self.words.update((w, get(a) + get(b) + get(c)) for w, (a, b, c) in parts.items())
         self.words.update(zip(odd, self._encode(odd)))

@@ -41,14 +41,15 @@ from bedwise.llm.common import new_path
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-ROUNDS = 5
+ROUNDS = 3
 LEAST = 8
 MAX_RULES = 16_000
-CACHE_WORDS = 600_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 1_000_000
 MAGIC = b"RPG1"
 
 # Letters of ASCII and Latin-1 with punctuation around them: the three are always encoded apart.
 _PUNCTUATION = rb"[!-&(-/:-@\[-`{-~]*"
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 _PLAIN = re.compile(rb"(" + _PUNCTUATION + rb")((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(" + _PUNCTUATION + rb")")
 
 
@@ -86,21 +87,35 @@ class WordEncoder:
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, self.pieces, new = {}, {b"": b""}, list(words)
-        parts, odd = {}, []
-        for w in new:
+        known = self.words
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list(words)
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {b"": b""}
+        # Letters alone, letters with one mark after them, and all else.
+        alone = [w for w in new if w.isalpha()]
+        marked = [w for w in new if not w.isalpha() and w[:-1].isalpha() and w[-1] in PUNCTUATION]
+        rest = [w for w in new if not w.isalpha() and not (w[:-1].isalpha() and w[-1] in PUNCTUATION)]
+        low, low_marked = list(map(bytes.lower, alone)), [w[:-1].lower() for w in marked]
+        parts, odd = [], []
+        for w in rest:
             m = _PLAIN.fullmatch(w)
             if m and b"<|" not in w:
-                parts[w] = (m[1], m[2].decode().lower().encode(), m[3])
+                parts.append((w, m[1], m[2].decode().lower().encode(), m[3]))
             else:
                 odd.append(w)
-        missing = [p for p in {p for t in parts.values() for p in t} if p not in self.pieces]
-        self.pieces.update(zip(missing, self._encode_single(missing)))
-        get = self.pieces.__getitem__
-        self.words.update((w, get(a) + get(b) + get(c)) for w, (a, b, c) in parts.items())
-        self.words.update(zip(odd, self._encode(odd)))
+        wanted = {p for t in parts for p in t[1:]}
+        wanted.update(low, low_marked, {w[-1:] for w in marked})
+        pieces = self.pieces
+        missing = [p for p in wanted if p not in pieces]
+        pieces.update(zip(missing, self._encode_single(missing)))
+        get = pieces.__getitem__
+        known.update(zip(alone, map(get, low)))
+        known.update((w, get(c) + get(w[-1:])) for w, c in zip(marked, low_marked))
+        known.update((w, get(a) + get(b) + get(c)) for w, a, b, c in parts)
+        known.update(zip(odd, self._encode(odd)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # at ASCII white space

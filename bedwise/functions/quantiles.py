@@ -1,26 +1,20 @@
-"""Exact quantiles that never hold one group's values in one place.
+"""Exact quantiles by one plan for every size, without collecting anything.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
-mergeable sketch brackets the wanted rank, round after round; each round leaves less
-than 1% of the rows strictly inside the bracket. Once at most ``limit`` rows are inside, the
-values between the bracket ends are counted exactly and ordered: at most ``limit + 2``
-distinct values per (group, column, bracket), however often a value repeats.
+One aggregation takes a mergeable sketch per (group, column), which brackets each wanted rank. A second
+pass counts the rows below a bracket and groups the values inside it: a few ten-thousandths of the
+rows of a group, and fewer distinct values. The running count over these gives the two values next
+to the rank. Groups, brackets and counts stay in DataFrames, however many keys there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The sketch's rank error is at most rows / ACCURACY.
 ACCURACY = 10_000
-LIMIT = 1_000_000
-# Marks per round. The sketch's rank error is a tenth of the distance between two marks.
-STEPS = 1000
-
-_BRACKET = "p double, n bigint, lo double, hi double, below bigint, interior bigint"
-_INF = float("inf")
 
 
 def _is_value(c: str):
@@ -35,95 +29,62 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return df.select(*by, F.inline(pairs)).where(_is_value("value"))
 
 
+def brackets(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str], accuracy: int,
+) -> DataFrame:
+    """``(by..., column, n, p, lo, hi)``: values between which the rank p * (n - 1) lies for certain."""
+    margin = 2 / accuracy
+    marks = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
+    sketches = df.groupBy(*by).agg(*[
+        F.struct(
+            F.count_if(_is_value(c)).alias("n"),
+            F.percentile_approx(F.when(_is_value(c), F.col(c).cast("double")), marks, accuracy).alias("marks"),
+        ).alias(f"_{i}")
+        for i, c in enumerate(columns)
+    ])
+    per = sketches.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_{i}.n").alias("n"), F.col(f"_{i}.marks").alias("marks"))
+        for i, c in enumerate(columns)
+    ]))).where("n > 0")
+    # The margin covers the sketch's error once it is more than a row or two; below, all values are inside.
+    sure = F.col("n") >= 2 * accuracy
+    k = len(probabilities)
+    return per.select(*by, "column", "n", F.inline(F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("p"),
+            F.when(sure & F.lit(p > margin), F.col("marks")[i]).otherwise(float("-inf")).alias("lo"),
+            F.when(sure & F.lit(p < 1 - margin), F.col("marks")[k + i]).otherwise(float("inf")).alias("hi"),
+        )
+        for i, p in enumerate(probabilities)
+    ])))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    limit: int = LIMIT,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Linearly interpolated quantiles: ``(by..., column, p, value)``.
-
-    ``by`` names keys with few values (weekday, season). Columns without values give no row.
-    Brackets go through the driver: one row per (group, column, rank).
-    """
-    spark, limit = df.sparkSession, max(limit, STEPS)
-    values = long_values(df, columns, by)
+    """Linearly interpolated quantiles: ``(by..., column, p, value)``. Columns without values give no row."""
     keys = [*by, "column"]
-    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by) + f"column string, {_BRACKET}"
-
-    sizes = df.groupBy(*by).agg(*[F.count_if(_is_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()
-    brackets = [
-        Row(**{b: r[b] for b in by}, column=c, p=float(p), n=r[f"n{i}"], lo=-_INF, hi=_INF, below=0, interior=r[f"n{i}"])
-        for r in sizes for i, c in enumerate(columns) if r[f"n{i}"] for p in probabilities
-    ]
-    done = [b for b in brackets if b["interior"] <= limit]
-    wide = [b for b in brackets if b["interior"] > limit]
-    while wide:
-        brackets = _narrowed(values, spark.createDataFrame(wide, schema), keys, accuracy, schema)
-        done += [b for b in brackets if b["interior"] <= limit]
-        wide = [b for b in brackets if b["interior"] > limit]
-
-    # Ranks that share a bracket share its counts.
-    number: dict[tuple, int] = {}
-    for b in done:
-        number.setdefault(tuple(b[c] for c in (*keys, "lo", "hi", "below")), len(number))
-    wanted = spark.createDataFrame(
-        [(number[tuple(b[c] for c in (*keys, "lo", "hi", "below"))], *b) for b in done], f"bracket int, {schema}")
-    ranges = spark.createDataFrame(
-        [(i, *k[:-1]) for k, i in number.items()], wanted.select("bracket", *keys, "lo", "hi").schema)
+    ranks = brackets(df, columns, probabilities, by, accuracy)
+    inside = F.col("value").between(F.col("lo"), F.col("hi"))
     counts = (
-        values.join(ranges, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("c"))
+        long_values(df, columns, by).join(ranks, keys).where(F.col("value") <= F.col("hi"))
+        # What lies below a bracket is one row without a value.
+        .groupBy(*keys, "p", "n", F.when(inside, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("c"))
     )
-    order = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
     position = F.col("p") * (F.col("n") - 1)
-    part = F.first("position") - F.floor(F.first("position"))
-    reached = F.col("below") + F.col("within")
+    reached = F.sum("c").over(order)
     return (
-        counts.select("bracket", "value", "c", F.sum("c").over(order).alias("within"))
-        .join(wanted.select("bracket", *keys, "p", "below", position.alias("position")), "bracket")
-        # Only the values at the two ranks around the position.
-        .where((reached > F.floor("position")) & (reached - F.col("c") <= F.ceil("position")))
+        counts.withColumn("reached", reached).where(F.col("value").isNotNull())
         .groupBy(*keys, "p")
         .agg(
-            F.min(F.when(reached > F.floor("position"), F.col("value"))).alias("a"),
-            F.min(F.when(reached > F.ceil("position"), F.col("value"))).alias("b"),
-            part.alias("part"),
+            F.min(F.when(F.col("reached") > F.floor(position), F.col("value"))).alias("a"),
+            F.min(F.when(F.col("reached") > F.ceil(position), F.col("value"))).alias("b"),
+            F.first(position - F.floor(position)).alias("part"),
         )
         .select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
     )
-
-
-def _narrowed(values: DataFrame, wide: DataFrame, keys: list[str], accuracy: int, schema: str) -> list[Row]:
-    """One round: a tighter bracket around each wanted rank, and the rows below and inside it."""
-    spark, rank_keys = values.sparkSession, [*keys, "p"]
-    # Position of the wanted value among the rows inside the bracket, from 0. The marks next to
-    # it are left out, which covers the sketch's rank error.
-    position = F.col("p") * (F.col("n") - 1) - F.col("below")
-    first = (F.floor((position - 1) / F.col("m") * STEPS) - 1).cast("int")
-    last = (F.ceil((position + 2) / F.col("m") * STEPS) + 1).cast("int")
-    ends = (
-        values.join(wide, keys).where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy(*rank_keys)
-        .agg(
-            *[F.first(c).alias(c) for c in ("n", "lo", "hi", "below")],
-            F.count(F.lit(1)).alias("m"),
-            F.percentile_approx("value", [i / STEPS for i in range(STEPS + 1)], accuracy).alias("marks"),
-        )
-        .select(
-            *rank_keys, "n",
-            # The old end stays where the wanted rank is next to it.
-            F.when(first > 0, F.try_element_at("marks", first + 1)).otherwise(F.col("lo")).alias("lo"),
-            F.when(last < STEPS, F.try_element_at("marks", last + 1)).otherwise(F.col("hi")).alias("hi"),
-        )
-    )
-    ends = spark.createDataFrame(ends.collect(), ends.schema)
-    x, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    return (
-        values.join(ends, keys)
-        .groupBy(*rank_keys, "n", "lo", "hi")
-        .agg(F.count_if(x < lo).alias("below"), F.count_if((x > lo) & (x < hi)).alias("interior"))
-        .select(*keys, "p", "n", "lo", "hi", "below", "interior").collect()
-    )

@@ -5,17 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bedwise.functions.columns import calendar_fields
 from bedwise.functions.quantiles import exact_quantiles
 from bedwise.schema import CATEGORY_COLUMNS, EVENT_FLAG_COLUMNS, numeric_columns, string_columns
-from bedwise.settings import FEATURE_COLUMNS, MODEL
-
-# At most this many keys are ordered in one task when a split date is cut by site.
-KEY_LIMIT = 100_000
+from bedwise.settings import CSV, FEATURE_COLUMNS, MODEL
 
 
 def clean_data(df: DataFrame) -> DataFrame:
@@ -29,7 +26,8 @@ def add_temporal_features(df: DataFrame) -> DataFrame:
     if "date" not in df.columns:
         return df
     if isinstance(df.schema["date"].dataType, T.StringType):
-        df = df.withColumn("date", F.try_to_date("date"))
+        # The tables' own format first, then ISO.
+        df = df.withColumn("date", F.coalesce(F.try_to_date("date", CSV.date_pattern), F.try_to_date("date")))
     return df.withColumns(calendar_fields(F.col("date")))
 
 
@@ -53,8 +51,8 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fill_missing_values(df: DataFrame) -> DataFrame:
     """Nulls become the column median (numeric) or mode (string) over all rows.
 
-    The fill values are fitted first, one row per column. An integer column whose median
-    has a fraction becomes double. All-null columns stay as they are.
+    The fill values are fitted first, one row per column: one job finds the columns with nulls, one their
+    medians and modes. An integer column whose median has a fraction becomes double. All-null columns stay as they are.
     """
     numeric, text = numeric_columns(df), string_columns(df)
     if not numeric and not text:
@@ -62,23 +60,27 @@ def fill_missing_values(df: DataFrame) -> DataFrame:
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric + text]).first()
     numeric = [c for c in numeric if nulls[c]]
     text = [c for c in text if nulls[c]]
+    medians = [column_medians(df, numeric).select("column", F.col("value").alias("number"), F.lit(None).cast("string").alias("word"))] if numeric else []
+    modes = [column_modes(df, text).select("column", F.lit(None).cast("double").alias("number"), F.col("value").alias("word"))] if text else []
+    if not medians + modes:
+        return df
     fills: dict[str, Column] = {}
-    if numeric:
-        for column, value in column_medians(df, numeric).collect():
-            keep = not isinstance(df.schema[column].dataType, T.IntegralType) or value == int(value)
-            type_ = df.schema[column].dataType if keep else T.DoubleType()
-            fills[column] = F.coalesce(F.col(column).cast(type_), F.lit(value).cast(type_))
-    if text:
-        for column, value in column_modes(df, text).collect():
-            fills[column] = F.coalesce(F.col(column), F.lit(value))
-    return df.withColumns(fills) if fills else df
+    for column, number, word in reduce(DataFrame.unionAll, medians + modes).collect():
+        if column in text:
+            fills[column] = F.coalesce(F.col(column), F.lit(word))
+            continue
+        keep = not isinstance(df.schema[column].dataType, T.IntegralType) or number == int(number)
+        type_ = df.schema[column].dataType if keep else T.DoubleType()
+        fills[column] = F.coalesce(F.col(column).cast(type_), F.lit(number).cast(type_))
+    return df.withColumns(fills)
 
 
 def preprocess_data(df: DataFrame, add_time_features: bool = True, fill_missing: bool = True) -> DataFrame:
     df = clean_data(df)
     if add_time_features:
         df = add_temporal_features(df)
-    return fill_missing_values(df) if fill_missing else df
+    # The fill values and the result read the rows without repeating the shuffle that drops equal ones.
+    return fill_missing_values(df.persist()) if fill_missing else df
 
 
 def get_feature_columns(df: DataFrame | None = None, extra: Sequence[str] = ()) -> list[str]:
@@ -112,69 +114,43 @@ def prepare_model_data(df: DataFrame, target_col: str = MODEL.target) -> DataFra
     return df.select(*columns, *([target_col] if target_col in df.columns else []))
 
 
-def key_at(counts: DataFrame, key: str, n: int, limit: int = KEY_LIMIT) -> str | None:
-    """Largest string key with at most ``n`` rows at or before it; null if the first has more.
-
-    ``counts`` holds ``(key, rows)``. While more than ``limit`` keys are left, one leading
-    character more is fixed; then at most ``limit`` keys come to the driver.
-    """
-    best, prefix = None, ""
-    while len(left := counts.limit(limit + 1).collect()) > limit:
-        width = len(prefix) + 1
-        lead = F.substring(key, 1, width)
-        heads = counts.groupBy(lead.alias("head")).agg(F.sum("rows").alias("rows")).collect()
-        whole, split, n = _fitting(heads, n)
-        if whole is not None:
-            best = counts.where(lead <= F.lit(whole)).agg(F.max(key)).first()[0]
-        if split is None or len(split) < width:  # all keys fit, or one key has more rows than are left
-            return best
-        prefix = split
-        counts = counts.where(F.col(key).startswith(prefix))
-    whole, _, _ = _fitting(left, n)
-    return best if whole is None else whole
-
-
-def _fitting(counts: Sequence[Row], n: int) -> tuple[str | None, str | None, int]:
-    """Last key that fits into ``n`` rows, the first that does not, and the rows left."""
-    whole = None
-    for key, rows in sorted(counts, key=lambda r: r[0].encode()):
-        if rows > n:
-            return whole, key, n
-        n -= rows
-        whole = key
-    return whole, None, n
-
-
-def train_condition(
+def split_rows(
     df: DataFrame, n_train: Column, date_column: str = "date", site_column: str = "hospital_id",
-) -> Column:
-    """True for the first ``n_train`` rows by (date, site); ``n_train`` may use the row count ``n``.
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``n_train`` rows by (date, site), and the rest; ``n_train`` may use the row count ``n``.
 
-    The cut is a threshold on (date, site) found from row counts, so a split moves no rows.
+    Rows equal in date and site stand in the order of a hash of all columns; rows equal in all columns are
+    interchangeable. The cut is found from counts: per date (bounded by the calendar), per site of the cut date, per
+    bucket of the hash at the cut site. Only the rows of one bucket are ranked; all others are filtered.
     """
-    day = F.col(date_column)
-    # One row per date: bounded by the calendar.
-    per_day = df.groupBy(date_column).agg(F.count(F.lit(1)).alias("rows"))
-    order = Window.orderBy(F.asc_nulls_last(date_column)).rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        per_day.select(
-            date_column, "rows", F.sum("rows").over(order).alias("reached"),
-            F.sum("rows").over(Window.partitionBy()).alias("n"),
-        )
-        .withColumn("left", n_train.cast("bigint") - (F.col("reached") - F.col("rows")))
-        .where((F.col("left") >= 0) & (F.col("left") < F.col("rows")))
-        .first()
-    )
-    if cut is None:
-        return F.lit(True)
-    first = day.isNotNull() if cut[date_column] is None else day < F.lit(cut[date_column])
-    if cut["left"] and site_column in df.columns:
-        same = day.eqNullSafe(F.lit(cut[date_column]))
-        on_day = df.where(same).groupBy(site_column).agg(F.count(F.lit(1)).alias("rows"))
-        site = key_at(on_day.where(F.col(site_column).isNotNull()), site_column, cut["left"])
-        if site is not None:
-            first = first | (same & (F.col(site_column) <= F.lit(site)))
-    return F.coalesce(first, F.lit(False))
+    day = F.col(date_column).cast("date")
+    steps = [day]
+    if site_column in df.columns:
+        steps.append(F.col(site_column))
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    steps.append(F.shiftrightunsigned(row_hash, 48))
+    left, first, at = n_train.cast("bigint"), F.lit(False), F.lit(True)
+    for k, step in enumerate(steps):
+        # One row per date, site of a date, or bucket: what a running sum in one task can hold.
+        counts = df.where(at).groupBy(step.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+        order = Window.orderBy(F.asc_nulls_last("key")).rowsBetween(Window.unboundedPreceding, 0)
+        reached = counts.withColumn("reached", F.sum("rows").over(order))
+        if k == 0:
+            reached = reached.withColumn("n", F.sum("rows").over(Window.partitionBy()))
+        rest = left - (F.col("reached") - F.col("rows"))
+        cut = reached.withColumn("left", rest).where((F.col("left") >= 0) & (F.col("left") < F.col("rows"))).first()
+        if cut is None:
+            return (df, df.limit(0)) if k == 0 else (df.where(first), df.where(~first))
+        before = step.isNotNull() if cut["key"] is None else F.coalesce(step < F.lit(cut["key"]), F.lit(False))
+        first, at, left = first | (at & before), at & step.eqNullSafe(F.lit(cut["key"])), F.lit(cut["left"]).cast("bigint")
+    later = ~(first | at)
+    # Equal rows are one row with a count, so none has to be told from another.
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    bucket = df.where(at).groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.orderBy(F.xxhash64(*columns), *columns).rowsBetween(Window.unboundedPreceding, 0))
+    bucket = bucket.withColumn("_train", F.greatest(F.lit(0), F.least("_rows", F.col("_rows") - upto + left)))
+    times = lambda n: bucket.withColumn("_again", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*columns)
+    return df.where(first).unionAll(times(F.col("_train"))), df.where(later).unionAll(times(F.col("_rows") - F.col("_train")))
 
 
 def rounded_down(test_size: float) -> Column:
@@ -190,20 +166,15 @@ def rest_rounded_up(test_size: float) -> Column:
 def get_train_test_split(
     df: DataFrame, test_size: float = MODEL.test_size, date_column: str = "date", site_column: str = "hospital_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """The first ``int(n * (1 - test_size))`` rows by (date, site) train, the rest test.
-
-    Both parts are plain filters. Rows equal in date and site stay together, in the test part.
-    """
-    train = train_condition(df, rounded_down(test_size), date_column, site_column)
-    return df.where(train), df.where(~train)
+    """The first ``int(n * (1 - test_size))`` rows by (date, site) train, the rest test."""
+    return split_rows(df, rounded_down(test_size), date_column, site_column)
 
 
 def unshuffled_split(
     df: DataFrame, test_size: float = MODEL.test_size, date_column: str = "date", site_column: str = "hospital_id",
 ) -> tuple[DataFrame, DataFrame]:
     """As ``get_train_test_split``, with the size of the test part rounded up."""
-    train = train_condition(df, rest_rounded_up(test_size), date_column, site_column)
-    return df.where(train), df.where(~train)
+    return split_rows(df, rest_rounded_up(test_size), date_column, site_column)
 
 
 def union_all(tables: Sequence[DataFrame]) -> DataFrame:

@@ -13,51 +13,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-# Added before rounding on both sides, so that a value half way between two roundings goes the
-# same way whatever order its sum was taken in.
-NUDGE = 3.7e-8
-
-
-def nudged(sql: str) -> str:
-    """``round(x, d)`` -> ``round((x) + NUDGE, d)`` throughout a statement."""
-    out, at = [], 0
-    for found in re.finditer(r"\bround\(", sql):
-        if found.start() < at:
-            continue
-        depth, comma, i = 1, None, found.end()
+def rounded_columns(sql: str) -> dict[str, int]:
+    """Columns that a statement rounds, ``round(..., digits) AS name``: sums whose last digits depend on their order."""
+    found = {}
+    for start in re.finditer(r"\bround\(", sql):
+        depth, comma, i = 1, None, start.end()
         while depth:
             depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[i], 0)
             if sql[i] == "," and depth == 1:
                 comma = i
             i += 1
-        out.append(sql[at:found.end()])
-        if comma is None:
-            out.append(sql[found.end():i])
-        else:
-            out.append(f"({nudged(sql[found.end():comma])}) + {NUDGE}{sql[comma:i]}")
-        at = i
-    return "".join(out) + sql[at:]
+        name = re.match(r"\s+AS\s+(\w+)", sql[i:], re.I)
+        if comma and name and sql[comma + 1:i - 1].strip().isdigit():
+            found[name[1]] = int(sql[comma + 1:i - 1])
+    return found
 
 
-def query(name: str, sql: str | None = None, digits: int = 6):
-    """Register a query. Doubles are rounded so that sums in another order compare equal."""
+def query(name: str, sql: str | None = None):
+    """Register a query. Doubles that its SQL rounds are rounded alike; all else is returned as the operator made it."""
+    digits = rounded_columns(sql or "")
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            return fixed(build(spark, sf), digits)
+            return rounded(build(spark, sf), digits)
 
         run.__name__ = name
         run.build, run.digits = build, digits
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = nudged(sql)
+            ORACLE[name] = sql
         return build
 
     return register
 
 
-def fixed(df: DataFrame, digits: int) -> DataFrame:
+def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.select(*[
-        F.round(F.col(f"`{f.name}`") + F.lit(NUDGE), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+        F.round(F.col(f"`{f.name}`"), digits[f.name]).alias(f.name) if f.name in digits and isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])

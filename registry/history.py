@@ -316,7 +316,7 @@ def _(spark, sf):
 VARIABLE_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VARIABLE_LABELS.items())
 
 
-@query("labelled_correlations", f"""WITH {TARGET_CORR} SELECT CASE variable {VARIABLE_CASE} ELSE variable END AS label, round(r, 3) AS r FROM correlated""", digits=3)
+@query("labelled_correlations", f"""WITH {TARGET_CORR} SELECT CASE variable {VARIABLE_CASE} ELSE variable END AS label, round(r, 3) AS r FROM correlated""")
 def _(spark, sf):
     correlated = A.target_correlations(hospital_days(spark, sf), HOSPITAL_NUMBERS)
     return correlated.select(variable_label(F.col("variable")).alias("label"), "r")
@@ -361,7 +361,7 @@ def stats_sql(columns, source: str, digits: int = 3) -> str:
   round(avg({c}), {digits}) AS mean, round(stddev_samp({c}), {digits}) AS std FROM {source}""" for c in columns)
 
 
-@query("column_stats", stats_sql(LINE_NUMBERS, "lineitem"), digits=3)
+@query("column_stats", stats_sql(LINE_NUMBERS, "lineitem"))
 def _(spark, sf):
     return A.column_stats(table(spark, sf, "lineitem"), LINE_NUMBERS)
 
@@ -369,7 +369,7 @@ def _(spark, sf):
 @query("describe", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std,
   CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(CAST(quantile_cont({c}, 0.25) AS DOUBLE), 3) AS q1,
-  round(CAST(median({c}) AS DOUBLE), 3) AS median, round(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 3) AS q3 FROM lineitem""" for c in LINE_NUMBERS), digits=3)
+  round(CAST(median({c}) AS DOUBLE), 3) AS median, round(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 3) AS q3 FROM lineitem""" for c in LINE_NUMBERS))
 def _(spark, sf):
     return A.describe(table(spark, sf, "lineitem"), LINE_NUMBERS)
 
@@ -441,7 +441,20 @@ SELECT hospital_id, date, total_admissions, CASE WHEN rank <= {cut} THEN 'train'
 
 def split_parts(spark, sf, n_train):
     days = supplier_days(spark, sf).select("hospital_id", "date", "total_admissions")
-    return days.withColumn("part", F.when(P.train_condition(days, n_train), "train").otherwise("test"))
+    train, test = P.split_rows(days, n_train)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query("split_of_tied_rows", f"""WITH {LINE_DAYS}, per AS (
+  SELECT hospital_id, date, count(*) AS rows FROM line_days GROUP BY ALL),
+run AS (SELECT *, sum(rows) OVER (ORDER BY date, hospital_id) - rows AS before, floor(sum(rows) OVER () * (1 - 0.25e0)) AS cut FROM per)
+SELECT hospital_id, date, CAST(greatest(0, least(rows, cut - before)) AS BIGINT) AS train_rows,
+  CAST(rows - greatest(0, least(rows, cut - before)) AS BIGINT) AS test_rows FROM run""")
+def _(spark, sf):
+    """Several rows, some of them equal, for a date and site."""
+    train, test = P.get_train_test_split(line_days(spark, sf), 0.25)
+    both = train.withColumn("t", F.lit(1)).unionByName(test.withColumn("t", F.lit(0)))
+    return both.groupBy("hospital_id", "date").agg(F.sum("t").cast("bigint").alias("train_rows"), F.sum(1 - F.col("t")).cast("bigint").alias("test_rows"))
 
 
 @query("chronological_split", "WITH " + SPLIT.format(with_=SUPPLIER, cut="floor(n * (1 - 0.2e0))"))
@@ -616,7 +629,7 @@ def _(spark, sf):
     return V.validate_dataset(flawed(spark, sf)).summary
 
 
-@query("validation_stats", f"WITH {FLAWED} {stats_sql(FLAWED_COLUMNS[2:], 'flawed')}", digits=3)
+@query("validation_stats", f"WITH {FLAWED} {stats_sql(FLAWED_COLUMNS[2:], 'flawed')}")
 def _(spark, sf):
     return V.validate_dataset(flawed(spark, sf)).column_stats
 
@@ -700,7 +713,7 @@ DAILY_PROFILE = [
 ]
 
 
-@query("column_profile", f"WITH {DAILY}, {profile_sql(DAILY_PROFILE, 'daily')}", digits=3)
+@query("column_profile", f"WITH {DAILY}, {profile_sql(DAILY_PROFILE, 'daily')}")
 def _(spark, sf):
     return V.column_profile(daily_facts(spark, sf))
 
@@ -708,7 +721,7 @@ def _(spark, sf):
 @query("line_profile", "WITH " + profile_sql([
     ("l_orderkey", "bigint", "number"), ("l_partkey", "bigint", "number"), ("l_suppkey", "bigint", "number"), ("l_linenumber", "int", "number"),
     ("l_quantity", "double", "number"), ("l_extendedprice", "double", "number"), ("l_discount", "double", "number"), ("l_tax", "double", "number"),
-    ("l_returnflag", "string", "categorical"), ("l_linestatus", "string", "categorical"), ("l_shipdate", "timestamp_ntz", "date")], "lineitem"), digits=3)
+    ("l_returnflag", "string", "categorical"), ("l_linestatus", "string", "categorical"), ("l_shipdate", "timestamp_ntz", "date")], "lineitem"))
 def _(spark, sf):
     return V.column_profile(table(spark, sf, "lineitem"))
 

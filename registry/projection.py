@@ -334,7 +334,7 @@ def pressed(spark, sf):
 PRESSED_RECS = f"{PRESSED}, {actions_sql('pressed', 'day_key, line')}"
 
 
-@query("all_rules", f"""WITH {PRESSED_RECS} SELECT action, priority, unit, description, count(*) AS actions, round(sum(quantity), 3) AS quantity FROM recs GROUP BY ALL""", digits=3)
+@query("all_rules", f"""WITH {PRESSED_RECS} SELECT action, priority, unit, description, count(*) AS actions, round(sum(quantity), 3) AS quantity FROM recs GROUP BY ALL""")
 def _(spark, sf):
     recs = R.generate_recommendations(pressed(spark, sf), keep=["day_key", "line"])
     return recs.groupBy("action", "priority", "unit", "description").agg(F.count(F.lit(1)).alias("actions"), F.sum("quantity").alias("quantity"))
@@ -390,7 +390,7 @@ def _(spark, sf):
     return R.resource_needs(R.generate_recommendations(pressed(spark, sf), keep=["day_key", "line"]))
 
 
-@query("needs_by_unit", f"""WITH {RECS} SELECT scenario, unit, round(sum(quantity), 3) AS quantity FROM recs WHERE unit IS NOT NULL GROUP BY ALL""", digits=3)
+@query("needs_by_unit", f"""WITH {RECS} SELECT scenario, unit, round(sum(quantity), 3) AS quantity FROM recs WHERE unit IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
     return R.needs_by_unit(recommended(spark, sf), ["scenario"])
 

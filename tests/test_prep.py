@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from bedwise.operators.filters import contains_any, event_condition, on_event_days, with_priority
 from bedwise.operators.prep import (
     add_temporal_features, build_features, clean_data, column_modes, fill_missing_values, get_feature_columns,
-    get_train_test_split, key_at, prepare_model_data, preprocess_data, union_all, unshuffled_split,
+    get_train_test_split, prepare_model_data, preprocess_data, union_all, unshuffled_split,
 )
 from bedwise.settings import FEATURE_COLUMNS
 
@@ -120,19 +120,26 @@ def test_split_of_nothing_and_everything(network):
     assert (train.count(), test.count()) == (0, 371)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 5, 11, 12, 13, 36, 37, 100])
-@pytest.mark.parametrize("limit", [1, 4, 1000])
-def test_key_at_matches_a_sort(spark, n, limit):
-    keys = sorted([f"S{i}" for i in range(36)] + ["S1x"])
-    counts = spark.createDataFrame([(k, 1) for k in keys], "k string, rows long")
-    assert key_at(counts, "k", n, limit) == (keys[min(n, 37) - 1] if n else None)
+@pytest.mark.parametrize("with_site", [True, False])
+def test_split_cuts_tied_and_equal_rows(spark, with_site):
+    rows = [(date(2024, 1, 1 + d), "S1", v) for d in range(10) for v in (1, 1, 1, 1, 2)]
+    df = spark.createDataFrame(rows, "date date, hospital_id string, v int")
+    df = df if with_site else df.drop("hospital_id")
+    train, test = get_train_test_split(df, 0.25)
+    assert (train.count(), test.count()) == (37, 13)
+    assert sorted(map(str, train.unionAll(test).collect())) == sorted(map(str, df.collect()))
+    assert train.agg({"date": "max"}).first()[0] <= test.agg({"date": "min"}).first()[0]
 
 
-def test_key_at_with_a_hot_key(spark):
-    counts = spark.createDataFrame([("a", 2), ("b", 1000), ("bc", 3)], "k string, rows long")
-    for limit in (1, 100):
-        assert key_at(counts, "k", 500, limit) == "a"
-        assert key_at(counts, "k", 1002, limit) == "b"
+def test_split_takes_days_of_timestamps(spark):
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int)) AS date, 'S' AS hospital_id FROM range(100)")
+    train, test = get_train_test_split(df, 0.3)
+    assert (train.count(), test.count()) == (70, 30)
+
+
+def test_string_dates_in_the_tables_own_format(spark):
+    df = add_temporal_features(spark.createDataFrame([("31/12/2023",), ("2024-01-02",), ("x",)], "date string"))
+    assert [r["date"] for r in df.collect()] == [date(2023, 12, 31), date(2024, 1, 2), None]
 
 
 def test_union_keeps_missing_columns(spark):

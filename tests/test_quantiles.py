@@ -20,16 +20,28 @@ def test_small(spark, values):
     assert got(exact_quantiles(df, ["x"], PROBS)) == pytest.approx(expected(values))
 
 
-@pytest.mark.parametrize("limit", [1000, 5000])
-def test_narrowing_rounds_match_numpy(spark, limit):
+@pytest.mark.parametrize("accuracy", [100, 2000, 10_000])
+def test_brackets_match_numpy(spark, accuracy):
     rng = np.random.default_rng(7)
     # A third of all rows hold one value; the rest is heavy-tailed.
     values = np.concatenate([np.full(20_000, 2.5), rng.lognormal(1.0, 2.0, 40_000)])
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    result = exact_quantiles(df, ["x"], PROBS, limit=limit)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(5)
+    result = exact_quantiles(df, ["x"], PROBS, accuracy=accuracy)
     assert got(result) == pytest.approx(expected(values), rel=1e-12)
 
 
+def test_many_groups_and_no_job_before_the_action(spark):
+    df = spark.range(40_000).selectExpr("id % 5000 AS k", "cast(id * 7919 % 40009 AS double) AS x")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    result = exact_quantiles(df, ["x"], [0.25, 0.5], by=["k"])
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    found = {(r["k"], r["p"]): r["value"] for r in result.collect()}
+    assert len(found) == 10_000
+    for k in (0, 17, 4999):
+        values = [i * 7919 % 40009 for i in range(k, 40_000, 5000)]
+        assert found[(k, 0.25)] == np.quantile(values, 0.25) and found[(k, 0.5)] == np.quantile(values, 0.5)
+
+
 def test_groups_nulls_and_nan(spark):
     df = spark.createDataFrame(
         [(0, 1.0), (0, None), (0, 3.0), (1, float("nan")), (1, 10.0)], "k int, x double")

@@ -248,7 +248,7 @@ def _(spark, sf):
 
 @query("history_and_forecast", f"""WITH {PREDICTED} SELECT hospital_id, date, 'history' AS series, CAST(total_admissions AS DOUBLE) AS admissions FROM
   (SELECT * FROM supplier_days QUALIFY row_number() OVER (PARTITION BY hospital_id ORDER BY date DESC) <= 90)
-UNION ALL SELECT hospital_id, date, 'forecast', round(predicted_admissions, 6) FROM predicted""")
+UNION ALL SELECT hospital_id, date, 'forecast', round(predicted_admissions, 6) AS admissions FROM predicted""")
 def _(spark, sf):
     return W.labelled_series(W.last_rows(supplier_days(spark, sf), 90), predicted(spark, sf))
 

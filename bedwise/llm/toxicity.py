@@ -141,6 +141,7 @@ def learned_lexicons(rows: DataFrame) -> list[np.ndarray]:
     counts = rows.select("text", F.col("toxic").cast("long"), F.col("fold").cast("long")).mapInArrow(run, "term long, g int, n long")
     sizes = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
     per = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("g") == g, F.col("n"))), F.lit(0)).alias(f"c{g}") for g in range(2 * FOLDS)])
+    per = cut(per, "terms")
     lexicons = []
     for left_out in [*range(FOLDS), None]:
         used = [f for f in range(FOLDS) if f != left_out]

@@ -110,15 +110,22 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str = MOD
 
 
 def top_correlations(correlated: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` strongest positive and the ``n`` strongest negative variables."""
+    """The ``n`` strongest positive and the ``n`` strongest negative variables, strongest first."""
     sign = F.when(F.col("r") > 0, "positive").when(F.col("r") < 0, "negative")
     strongest = Window.partitionBy("sign").orderBy(F.abs("r").desc(), "variable")
     return (
         correlated.withColumn("sign", sign).where(F.col("sign").isNotNull())
         .withColumn("__rank", F.row_number().over(strongest)).where(F.col("__rank") <= n).drop("__rank")
+        .orderBy(F.desc("sign"), F.abs("r").desc(), "variable")
     )
 
 
+def sorted_correlations(correlated: DataFrame) -> DataFrame:
+    """Variables by falling correlation, undefined ones last, with their ``place``. One row per column."""
+    order = Window.orderBy(F.desc_nulls_last("r"), "variable")
+    return correlated.withColumn("place", F.row_number().over(order)).orderBy("place")
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins, the last one closed, empty ones kept: ``(bin, lower, upper, rows)``."""
     x = F.col(column).cast("double")

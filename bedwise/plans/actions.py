@@ -106,8 +106,12 @@ def _rank() -> Column:
 
 
 def get_priority_actions(recommendations: DataFrame, max_priority: str = HIGH) -> DataFrame:
-    """Actions at least as urgent as ``max_priority``, the most urgent first, then by date."""
-    return recommendations.where(_rank() <= PRIORITY_RANK[max_priority]).orderBy(_rank(), "date")
+    """Actions at least as urgent as ``max_priority``, the most urgent first, then by date.
+
+    Site, scenario and rule order follow in the key, so that range partitioning can divide a date's actions.
+    """
+    more = [c for c in ("hospital_id", "scenario", "ord") if c in recommendations.columns]
+    return recommendations.where(_rank() <= PRIORITY_RANK[max_priority]).orderBy(_rank(), "date", *more)
 
 
 def _urgent() -> Column:
@@ -165,7 +169,10 @@ def alert_level(summary: DataFrame) -> DataFrame:
 def action_report(
     recommendations: DataFrame, scenario: str, params: Mapping[str, object], start, horizon: int, generated: str,
 ) -> DataFrame:
-    """The text report as ``(section, date, ord, part, line)``; sorted by the first four it reads top to bottom."""
+    """The text report as ``(section, date, hospital_id, ord, part, line)``; sorted by all but the last it reads top to bottom.
+
+    Entries of a table with several sites name their site.
+    """
     from datetime import timedelta
 
     end = start + timedelta(days=horizon - 1)
@@ -189,22 +196,23 @@ def action_report(
         F.lit(f"- Réduction Lits : {params['beds_reduction']}%"),
         F.lit(f"- Réduction Stocks : {params['stock_reduction']}%"), F.lit(""),
     ]
-    no_day = F.lit(None).cast("date")
+    no_day, no_site = F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("hospital_id")
+    has_site = "hospital_id" in recommendations.columns
     lines = total.select(
-        F.lit(0).alias("section"), no_day.alias("date"), F.lit(0).alias("ord"),
+        F.lit(0).alias("section"), no_day, no_site, F.lit(0).alias("ord"),
         F.posexplode(F.array(*head)).alias("part", "line"),
     )
     titles = [(1, "ACTIONS CRITIQUES", "-----------------"), (2, "ACTIONS PRIORITÉ HAUTE", "----------------------")]
     rows = [F.struct(
-        F.lit(s).alias("section"), no_day.alias("date"), F.lit(0).alias("ord"), F.lit(i).alias("part"), F.lit(t).alias("line"),
+        F.lit(s).alias("section"), no_day, no_site, F.lit(0).alias("ord"), F.lit(i).alias("part"), F.lit(t).alias("line"),
     ) for s, *texts in titles for i, t in enumerate(texts)]
     lines = lines.unionByName(recommendations.sparkSession.range(1).select(F.inline(F.array(*rows))))
     entry = F.array(
-        F.concat(F.lit("["), F.date_format("date", CSV.date_pattern), F.lit("] "), F.col("action")),
+        F.concat(F.lit("["), F.date_format("date", CSV.date_pattern), F.lit("] "), *([F.col("hospital_id"), F.lit(" : ")] if has_site else []), F.col("action")),
         F.concat(F.lit("  → "), F.col("description")), F.lit(""),
     )
     items = recommendations.where(_urgent()).select(
         F.when(F.col("priority") == CRITICAL, 1).otherwise(2).alias("section"), F.col("date").cast("date").alias("date"),
-        "ord", F.posexplode(entry).alias("part", "line"),
+        F.col("hospital_id") if has_site else no_site, "ord", F.posexplode(entry).alias("part", "line"),
     )
     return lines.unionByName(items)

@@ -43,8 +43,9 @@ def get_data_path(spark: SparkSession, paths: Sequence[str]) -> str:
 
 
 def in_date_order(df: DataFrame, column: str = CSV.date_column) -> DataFrame:
-    """Sorted by date, nulls last. For output only: no operator needs sorted input."""
-    return df.orderBy(F.asc_nulls_last(column)) if column in df.columns else df
+    """Sorted by date, nulls last, then by site. For output only: no operator needs sorted input."""
+    sites = ["hospital_id"] if "hospital_id" in df.columns else []
+    return df.orderBy(F.asc_nulls_last(column), *sites) if column in df.columns else df
 
 
 def _reader(spark: SparkSession):
@@ -90,10 +91,18 @@ def load_data(spark: SparkSession, path: str, parse_dates: bool = True) -> DataF
 def load_training_data(
     spark: SparkSession, directory: str, fallback: str | None = None, parse_dates: bool = True,
 ) -> DataFrame:
-    """All ``donnees_*.csv`` of a directory; the single table ``fallback`` where there is none."""
+    """All ``donnees_*.csv`` of a directory, or what ``write_sites`` wrote there; else the single table ``fallback``."""
     paths = _glob(spark, f"{directory}/{TRAINING_FILES}")
     if paths:
         return _load(spark, paths, parse_dates)
+    sites = _glob(spark, f"{directory}/hospital_id=*")
+    if sites:
+        if not _glob(spark, f"{directory}/hospital_id=*/*.csv"):
+            return spark.read.parquet(directory)
+        tables = _load(spark, [f"{directory}/hospital_id=*/*.csv"], parse_dates)
+        # The site stands in the folder's name.
+        site = F.url_decode(F.regexp_extract(F.input_file_name(), "/hospital_id=([^/]*)/", 1))
+        return tables.withColumn("hospital_id", site)
     if fallback is None:
         raise DataNotFoundError(f"no training files in {directory}")
     return load_data(spark, fallback, parse_dates)
@@ -109,9 +118,10 @@ def hospital_catalogue(spark: SparkSession) -> DataFrame:
 
 
 def get_available_hospitals(spark: SparkSession, directory: str) -> DataFrame:
-    """Catalogue rows whose reference file exists."""
-    names = [(p.rsplit("/", 1)[-1],) for p in _glob(spark, f"{directory}/*")]
-    return hospital_catalogue(spark).join(spark.createDataFrame(names, "file string"), "file", "left_semi")
+    """Catalogue rows whose reference file, or folder written by ``write_sites``, exists."""
+    names = [p.rsplit("/", 1)[-1] for p in _glob(spark, f"{directory}/*")]
+    found = F.col("file").isin(names) | F.concat(F.lit("hospital_id="), "hospital_id").isin(names)
+    return hospital_catalogue(spark).where(found)
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:

@@ -55,4 +55,4 @@ def save_validation_report(report: ValidationReport, path: str) -> None:
 
 def write_action_report(lines: DataFrame, path: str) -> None:
     """The report lines as text, top to bottom across the part files."""
-    lines.orderBy("section", "date", "ord", "part").select("line").write.mode("overwrite").text(path)
+    lines.orderBy("section", "date", "hospital_id", "ord", "part").select("line").write.mode("overwrite").text(path)

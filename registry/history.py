@@ -330,6 +330,12 @@ def _(spark, sf):
     return A.top_correlations(A.target_correlations(hospital_days(spark, sf), HOSPITAL_NUMBERS))
 
 
+@query("sorted_correlations", f"""WITH {TARGET_CORR} SELECT variable, round(r, 6) AS r,
+  CAST(row_number() OVER (ORDER BY r DESC NULLS LAST, variable) AS INTEGER) AS place FROM correlated""")
+def _(spark, sf):
+    return A.sorted_correlations(A.target_correlations(hospital_days(spark, sf), HOSPITAL_NUMBERS))
+
+
 def histogram_sql(column: str, source: str, with_: str = "") -> str:
     return f"""WITH {with_} ends AS (SELECT min({column}) AS lo, (max({column}) - min({column})) / 30e0 AS w FROM {source}),
 counts AS (SELECT CAST(least(floor(({column} - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n FROM {source}, ends WHERE {column} IS NOT NULL GROUP BY 1)
@@ -647,15 +653,14 @@ SELECT "column", round_even(gm, 2) AS gen_mean, round_even(rm, 2) AS ref_mean, r
   CASE WHEN abs(gm - rm) / (rm + 1e-9) * 100 < 25e0 THEN 'OK' ELSE 'DRIFT' END AS status FROM both_sides)"""
 
 
-DRIFT = f"""{DAILY}, new_days AS (SELECT * FROM daily WHERE date >= DATE '1998-01-01'), old_days AS (SELECT * FROM daily WHERE date < DATE '1998-01-01' AND hospital_id <> 'ASIA'),
+DRIFT = f"""{DAILY}, new_days AS (SELECT * FROM daily WHERE date >= DATE '1998-01-01'), old_days AS (SELECT * FROM daily WHERE date < DATE '1998-01-01'),
 {drift_sql(DRIFT_COLUMNS, "new_days", "old_days")}"""
 
 
 def drift(spark, sf):
     days = daily_facts(spark, sf).select("hospital_id", "date", *DRIFT_COLUMNS)
     cut = F.lit(date(1998, 1, 1))
-    return V.compare_with_reference(
-        days.where(F.col("date") >= cut), days.where((F.col("date") < cut) & (F.col("hospital_id") != "ASIA")))
+    return V.compare_with_reference(days.where(F.col("date") >= cut), days.where(F.col("date") < cut))
 
 
 @query("drift_comparison", f"WITH {DRIFT} SELECT * FROM compared")
@@ -663,16 +668,16 @@ def _(spark, sf):
     return drift(spark, sf)
 
 
-LINE_DRIFT = f"""{SUPPLIER}, new_days AS (SELECT * FROM supplier_days WHERE supply_delivery_day = 1), old_days AS (SELECT * FROM supplier_days WHERE supply_delivery_day = 0),
+LINE_DRIFT = f"""{SUPPLIER}, new_days AS (SELECT * FROM supplier_days WHERE total_admissions > 1), old_days AS (SELECT * FROM supplier_days WHERE total_admissions = 1),
 {drift_sql(["total_admissions", "patients", "epidemic_level"], "new_days", "old_days")}"""
 
 
 @query("drifted_columns", f"WITH {LINE_DRIFT} SELECT * FROM compared WHERE status = 'DRIFT'")
 def _(spark, sf):
     days = supplier_days(spark, sf)
-    delivered = F.col("supply_delivery_day") == 1
+    busy = F.col("total_admissions") > 1
     columns = ["total_admissions", "patients", "epidemic_level"]
-    return FL.drifted(V.compare_with_reference(days.where(delivered).select(columns), days.where(~delivered).select(columns)))
+    return FL.drifted(V.compare_with_reference(days.where(busy).select(columns), days.where(~busy).select(columns)))
 
 
 @query("calendar_consistency", f"""WITH {WRONG_NAMES}, stored AS (SELECT date, day_of_week, CAST(isodow(date) - 1 AS INTEGER) AS dow, CAST(month(date - 3) AS INTEGER) AS month FROM named)

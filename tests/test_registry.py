@@ -4,6 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from registry.all import ORACLE
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -37,10 +38,7 @@ def test_entry_has_one_row_per_scenario(spark):
     assert df.columns[0] == "scenario" and df.count() == 6
 
 
-@pytest.mark.parametrize("name", [
-    "clean_rows", "filled_gaps", "weekly_resample_by_site", "chronological_split", "stock_ledger", "validation_issues",
-    "scenario_projection", "all_rules", "daily_table", "forest_inputs",
-])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, check, con, name):
     assert check.compare(entry.queries()[name](spark, SF), con.sql(entry.oracle_sql()[name])) == []
 

@@ -107,3 +107,20 @@ def test_reports_are_written(spark, tmp_path):
     lines = R.action_report(recs, "x", X.ScenarioParams().to_dict(), date(2020, 1, 1), 7, "now")
     SM.write_action_report(lines, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).count() == lines.count()
+
+
+@pytest.mark.parametrize("as_csv", [False, True])
+def test_written_sites_are_read_back(spark, tmp_path, as_csv):
+    df = spark.createDataFrame([(date(2024, 1, 1), 5, "HA 1"), (date(2024, 1, 2), 6, "HB"), (date(2024, 1, 3), 7, "HB")], "date date, total_admissions int, hospital_id string")
+    S.write_sites(df, str(tmp_path / "sites"), as_csv=as_csv)
+    back = S.load_training_data(spark, str(tmp_path / "sites"))
+    assert sorted(map(tuple, back.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_report_of_two_sites_keeps_entries_together(spark, tmp_path):
+    rows = [(date(2024, 1, 1), s, a, "CRITIQUE", f"d{s}{a}", o) for s in ("A", "B") for o, a in enumerate(("x", "y"))]
+    recs = spark.createDataFrame(rows, "date date, hospital_id string, action string, priority string, description string, ord int")
+    SM.write_action_report(R.action_report(recs, "x", X.ScenarioParams().to_dict(), date(2024, 1, 1), 7, "now"), str(tmp_path / "r"))
+    text = [r[0] for f in sorted((tmp_path / "r").glob("part-*.txt")) for r in spark.read.text(str(f)).collect()]
+    entries = [t for t in text if t.startswith("[") or t.startswith("  →")]
+    assert entries == [t for s in ("A", "B") for a in ("x", "y") for t in (f"[01/01/2024] {s} : {a}", f"  → d{s}{a}")]

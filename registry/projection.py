@@ -475,8 +475,15 @@ def labelled_days(spark, sf):
     return build_features(hospital_days(spark, sf))
 
 
+_fits: dict[tuple[str, str], tuple] = {}
+
+
 def trained(spark, sf):
-    return L.train_and_evaluate(labelled_days(spark, sf), **SMALL)
+    """One fit for all forest queries of an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fits:
+        _fits[key] = L.train_and_evaluate(labelled_days(spark, sf), **SMALL)
+    return _fits[key]
 
 
 @query("forest_metrics")

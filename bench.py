@@ -29,8 +29,6 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
-        # Wide profiles hold more aggregation buffers than the default limit of generated code.
-        .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -164,7 +164,7 @@ def word_table(is_word) -> np.ndarray:
     return np.array([bool(is_word(b)) for b in range(256)])
 
 
-def byte_chunks(column: pa.Array, limit: int = 1 << 21):
+def byte_chunks(column: pa.Array, limit: int = 1 << 20):
     """Runs of rows of at most ``limit`` bytes, a longer row alone: (first row, end row, bytes, offsets). Null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
     _, off, data = column.buffers()

@@ -44,7 +44,7 @@ SHARD_IDS = 1 << 20
 ROUNDS = 3
 LEAST = 8
 MAX_RULES = 16_000
-CACHE_WORDS, CACHE_PIECES = 300_000, 1_000_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 400_000
 MAGIC = b"RPG1"
 
 # Letters of ASCII and Latin-1 with punctuation around them: the three are always encoded apart.

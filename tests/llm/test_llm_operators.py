@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bedwise.llm import decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, pii, suffix_dedup, token_store, toxicity, url_filter
+from bedwise.llm import decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, pii, queries, suffix_dedup, token_store, toxicity, url_filter
 from bedwise.llm.common import components, ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keys string, s string, size int, comp int"
@@ -266,6 +266,48 @@ def test_vectors_equal_all_pairs(spark):
     assert out[None].n_links == 0 and out[None].component_id is None and out[None].kept
 
 
+def test_vectors_on_a_table_above_the_audit(spark, monkeypatch, tmp_path):
+    """Chains of neighbours between groups of copies, compared with the registered SQL; the audit sees few of the vectors."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 10)
+    monkeypatch.setattr(embedding_dedup, "TABLES", 2)
+    rng = np.random.default_rng(11)
+    rows = []
+    for label in (0, 1):
+        for _ in range(12):
+            v = rng.normal(size=24)
+            for _ in range(10):
+                v = v + rng.normal(scale=0.14, size=24)
+                rows += [(v.tolist(), label)] * 10
+    rng.shuffle(order := np.arange(len(rows)))
+    rows = [(n, *rows[i]) for n, i in enumerate(order.tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = sorted(map(tuple, embedding_dedup.near_vectors(table, 0.98).collect()))
+    path = str(tmp_path / "embeddings.parquet")
+    table.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE["op1_embedding_neardup"]).fetchall())
+    assert len({r[2] for r in want}) < 240 and out == want
+
+
+def test_audit_finds_what_rounds_left(spark, monkeypatch):
+    """Rounds go on while audits find links across groups, and the last addition counts."""
+    monkeypatch.setattr(embedding_dedup, "first_pairs", lambda vectors, threshold, seed: spark.createDataFrame([], "a long, b long, sim double"))
+    real, turns = embedding_dedup.audit, []
+
+    def one_at_a_time(state, *args):
+        share, missed = real(state, *args)
+        turns.append(share)
+        return share, missed.orderBy("a", "b").limit(1)
+
+    monkeypatch.setattr(embedding_dedup, "audit", one_at_a_time)
+    rows = [(2 * k + j, [float(i == k) + 0.01 * j for i in range(5)], 0) for k in range(5) for j in range(2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = sorted(map(tuple, embedding_dedup.near_vectors(table, 0.98).collect()))
+    assert out == [(n, 1, n - n % 2, n % 2 == 0) for n in range(10)] and len(turns) == 6 and turns[-1] == 1.0
+
+
 def test_url_rules_and_aliases(spark):
     link = '<link rel="canonical" href="{}">'.format
     pages = [

@@ -2,7 +2,8 @@
 
 Documents in ascending doc_id order (null first, equal ids by text) are encoded, each followed by an end id. Runs of
 documents form shards of about ``SHARD_IDS`` ids. A shard's ids are compressed by repeatedly replacing frequent pairs by
-nonterminals; a round replaces many pairs at once, the more frequent one where two overlap. The file keeps rules and
+nonterminals; a round replaces many pairs at once, the more frequent one where two overlap, and rounds go on until no pair
+occurs ``LEAST`` times in a row of symbols. The file keeps rules and
 expansion lengths, so any range of ids is decoded without the rest.
 
 Files are Parquet, one row per shard, written by Spark's committer: a lost executor's shard is made again. Columns:
@@ -41,9 +42,7 @@ from bedwise.llm.common import new_path
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-ROUNDS = 3
 LEAST = 8
-MAX_RULES = 16_000
 CACHE_WORDS, CACHE_PIECES = 150_000, 400_000
 MAGIC = b"RPG1"
 
@@ -136,35 +135,40 @@ def encoder(path: str) -> WordEncoder:
 def compress(ids: np.ndarray, vocabulary: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Rules per round, left and right symbols of all rules, and the remaining symbols."""
     seq, rounds, lefts, rights, size = ids.astype(np.uint32), [], [], [], vocabulary
-    slots = np.uint64((1 << 17) - 1)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
+    none = np.iinfo(np.int32).max
+    while len(seq) >= 2 * LEAST:
         pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        ordered = np.sort(pairs)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        # Of a run of one symbol only every second pair counts: the others overlap it.
+        count_it = np.ones(len(pairs), bool)
+        same = np.flatnonzero(seq[:-1] == seq[1:])
+        if len(same):
+            first = np.concatenate([[True], np.diff(same) > 1])
+            count_it[same] = (same - same[first][np.cumsum(first) - 1]) % 2 == 0
+        # A cell counts all pairs of one hash, so a pair in a cell below LEAST is rare; only the others are sorted.
+        cell = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+        there = np.flatnonzero(count_it)
+        there = there[np.bincount(cell[there], minlength=1 << 22)[cell[there]] >= LEAST]
+        order = np.argsort(pairs[there])
+        ordered = pairs[there][order]
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else there
         count = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(count >= LEAST)
-        often = often[np.argsort(-count[often], kind="stable")][:MAX_RULES - sum(rounds)]
         if not len(often):
             break
-        rule = ordered[edge[often]]
-        # Pair -> rank by one probe of a table; where two pairs want one slot the more frequent stays.
-        slot = lambda p: (p * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & slots
-        ranks = np.full(int(slots) + 1, -1, np.int32)
-        ranks[slot(rule[::-1])] = np.arange(len(rule) - 1, -1, -1, dtype=np.int32)
-        rank = ranks[slot(pairs)]
-        rank[(rank < 0) | (rule[rank] != pairs)] = np.iinfo(np.int32).max
-        best = rank < np.iinfo(np.int32).max
+        often = often[np.argsort(-count[often], kind="stable")]
+        rule, place = ordered[edge[often]], np.full(len(edge), none, np.int32)
+        place[often] = np.arange(len(often), dtype=np.int32)
+        rank = np.full(len(pairs), none, np.int32)
+        rank[there[order]] = np.repeat(place, count)
+        best = rank < none
         best[1:] &= rank[1:] < rank[:-1]
         best[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(best)
+        # The most frequent pair is replaced wherever it stands, so each round shortens the row.
         used = np.bincount(rank[at], minlength=len(rule))
         number = np.cumsum(used > 1) - 1
         at = at[used[rank[at]] > 1]
         kept = rule[used > 1]
-        if not len(kept):
-            break
         seq[at] = (size + number[rank[at]]).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False

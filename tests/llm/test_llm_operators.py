@@ -238,6 +238,23 @@ def test_grammar_decodes_any_range():
     assert (shard.document(1) == ids[10_000:10_001]).all() and shard.known.tolist() == [True, False, True]
 
 
+@pytest.mark.parametrize("copies", [2000, 3])
+def test_grammar_leaves_no_frequent_pair(copies):
+    """A passage repeated many times becomes a few symbols, and many different pairs leave no rule out."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 900, 100)
+    ids = np.concatenate([*[passage] * copies, np.tile(rng.permutation(40_000) + 1000, 8), np.full(1001, 7)]).astype("<u4")
+    shard = token_store.Shard(token_store.pack([1], [len(ids)], ids, 50_000))
+    assert (shard.ids() == ids).all() and (shard.between(150, 99_999) == ids[150:99_999]).all()
+    seq, apart = shard.seq.tolist(), collections.Counter()
+    at = 0
+    while at + 1 < len(seq):
+        apart[seq[at], seq[at + 1]] += 1
+        at += 2 if at + 2 < len(seq) and seq[at] == seq[at + 1] == seq[at + 2] else 1
+    assert max(apart.values(), default=0) < token_store.LEAST
+    assert len(seq) < (400 if copies == 3 else 100)
+
+
 def test_vectors_equal_all_pairs(spark):
     rng = np.random.default_rng(4)
     rows, n = [], 0

@@ -8,8 +8,9 @@ counts if it passes the kind's own check (digits, Luhn, parts) and touches no ba
 The labelled table is made by a rule: lines of words from a bounded sample of the documents with personal data and
 look-alikes (versions, dates, keys, prices) put in at seeded places.
 
-Lines are chains. Training keeps the weights of plain shapes and of steps from speaking for an entity, so "outside" is the best
-label of every token in a line of plain words; such lines need no decoding (a model without that property decodes all).
+A whole line is a chain, however long. Lines in which no span could pass a check are not decoded, whatever the field says:
+those without a digit and without "@" or "at" before "." or "dot". Training keeps the weights of spaced words that are no
+cues, of commas, and of steps from speaking for an entity, so a line of these alone stays "outside".
 
 Defined results. Null or empty text: no spans. Repeated rows give equal rows; doc_id may be null. An empty table gives
 an empty result, and a model trained without words of documents works too. Other columns are not read.
@@ -36,7 +37,6 @@ DIGITS = re.compile(r"[0-9]")
 
 LINES, SAMPLE_DOCS, SEED = 800, 200, 7
 STEPS, RATE, PENALTY = 80, 0.15, 1e-3
-LONGEST_CHAIN = 512
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 
 
@@ -99,10 +99,10 @@ def shape(token: str, spaced: bool) -> int:
 
 
 def chains(text: str, everything: bool = True):
-    """(token starts, token ends, shapes) for each line, of at most LONGEST_CHAIN tokens."""
+    """(token starts, token ends, shapes) for each line, or for those that may hold a credible span."""
     at = 0
     for line in text.split("\n"):
-        if everything or ODD.search(line):
+        if everything or MAYBE.search(line):
             starts, ends, shapes, last = [], [], [], -1
             for m in TOKEN.finditer(line):
                 a, b = m.span()
@@ -110,16 +110,15 @@ def chains(text: str, everything: bool = True):
                 ends.append(at + b)
                 shapes.append(shape(m[0], a != last))
                 last = b
-            for i in range(0, len(starts), LONGEST_CHAIN):
-                yield starts[i:i + LONGEST_CHAIN], ends[i:i + LONGEST_CHAIN], shapes[i:i + LONGEST_CHAIN]
+            if starts:
+                yield starts, ends, shapes
         at += len(line) + 1
 
 
-#: Signs and the word "dot": only a line with one of them may need decoding.
-ODD = re.compile(r"[0-9@\[\](){}<>+*/\\#$%&=_^~`-]|[dD][oO][tT]")
-#: Shapes of a line without them.
-PLAIN = np.array(sorted({
-    2 * x + b for b in (0, 1) for x in [*range(N_WORD), *(N_WORD + N_NUMBER + ord(c) for c in ".,;"), N_WORD + N_NUMBER + 128, *(N_WORD + N_NUMBER + 129 + i for w, i in WORDS.items() if w != "dot")]}))
+#: What every span that ``credible`` accepts has: a digit, or the "at" and "dot" of an address.
+MAYBE = re.compile(r"[0-9]|(?:@|at).*(?:\.|dot)", re.I)
+#: Shapes that are no cue by themselves: words with space before them, unlisted, and "," ";" and signs outside ASCII.
+PLAIN = np.array(sorted([2 * x + 1 for x in range(N_WORD)] + [2 * x + b for b in (0, 1) for x in (N_WORD + N_NUMBER + ord(","), N_WORD + N_NUMBER + ord(";"), N_WORD + N_NUMBER + 128)]))
 
 
 # --- the field ----------------------------------------------------------------------------------------------------
@@ -253,6 +252,7 @@ def _made(rng: np.random.Generator, word) -> tuple[str, str | None]:
     part = lambda: str(rng.integers(0, 256))
     makers = [
         (lambda: f"{word()}{pick('.', '_', '')}{d(2)}@{host}", "email"), (lambda: f"{word()} at {word()} dot {pick('com', 'org', 'net')}", "email"),
+        (lambda: f"{word()} at {word()}.{pick('com', 'org', 'net', 'co')}", "email"),
         (lambda: f"{word()} (at) {word()} (dot) {pick('com', 'org', 'net')}", "email"), (lambda: f"{word()}[at]{word()}[dot]{pick('com', 'org')}", "email"),
         (lambda: ".".join(part() for _ in range(4)), "ip"), (lambda: "[.]".join(part() for _ in range(4)), "ip"),
         (lambda: d(16), "card"), (lambda: "-".join(d(4) for _ in range(4)), "card"), (lambda: " ".join(d(4) for _ in range(4)), "card"), (lambda: ".".join(d(4) for _ in range(4)), "card"),
@@ -321,10 +321,9 @@ def credible(kind: str, piece: str) -> bool:
 
 
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
-    everything = not field.plain_lines_are_outside()
     owners, parts = [], []
     for i, text in enumerate(texts):
-        for chain in chains(text, everything):
+        for chain in chains(text, everything=False):
             owners.append(i)
             parts.append(chain)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]

@@ -370,6 +370,19 @@ def test_field_adds_spans_and_keeps_base(spark, corpus):
     assert not np.concatenate(decoded).any()
 
 
+def test_personal_data_anywhere_in_a_line(spark, corpus):
+    """At any place of a long line, and where an address has a point and no other sign; filtered lines hold nothing credible."""
+    lone = ["write to bob at example.com today", "please call (258) 555-7056 now"]
+    texts = [f"{'word ' * k}call (258) 555-7056 {'word ' * 600}" for k in range(500, 514)] + lone
+    docs = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    field = pii.train(pii.labelled_table(spark, docs_of(spark, corpus)))
+    out = {r.doc_id: r.spans for r in pii.personal_data_report(docs, field).collect()}
+    assert [out[i] for i in range(14)] == [f"phone:{5 * k + 5}:{5 * k + 19}" for k in range(500, 514)]
+    assert out[14] == "email:9:27" and out[15] == "phone:12:26"
+    for piece in ("bob at example.com", "BOB AT EXAMPLE DOT COM", "a[at]b[dot]co", "a@b.co", "1.2.3.4", "4111 1111 1111 1111"):
+        assert pii.MAYBE.search(f"x {piece} y")
+
+
 def page(body, tail=""):
     return f"<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Home</a></nav>{body}<footer>&copy; us</footer>{tail}</body></html>"
 

@@ -343,6 +343,27 @@ def test_url_rules_and_aliases(spark):
     }
 
 
+def test_every_form_of_an_alias(spark):
+    bad, far = "http://www.example.org/es/x", "http://free.net/d/e/p.html"
+    forms = {
+        1: '<link rel="canonical" href="/own"><link rel="canonical" href="{}">', 2: '<meta http-equiv=refresh content="1;url=/own"><META HTTP-EQUIV="Refresh" CONTENT="0; URL={}">',
+        3: """<meta http-equiv="refresh" content="0; url='{}'">""", 4: """<meta content='0;url="{}"' http-equiv='refresh'>""", 5: "<meta http-equiv=refresh content=0;url={}>",
+        6: '<meta http-equiv="refresh" content="0;{}">', 7: "<link href={} rel=canonical>", 8: '<link href="{}" rel="alternate canonical">',
+        9: '<link rel="canonical" href=" {}\n">', 10: '<meta http-equiv="refresh" content="0; url=&quot;{}&quot;">',
+    }
+    pages = [(0, bad, "")] + [(n, f"http://free.net/abs/{n}", h.format(bad)) for n, h in forms.items()]
+    names = {20: "next.html", 21: "./next.html", 22: "../e/next.html", 23: "/d/./e/next.html", 24: "//free.net/d/e/next.html", 25: "x/../next.html", 26: "../../../d/e/next.html"}
+    pages += [(n, f"{far}?n={n}", f'<link rel="canonical" href="{h}">') for n, h in names.items()]
+    pages += [(30, "http://free.net/d/e/next.html", f'<link rel="canonical" href="{bad}">')]
+    pages += [(31, "http://free.net/q?a=1", '<link rel="canonical" href="?a=1&amp;b=2">'), (32, "http://free.net/q?a=1&b=2", f"<meta http-equiv=refresh content='0;url={bad}'>")]
+    pages += [(33, "http://free.net/based", '<base href="/d/e/"><link rel="canonical" href="next.html">'), (34, "http://free.net", '<link rel="canonical" href="d/e/next.html">')]
+    alone = {40: '<link rel="canonical" href="mailto:a@b.co">', 41: '<link rel="non-canonical" href="{}">', 42: '<meta http-equiv="refresh" content="5">', 43: '<link rel="canonical" href="#x">', 44: '<link rel="canonical" href="/r?u={}">', 45: '<link rel="stylesheet" data-rel="canonical" href="{}">'}
+    pages += [(n, f"http://alone.net/{n}", h.format(bad)) for n, h in alone.items()]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in url_filter.url_verdicts(table, url_filter.rule_table(spark).where("rule_verdict = 'block'")).collect()}
+    assert found == {n: "allow" if n >= 40 else "block" for n, *_ in pages}
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(8)
     pieces = ["a@b.co", "a@b", "@", ".", "x.y@z.a-b.c", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (258) 555-7056", "+12", " ", "-", "é", "12", "\n", "b+c@d.e@f.g"]

@@ -21,7 +21,7 @@ from bedwise.plans import scenarios as X
 from bedwise.settings import DAY_NAMES
 from registry.core import query
 from registry.history import calendar_sql
-from registry.tables import DAILY, HOSPITAL, SUPPLIER, daily_facts, hospital_days, sql_list, sql_season, supplier_days, table
+from registry.tables import DAILY, HOSPITAL, SUPPLIER, daily_facts, hospital_days, hospital_full, sql_list, sql_season, supplier_days, table
 
 SITE = ["hospital_id"]
 HORIZON = 30
@@ -437,8 +437,6 @@ def _(spark, sf):
 
 # --- learned model (iterative: checked on rows, and by metrics in the tests) ------------------
 
-SMALL = {"trees": 20, "depth": 8}
-
 INPUTS = ["dow", "month", "temperature_c", "season", "day_of_week"]
 FOREST_INPUTS = f"""{HOSPITAL},
 holed AS (SELECT hospital_id, date, dow, month, CASE WHEN epidemic_level < 2 THEN temperature_c END AS temperature_c,
@@ -472,7 +470,7 @@ def _(spark, sf):
 
 
 def labelled_days(spark, sf):
-    return build_features(hospital_days(spark, sf))
+    return build_features(hospital_full(spark, sf))
 
 
 _fits: dict[tuple[str, str], tuple] = {}
@@ -482,7 +480,7 @@ def trained(spark, sf):
     """One fit for all forest queries of an application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fits:
-        _fits[key] = L.train_and_evaluate(labelled_days(spark, sf), **SMALL)
+        _fits[key] = L.train_and_evaluate(labelled_days(spark, sf))
     return _fits[key]
 
 
@@ -511,11 +509,11 @@ def _(spark, sf):
 @query("forest_forecast")
 def _(spark, sf):
     history = labelled_days(spark, sf)
-    model = L.train_model(history, **SMALL)
+    model = L.train_model(history)
     forecast = M.forecast_sites(model, history, HORIZON)
     return forecast.select("hospital_id", "date", "predicted_admissions")
 
 
 @query("feature_set_comparison")
 def _(spark, sf):
-    return L.compare_feature_sets(labelled_days(spark, sf), trees=5, depth=5)
+    return L.compare_feature_sets(labelled_days(spark, sf))

@@ -53,3 +53,25 @@ def test_results_do_not_depend_on_partitioning_or_broadcast(spark, check, con):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_forest_queries_fit_the_configured_model_on_all_features(spark, monkeypatch):
+    from bedwise.operators.prep import get_feature_columns
+    from bedwise.plans import learning
+    from bedwise.settings import MODEL
+
+    class Stop(Exception):
+        pass
+
+    fits = []
+
+    def fit(train, columns=None, target=MODEL.target, trees=None, depth=None, **_):
+        fits.append((train, trees, depth))
+        raise Stop
+
+    monkeypatch.setattr(learning, "train_model", fit)
+    for name in ("forest_metrics", "forest_forecast", "feature_set_comparison"):
+        with pytest.raises(Stop):
+            entry.queries()[name](spark, SF).collect()
+    for train, trees, depth in fits:
+        assert trees in (None, MODEL.trees) and depth in (None, MODEL.depth) and len(get_feature_columns(train)) == 17

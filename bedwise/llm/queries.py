@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedwise.llm import decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, pii, suffix_dedup, token_store, toxicity, url_filter
+from bedwise.llm import (
+    decontaminate, embedding_dedup, fill_middle, html_extract, importance, minhash_dedup, mixing, permutation_index, pii, suffix_dedup, token_store, toxicity, url_filter,
+)
 from bedwise.llm.common import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -225,3 +227,36 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 @query("op10_decontaminate", DECONTAMINATE_SQL)
 def _(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("tid")
+
+
+@query("op11_importance_resampling")
+def _(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("n_words")
+
+
+@query("op12_permutation_index")
+def _(spark, sf):
+    return permutation_index.nearest(table(spark, sf, "embeddings"), top=20, every=20)
+
+
+FILL_SQL = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), k AS (
+  SELECT *, len(u) AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM h
+), c AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM k
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op13_fill_middle", FILL_SQL)
+def _(spark, sf):
+    return fill_middle.digests(table(spark, sf, "documents"))

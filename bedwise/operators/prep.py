@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from bedwise.functions.columns import calendar_fields
 from bedwise.functions.quantiles import exact_quantiles
 from bedwise.schema import CATEGORY_COLUMNS, EVENT_FLAG_COLUMNS, numeric_columns, string_columns
 from bedwise.settings import CSV, FEATURE_COLUMNS, MODEL
+from bedwise.sources.work import written
 
 
 def clean_data(df: DataFrame) -> DataFrame:
@@ -114,53 +116,71 @@ def prepare_model_data(df: DataFrame, target_col: str = MODEL.target) -> DataFra
     return df.select(*columns, *([target_col] if target_col in df.columns else []))
 
 
+def running_cut(counts: DataFrame, left: int) -> tuple[object, int, int] | None:
+    """The key of ``counts (key, rows)`` that holds the row after the first ``left`` rows in key order, nulls last.
+
+    Returns the key, how many rows of it are still among the first, and its rows. Keys are dealt out by ranges; the totals of
+    the ranges (one row for each) name one range, and only that one is summed up key by key.
+    """
+    ranged = written(counts.repartitionByRange(F.asc_nulls_last("key")).withColumn("part", F.spark_partition_id()), "counts")
+    for part, rows in sorted(ranged.groupBy("part").agg(F.sum("rows")).collect()):
+        if left < rows:
+            order = Window.partitionBy("part").orderBy(F.asc_nulls_last("key")).rowsBetween(Window.unboundedPreceding, 0)
+            reached = ranged.where(F.col("part") == part).withColumn("reached", F.sum("rows").over(order))
+            at = reached.where(F.col("reached") > left).orderBy("reached").first()
+            return at["key"], left - (at["reached"] - at["rows"]), at["rows"]
+        left -= rows
+    return None
+
+
 def split_rows(
-    df: DataFrame, n_train: Column, date_column: str = "date", site_column: str = "hospital_id",
+    df: DataFrame, n_train: Callable[[int], int], date_column: str = "date", site_column: str = "hospital_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """The first ``n_train`` rows by (date, site), and the rest; ``n_train`` may use the row count ``n``.
+    """The first ``n_train(n)`` of the ``n`` rows by (date, site), and the rest.
 
     Rows equal in date and site stand in the order of a hash of all columns; rows equal in all columns are
-    interchangeable. The cut is found from counts: per date (bounded by the calendar), per site of the cut date, per
-    bucket of the hash at the cut site. Only the rows of one bucket are ranked; all others are filtered.
+    interchangeable. The rows are computed once, into a table of the shared folder, which both parts filter. The cut is
+    found in one count per (date, site); only where it falls between rows of one date and site are these read again.
     """
-    day = F.col(date_column).cast("date")
-    steps = [day]
+    rows = written(df, "rows")
+    day, site = F.col(date_column).cast("date"), F.col(site_column) if site_column in df.columns else F.lit(None)
+    days = written(rows.groupBy(day.alias("day"), site.alias("site")).agg(F.count(F.lit(1)).alias("rows")), "days")
+    n = days.agg(F.sum("rows")).first()[0] or 0
+    left, first, at = n_train(n), F.lit(False), F.lit(True)
+    if left >= n:
+        return rows, rows.limit(0)
+    steps = [(day, lambda: days.groupBy(F.col("day").alias("key")))]
     if site_column in df.columns:
-        steps.append(F.col(site_column))
+        steps.append((site, lambda: days.where(F.col("day").eqNullSafe(F.lit(key))).groupBy(F.col("site").alias("key"))))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    steps.append(F.shiftrightunsigned(row_hash, 48))
-    left, first, at = n_train.cast("bigint"), F.lit(False), F.lit(True)
-    for k, step in enumerate(steps):
-        # One row per date, site of a date, or bucket: what a running sum in one task can hold.
-        counts = df.where(at).groupBy(step.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-        order = Window.orderBy(F.asc_nulls_last("key")).rowsBetween(Window.unboundedPreceding, 0)
-        reached = counts.withColumn("reached", F.sum("rows").over(order))
-        if k == 0:
-            reached = reached.withColumn("n", F.sum("rows").over(Window.partitionBy()))
-        rest = left - (F.col("reached") - F.col("rows"))
-        cut = reached.withColumn("left", rest).where((F.col("left") >= 0) & (F.col("left") < F.col("rows"))).first()
-        if cut is None:
-            return (df, df.limit(0)) if k == 0 else (df.where(first), df.where(~first))
-        before = step.isNotNull() if cut["key"] is None else F.coalesce(step < F.lit(cut["key"]), F.lit(False))
-        first, at, left = first | (at & before), at & step.eqNullSafe(F.lit(cut["key"])), F.lit(cut["left"]).cast("bigint")
+    bucket = F.shiftrightunsigned(row_hash, 48)
+    steps.append((bucket, None))
+    key = None
+    for step, counts in steps:
+        found = counts().agg(F.sum("rows").alias("rows")) if counts else rows.where(at).groupBy(step.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+        key, left, _ = running_cut(found, left)
+        before = step.isNotNull() if key is None else F.coalesce(step < F.lit(key), F.lit(False))
+        first, at = first | (at & before), at & step.eqNullSafe(F.lit(key))
+        if left == 0:
+            return rows.where(first), rows.where(~first)
     later = ~(first | at)
     # Equal rows are one row with a count, so none has to be told from another.
     columns = [F.col(f"`{c}`") for c in df.columns]
-    bucket = df.where(at).groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
-    upto = F.sum("_rows").over(Window.orderBy(F.xxhash64(*columns), *columns).rowsBetween(Window.unboundedPreceding, 0))
-    bucket = bucket.withColumn("_train", F.greatest(F.lit(0), F.least("_rows", F.col("_rows") - upto + left)))
-    times = lambda n: bucket.withColumn("_again", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*columns)
-    return df.where(first).unionAll(times(F.col("_train"))), df.where(later).unionAll(times(F.col("_rows") - F.col("_train")))
+    tied = rows.where(at).groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(bucket).orderBy(row_hash, *columns).rowsBetween(Window.unboundedPreceding, 0))
+    tied = tied.withColumn("_train", F.greatest(F.lit(0), F.least("_rows", F.col("_rows") - upto + left)))
+    times = lambda n: tied.withColumn("_again", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*columns)
+    return rows.where(first).unionAll(times(F.col("_train"))), rows.where(later).unionAll(times(F.col("_rows") - F.col("_train")))
 
 
-def rounded_down(test_size: float) -> Column:
+def rounded_down(test_size: float) -> Callable[[int], int]:
     """Training rows when their number is rounded down."""
-    return F.floor(F.col("n") * F.lit(1 - test_size))
+    return lambda n: math.floor(n * (1 - test_size))
 
 
-def rest_rounded_up(test_size: float) -> Column:
+def rest_rounded_up(test_size: float) -> Callable[[int], int]:
     """Training rows when the number of test rows is rounded up."""
-    return F.col("n") - F.ceil(F.col("n") * F.lit(test_size))
+    return lambda n: n - math.ceil(n * test_size)
 
 
 def get_train_test_split(

@@ -8,11 +8,13 @@ large the network or the raw data is; it cannot become a hot partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bedwise.functions.columns import clip, rounded
+from bedwise.functions.columns import rounded
 from bedwise.settings import MODEL
 
 
@@ -90,50 +92,43 @@ def stock_ledger(
 ) -> DataFrame:
     """Daily stock level ``clip(previous - usage + delivery * delivered, low, high)``, from ``start``.
 
-    A run of such steps is itself one shift with two bounds, so each (site, year) is reduced
-    to three numbers first, the level on which a year opens comes from the years before it,
-    and the years are then filled independently. No group holds more than one year of rows.
+    A site moves once a day: rows of one day share a level, and a delivery in any of them is that day's delivery. A run of steps
+    is itself one shift with two bounds, and such shifts compose in any grouping: days to months, months to years. The level
+    on which a year opens comes from the years before it, that of a month from the months before it in the year. Arrays
+    hold the steps of one month, the months of one year and the years of one site; the rows are joined to their day's level.
     """
-    site = Window.partitionBy(*by)
-    first_day = F.col("date") == F.min("date").over(site)
-    step = F.when(first_day, F.lit(0.0)).otherwise(
-        F.coalesce(F.col("supply_delivery_day"), F.lit(0)) * F.lit(delivery) - F.lit(usage)
-    )
-    columns = [c for c in df.columns if c != name]
-    years = (
-        df.select(*columns, step.alias("__step"))
-        .groupBy(*by, F.year("date").alias("__year"))
-        .agg(F.array_sort(F.collect_list(F.struct(
-            F.col("date").alias("__day"), "__step", F.struct(*columns).alias("__row"),
-        ))).alias("__days"))
+    day, days = F.col("date").cast("date"), Window.partitionBy(*by)
+    step = F.when(F.col("__day") == F.min("__day").over(days), F.lit(0.0)).otherwise(F.col("__delivered") * F.lit(delivery) - F.lit(usage))
+    steps = (
+        df.where(F.col("date").isNotNull()).groupBy(*by, day.alias("__day")).agg(F.coalesce(F.max("supply_delivery_day"), F.lit(0)).alias("__delivered"))
+        .select(*by, "__day", step.alias("__step"))
     )
 
-    def shift(acc, x):
-        s = x["__step"]
-        return F.struct(
-            (acc["shift"] + s).alias("shift"), clip(acc["low"] + s, low, high).alias("low"),
-            clip(acc["high"] + s, low, high).alias("high"),
-        )
+    def composed(maps, opening=None):
+        """The maps one after another, as one map; with ``opening``, the level they lead to."""
+        if opening is not None:
+            return F.aggregate(maps, opening, lambda level, m: F.least(F.greatest(level + m["shift"], m["low"]), m["high"]))
+        untouched = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
 
-    untouched = F.struct(
-        F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"),
-    )
-    before = Window.partitionBy(*by).orderBy("__year").rowsBetween(Window.unboundedPreceding, -1)
-    opened = (
-        years.withColumn("__map", F.aggregate("__days", untouched, shift))
-        .withColumn("__opening", F.aggregate(
-            F.collect_list("__map").over(before), F.lit(float(start)),
-            lambda level, m: F.least(F.greatest(level + m["shift"], m["low"]), m["high"]),
-        ))
-    )
+        def then(acc, m):
+            return F.struct(
+                (acc["shift"] + m["shift"]).alias("shift"), F.least(F.greatest(acc["low"] + m["shift"], m["low"]), m["high"]).alias("low"),
+                F.least(F.greatest(acc["high"] + m["shift"], m["low"]), m["high"]).alias("high"))
 
-    def fill(acc, x):
-        level = clip(acc["level"] + x["__step"], low, high)
-        return F.struct(level.alias("level"), F.concat(acc["levels"], F.array(level)).alias("levels"))
+        return F.aggregate(maps, untouched, then)
 
-    opening = F.struct(F.col("__opening").alias("level"), F.array().cast("array<double>").alias("levels"))
-    filled = opened.select(F.inline(F.arrays_zip(
-        F.col("__days.__row").alias("row"),
-        F.aggregate("__days", opening, fill, lambda acc: acc["levels"]).alias("level"),
-    )))
-    return filled.select("row.*", rounded(F.col("level"), 1).alias(name))
+    one_day = F.struct(F.col("__day").alias("day"), F.col("__step").alias("shift"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
+    months = steps.groupBy(*by, F.year("__day").alias("__year"), F.month("__day").alias("__month")).agg(F.array_sort(F.collect_list(one_day)).alias("__days"))
+    month = F.struct("__month", composed(F.col("__days")).alias("map"), "__days")
+    years = months.groupBy(*by, "__year").agg(F.array_sort(F.collect_list(month)).alias("__months"))
+    years = years.withColumn("__map", composed(F.transform("__months", lambda m: m["map"])))
+    before = Window.partitionBy(*by).orderBy("__year").rowsBetween(Window.unboundedPreceding, -1)
+    years = years.withColumn("__opening", composed(F.collect_list("__map").over(before), F.lit(float(start))))
+    opened = years.select(*by, "__opening", "__months", F.posexplode("__months").alias("__i", "__m")).select(
+        *by, composed(F.slice(F.transform("__months", lambda m: m["map"]), 1, F.col("__i")), F.col("__opening")).alias("__opening"), F.col("__m.__days").alias("__days"))
+    levels = opened.select(*by, "__opening", "__days", F.posexplode("__days").alias("__i", "__d")).select(
+        *[F.col(c).alias(f"__{c}") for c in by], F.col("__d.day").alias("__day"),
+        composed(F.slice("__days", 1, F.col("__i") + 1), F.col("__opening")).alias("__level"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], day == F.col("__day"))
+    columns = [c for c in df.columns if c != name]
+    return df.select(*columns).join(levels, same, "left").select(*columns, rounded(F.col("__level"), 1).alias(name))

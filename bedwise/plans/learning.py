@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,13 @@ from bedwise.operators.prep import (
 )
 from bedwise.schema import numeric_columns, string_columns
 from bedwise.settings import MODEL, REALISTIC_FEATURES, STRONG_FEATURES
+from bedwise.sources.work import shared_dir, written
 
 PREDICTION = "predicted_admissions"
+#: Rows in a partition of the training table, megabytes of node statistics in one pass, passes between checkpoints.
+ROWS_PER_PART = 4_000
+NODE_MEMORY_MB = 512
+CHECKPOINT_EVERY = 10
 
 
 def _text(value: str) -> str:
@@ -52,26 +58,48 @@ def create_preprocessor(train: DataFrame, columns: Sequence[str]) -> list:
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def train_model(
-    train: DataFrame, columns: Sequence[str] | None = None, target: str = MODEL.target,
-    trees: int | None = None, depth: int | None = None, min_leaf: int | None = None, seed: int | None = None,
-    max_bins: int = 64,
-) -> PipelineModel:
-    """Preprocessing and a random forest that considers all features at each split."""
-    columns = get_feature_columns(train) if columns is None else columns
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol=target, predictionCol=PREDICTION,
+def _forest(
+    target: str, trees: int | None, depth: int | None, min_leaf: int | None, seed: int | None, max_bins: int, features: str = "features",
+) -> RandomForestRegressor:
+    """The configured forest. It considers all features at each split.
+
+    Each row keeps the numbers of its nodes between the passes, so that the growing forest does not travel with
+    every task; their lineage is cut by checkpoints.
+    """
+    return RandomForestRegressor(
+        featuresCol=features, labelCol=target, predictionCol=PREDICTION,
         numTrees=MODEL.trees if trees is None else trees,
         maxDepth=MODEL.depth if depth is None else depth,
         minInstancesPerNode=MODEL.min_leaf if min_leaf is None else min_leaf,
         seed=MODEL.seed if seed is None else seed,
-        featureSubsetStrategy="all", maxBins=max_bins,
+        featureSubsetStrategy="all", maxBins=max_bins, cacheNodeIds=True, checkpointInterval=CHECKPOINT_EVERY, maxMemoryInMB=NODE_MEMORY_MB,
     )
-    labelled = train.where(F.col(target).isNotNull()).select(*columns, F.col(target).cast("double").alias(target))
+
+
+def _labelled(train: DataFrame, columns: Sequence[str], target: str, rows_per_part: int) -> DataFrame:
+    """The rows with a target, computed once into a table of the shared folder, in parts of ``rows_per_part`` rows.
+
+    Every part sends the statistics of all nodes it grows, so it should hold many rows rather than few.
+    """
+    context = train.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(train.sparkSession))
+    rows = written(train.where(F.col(target).isNotNull()).select(*columns, F.col(target).cast("double").alias(target)), "labelled")
+    return rows.repartition(max(1, -(-rows.count() // rows_per_part)))
+
+
+def train_model(
+    train: DataFrame, columns: Sequence[str] | None = None, target: str = MODEL.target,
+    trees: int | None = None, depth: int | None = None, min_leaf: int | None = None, seed: int | None = None,
+    max_bins: int = 64, rows_per_part: int = ROWS_PER_PART,
+) -> PipelineModel:
+    """Preprocessing and a random forest."""
+    columns = get_feature_columns(train) if columns is None else columns
+    labelled = _labelled(train, columns, target, rows_per_part)
     # Fill values, category indexes and the forest read the same rows.
     labelled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[*create_preprocessor(labelled, columns), forest]).fit(labelled)
+        return Pipeline(stages=[*create_preprocessor(labelled, columns), _forest(target, trees, depth, min_leaf, seed, max_bins)]).fit(labelled)
     finally:
         labelled.unpersist()
 
@@ -90,9 +118,9 @@ def preprocessed_features(model: PipelineModel, df: DataFrame) -> DataFrame:
     return PipelineModel(model.stages[:-1]).transform(df).select(*df.columns, "features")
 
 
-def feature_names(model: PipelineModel) -> list[str]:
-    """Name of each vector position: numeric columns, then ``column_category``."""
-    names = []
+def feature_sources(model: PipelineModel) -> list[tuple[str, str | None]]:
+    """Column and category (none for a number) of each vector position."""
+    found = []
     indexed = {}
     for stage in model.stages:
         if hasattr(stage, "labelsArray"):
@@ -100,8 +128,13 @@ def feature_names(model: PipelineModel) -> list[str]:
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     for c in assembler.getInputCols():
         base = c[: -len("__num")]
-        names += [base] if c.endswith("__num") else [f"{base}_{v}" for v in indexed[f"{base}__txt"]]
-    return names
+        found += [(base, None)] if c.endswith("__num") else [(base, v) for v in indexed[f"{base}__txt"]]
+    return found
+
+
+def feature_names(model: PipelineModel) -> list[str]:
+    """Name of each vector position: numeric columns, then ``column_category``."""
+    return [c if v is None else f"{c}_{v}" for c, v in feature_sources(model)]
 
 
 def feature_importance(model: PipelineModel, spark, top: int | None = 15) -> DataFrame:
@@ -113,28 +146,50 @@ def feature_importance(model: PipelineModel, spark, top: int | None = 15) -> Dat
 
 
 def train_and_evaluate(
-    df: DataFrame, columns: Sequence[str] | None = None, **options,
+    df: DataFrame, columns: Sequence[str] | None = None, target: str = MODEL.target, **options,
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Chronological split, fit and test metrics: ``(model, metrics, test rows)``."""
     train, test = get_train_test_split(df)
-    model = train_model(train, columns, **options)
-    return model, evaluate_model(model, test), test
+    model = train_model(train, columns, target, **options)
+    return model, evaluate_model(model, test, target), test
 
 
 def compare_feature_sets(
-    df: DataFrame, sets: Mapping[str, Sequence[str]] | None = None, target: str = MODEL.target, **options,
+    df: DataFrame, sets: Mapping[str, Sequence[str]] | None = None, target: str = MODEL.target,
+    trees: int | None = None, depth: int | None = None, min_leaf: int | None = None, seed: int | None = None,
+    max_bins: int = 64, rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
-    """One metrics row per feature set, all on the same unshuffled split."""
+    """One metrics row per feature set, all on the same unshuffled split.
+
+    The columns of all sets are imputed and encoded once, and written as vectors; each set's forest reads a slice of them.
+    The forests are fitted side by side, since the deep passes of a single one do not fill a cluster.
+    """
     if sets is None:
         sets = {
             "Full": [c for c in df.columns if c not in (target, "date")],
             "Strong Corr": STRONG_FEATURES,
             "Realistic": REALISTIC_FEATURES,
         }
+    sets = {n: [c for c in cs if c in df.columns] for n, cs in sets.items()}
+    columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
     train, test = unshuffled_split(df)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = _labelled(train, columns, target, rows_per_part).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = {n: train_model(train, [c for c in cs if c in df.columns], target, **options) for n, cs in sets.items()}
+        ready = Pipeline(stages=create_preprocessor(labelled, columns)).fit(labelled)
+        vectors = ready.transform(labelled).select("features", target).persist(StorageLevel.MEMORY_AND_DISK)
+        sources = feature_sources(ready)
+
+        def fit(name: str) -> PipelineModel:
+            wanted = [i for i, (c, _) in enumerate(sources) if c in set(sets[name])]
+            slicer = VectorSlicer(inputCol="features", outputCol="chosen", indices=wanted)
+            return Pipeline(stages=[slicer, _forest(target, trees, depth, min_leaf, seed, max_bins, "chosen")]).fit(vectors)
+
+        try:
+            with ThreadPoolExecutor(max_workers=len(sets)) as pool:
+                models = dict(zip(sets, pool.map(inheritable_thread_target(df.sparkSession)(fit), sets)))
+        finally:
+            vectors.unpersist()
     finally:
-        train.unpersist()
+        labelled.unpersist()
+    test = ready.transform(test).select("features", target)
     return union_all([evaluate_model(m, test, target).select(F.lit(n).alias("model"), "*") for n, m in models.items()])

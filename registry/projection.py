@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.ml import Pipeline
@@ -18,10 +19,12 @@ from bedwise.plans import baseline as B
 from bedwise.plans import forecast as M
 from bedwise.plans import learning as L
 from bedwise.plans import scenarios as X
-from bedwise.settings import DAY_NAMES
+from bedwise.settings import DAY_NAMES, FEATURE_COLUMNS
+from bedwise.sources import models as S
+from bedwise.sources.work import shared_dir, written
 from registry.core import query
 from registry.history import calendar_sql
-from registry.tables import DAILY, HOSPITAL, SUPPLIER, daily_facts, hospital_days, hospital_full, sql_list, sql_season, supplier_days, table
+from registry.tables import DAILY, HOSPITAL, HOSPITAL_FULL, SUPPLIER, daily_facts, hospital_days, hospital_full, sql_list, sql_season, supplier_days, table
 
 SITE = ["hospital_id"]
 HORIZON = 30
@@ -477,10 +480,11 @@ _fits: dict[tuple[str, str], tuple] = {}
 
 
 def trained(spark, sf):
-    """One fit for all forest queries of an application."""
+    """One fit for all forest queries of an application: (model, metrics, test rows, saved model)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fits:
-        _fits[key] = L.train_and_evaluate(labelled_days(spark, sf))
+        model, metrics, test = L.train_and_evaluate(labelled_days(spark, sf))
+        _fits[key] = model, written(metrics, "metrics"), written(L.predict(model, test), "predicted"), S.save_model(model, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}")
     return _fits[key]
 
 
@@ -491,14 +495,12 @@ def _(spark, sf):
 
 @query("forest_predictions")
 def _(spark, sf):
-    model, _, test = trained(spark, sf)
-    return M.actual_and_predicted(L.predict(model, test))
+    return M.actual_and_predicted(trained(spark, sf)[2])
 
 
 @query("forest_residuals")
 def _(spark, sf):
-    model, _, test = trained(spark, sf)
-    return A.residual_stats(M.actual_and_predicted(L.predict(model, test)))
+    return A.residual_stats(M.actual_and_predicted(trained(spark, sf)[2]))
 
 
 @query("forest_importance")
@@ -506,14 +508,72 @@ def _(spark, sf):
     return L.feature_importance(trained(spark, sf)[0], spark)
 
 
+def forest_days(spark, sf):
+    """The days after each site's last one, by the saved model, as an application that did not fit it would use it."""
+    return M.forecast_sites(S.load_model(spark, trained(spark, sf)[3]), labelled_days(spark, sf), HORIZON)
+
+
 @query("forest_forecast")
 def _(spark, sf):
-    history = labelled_days(spark, sf)
-    model = L.train_model(history)
-    forecast = M.forecast_sites(model, history, HORIZON)
-    return forecast.select("hospital_id", "date", "predicted_admissions")
+    return forest_days(spark, sf).select("hospital_id", "date", "predicted_admissions")
+
+
+_compared: dict[tuple[str, str], object] = {}
+
+
+def compared(spark, sf):
+    """The three forests are fitted once for both queries on them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _compared:
+        _compared[key] = written(L.compare_feature_sets(labelled_days(spark, sf)), "compared")
+    return _compared[key]
 
 
 @query("feature_set_comparison")
 def _(spark, sf):
-    return L.compare_feature_sets(labelled_days(spark, sf))
+    return compared(spark, sf)
+
+
+# What SQL can say about a forest: which rows it predicts, and between which bounds.
+CUT = """placed AS (SELECT *, row_number() OVER (ORDER BY date, hospital_id) AS place, count(*) OVER () AS n FROM hospital_full),
+known AS (SELECT * FROM placed WHERE place <= floor(n * 0.8e0)),
+held AS (SELECT * FROM placed WHERE place > floor(n * 0.8e0)),
+bounds AS (SELECT min(total_admissions) AS low, max(total_admissions) AS high FROM known)"""
+
+
+def within(df, spark, sf):
+    """Whether a prediction lies between the least and the greatest target that the model learned from."""
+    low, high = L.get_train_test_split(labelled_days(spark, sf))[0].agg(F.min("total_admissions"), F.max("total_admissions")).first()
+    return df.withColumn("within", F.col("predicted_admissions").between(F.lit(low) - F.lit(1e-6), F.lit(high) + F.lit(1e-6)))
+
+
+@query("forest_predicted_days", f"WITH RECURSIVE {HOSPITAL_FULL}, {CUT} SELECT hospital_id, date, CAST(total_admissions AS DOUBLE) AS actual, true AS within FROM held")
+def _(spark, sf):
+    return within(trained(spark, sf)[2], spark, sf).select("hospital_id", "date", F.col("total_admissions").cast("double").alias("actual"), "within")
+
+
+@query("forest_forecast_days", f"""WITH RECURSIVE {HOSPITAL_FULL}, starts AS (SELECT hospital_id, max(date) + 1 AS start FROM hospital_full GROUP BY 1)
+SELECT hospital_id, CAST(unnest(generate_series(start::TIMESTAMP, start::TIMESTAMP + INTERVAL {HORIZON - 1} DAY, INTERVAL 1 DAY)) AS DATE) AS date, true AS within FROM starts""")
+def _(spark, sf):
+    return within(forest_days(spark, sf), spark, sf).select("hospital_id", "date", "within")
+
+
+@query("forest_metric_bounds", f"""WITH RECURSIVE {HOSPITAL_FULL}, {CUT} SELECT count(*) AS rows, true AS error_below_range, true AS mean_below_root, true AS r2_below_one FROM held""")
+def _(spark, sf):
+    spread = F.lit(trained(spark, sf)[2].agg(F.max("total_admissions")).first()[0]).cast("double")
+    return trained(spark, sf)[1].select("rows", (F.col("mae") <= spread).alias("error_below_range"), (F.col("mae") <= F.col("rmse") + 1e-9).alias("mean_below_root"), (F.col("r2") < 1).alias("r2_below_one"))
+
+
+TEXT_FEATURES = ["hospital_id", "season", "day_of_week"]
+
+
+@query("forest_importance_shares", f"""WITH RECURSIVE {HOSPITAL_FULL}, {CUT} SELECT {" + ".join(f"count(DISTINCT {c})" for c in TEXT_FEATURES)} + {len(FEATURE_COLUMNS) - len(TEXT_FEATURES)} AS features,
+  round(1e0, 6) AS total, true AS all_positive FROM known""")
+def _(spark, sf):
+    return L.feature_importance(trained(spark, sf)[0], spark, top=None).agg(
+        F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"), F.bool_and(F.col("importance") >= 0).alias("all_positive"))
+
+
+@query("feature_set_rows", f"""WITH RECURSIVE {HOSPITAL_FULL} SELECT unnest(['Full', 'Strong Corr', 'Realistic']) AS model, CAST(ceil(count(*) * 0.2e0) AS BIGINT) AS rows, true AS mean_below_root FROM hospital_full""")
+def _(spark, sf):
+    return compared(spark, sf).select("model", "rows", (F.col("mae") <= F.col("rmse") + 1e-9).alias("mean_below_root"))

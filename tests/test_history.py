@@ -51,6 +51,22 @@ def test_stock_ledger_matches_the_recurrence_over_years(spark, share):
         assert got == pytest.approx(ledger(delivered))
 
 
+def test_stock_ledger_of_several_rows_a_day_and_missing_days(spark):
+    """Rows of one day share its level; a delivery in any of them is the day's."""
+    rows = [("A", date(2023, 12, 29) + timedelta(days=k), d, v) for k in (0, 1, 2, 5, 6, 40) for v, d in enumerate([0, 1] if k in (2, 40) else [None, 0, 0])]
+    rows += [("A", None, 1, 9), (None, date(2024, 1, 1), 1, 1), (None, date(2024, 1, 2), 1, 1)]
+    found = W.stock_ledger(spark.createDataFrame(rows, "hospital_id string, date date, supply_delivery_day int, v int")).collect()
+    assert len(found) == len(rows)
+    levels = dict(zip((0, 1, 2, 5, 6, 40), ledger([0, 0, 1, 0, 0, 1])))
+    for r in found:
+        if r["date"] is None:
+            assert r["medical_stock_level_pct"] is None
+        elif r["hospital_id"] == "A":
+            assert r["medical_stock_level_pct"] == levels[(r["date"] - date(2023, 12, 29)).days]
+        else:
+            assert r["medical_stock_level_pct"] == (72.0 if r["date"].day == 1 else 77.2)
+
+
 def test_event_spells_cover_all_event_days(spark):
     levels = [0, 1, 1, 2, 0, 2, 2, 2, 0, 0, 1]
     df = daily(spark, levels).withColumn("epidemic_level", F.col("total_admissions").cast("int"))

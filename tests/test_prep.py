@@ -131,6 +131,34 @@ def test_split_cuts_tied_and_equal_rows(spark, with_site):
     assert train.agg({"date": "max"}).first()[0] <= test.agg({"date": "min"}).first()[0]
 
 
+def test_split_computes_its_input_once_and_plans_cheaply(spark):
+    """The parts filter a written table: no lineage, and no window over all rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    days = spark.range(2000).selectExpr("date_add(date'2020-01-01', cast(id % 300 as int)) AS date", "concat('S', id % 5) AS hospital_id", "id AS v")
+    train, test = get_train_test_split(days.mapInArrow(count, days.schema), 0.2)
+    assert (train.count(), test.count()) == (1600, 400)
+    assert seen.value == 2000
+    plan = train.where("v IS NOT NULL").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "SinglePartition" not in plan
+
+
+def test_split_of_null_dates_and_sites(spark):
+    rows = [(d and date(2024, 1, d), s, v) for d in (None, 1, 2) for s in (None, "A", "B") for v in range(4)]
+    df = spark.createDataFrame(rows, "date date, hospital_id string, v int")
+    for size in (0.1, 0.4, 0.5, 0.9):
+        train, test = get_train_test_split(df, size)
+        order = sorted(rows, key=lambda r: (r[0] is None, r[0] or date.min, r[1] is None, r[1] or ""))
+        cut = int(len(rows) * (1 - size))
+        assert sorted((str(r[:2]) for r in map(tuple, train.collect()))) == sorted(str(r[:2]) for r in order[:cut])
+        assert sorted(map(str, train.unionAll(test).collect())) == sorted(map(str, df.collect()))
+
+
 def test_split_takes_days_of_timestamps(spark):
     df = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int)) AS date, 'S' AS hospital_id FROM range(100)")
     train, test = get_train_test_split(df, 0.3)

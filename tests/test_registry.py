@@ -55,23 +55,15 @@ def test_results_do_not_depend_on_partitioning_or_broadcast(spark, check, con):
             spark.conf.set(k, v)
 
 
-def test_forest_queries_fit_the_configured_model_on_all_features(spark, monkeypatch):
+def test_forest_queries_fit_the_configured_model_on_all_features(spark):
+    """The model that the queries above have fitted, not a smaller one."""
     from bedwise.operators.prep import get_feature_columns
-    from bedwise.plans import learning
+    from bedwise.plans.learning import feature_sources
     from bedwise.settings import MODEL
+    from registry.projection import trained
 
-    class Stop(Exception):
-        pass
-
-    fits = []
-
-    def fit(train, columns=None, target=MODEL.target, trees=None, depth=None, **_):
-        fits.append((train, trees, depth))
-        raise Stop
-
-    monkeypatch.setattr(learning, "train_model", fit)
-    for name in ("forest_metrics", "forest_forecast", "feature_set_comparison"):
-        with pytest.raises(Stop):
-            entry.queries()[name](spark, SF).collect()
-    for train, trees, depth in fits:
-        assert trees in (None, MODEL.trees) and depth in (None, MODEL.depth) and len(get_feature_columns(train)) == 17
+    model, metrics, predicted, path = trained(spark, SF)
+    forest = model.stages[-1]
+    assert (forest.getNumTrees, forest.getOrDefault("maxDepth")) == (MODEL.trees, MODEL.depth) == (300, 20)
+    assert {c for c, _ in feature_sources(model)} == set(get_feature_columns()) and len(get_feature_columns()) == 17
+    assert metrics.first()["rows"] == predicted.count() > 0

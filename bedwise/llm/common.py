@@ -13,14 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one only where none is set, as in tests on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from bedwise.sources.work import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,8 +23,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: whole texts and shingle sets travel in them, and a batch of Spark's 10,000 can exceed a worker's memory.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as --py-files would; needed where it is not installed."""
+    """Send this package to the executors once per application, as --py-files would; needed where it is not installed.
+
+    Also bounds the rows of an Arrow batch, unless the session has its own number.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -90,6 +92,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
 
 
+def bloom_bits(count: int, most: int) -> int:
+    """A power of two of at least 16 bits for each of ``count`` values (about 1 in 70 others passes), at most ``most``."""
+    return min(most, max(1 << 16, 1 << (16 * max(1, count) - 1).bit_length()))
+
+
 def bloom(frame: DataFrame, column: str, bits: int) -> np.ndarray:
     """A Bloom filter of a column of 64-bit hashes: a bitmap of ``bits`` bits, two set for each value.
 
@@ -164,7 +171,7 @@ def word_table(is_word) -> np.ndarray:
     return np.array([bool(is_word(b)) for b in range(256)])
 
 
-def byte_chunks(column: pa.Array, limit: int = 1 << 20):
+def byte_chunks(column: pa.Array, limit: int = 1 << 18):
     """Runs of rows of at most ``limit`` bytes, a longer row alone: (first row, end row, bytes, offsets). Null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
     _, off, data = column.buffers()

@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedwise.llm.common import LOWER, bloom, byte_chunks, components, cut, in_bloom, list_array, mix, prefix_hash, runs_hash, span_hash, word_spans, word_table
+from bedwise.llm.common import LOWER, bloom, bloom_bits, byte_chunks, components, cut, drop_table, in_bloom, list_array, mix, prefix_hash, runs_hash, span_hash, word_spans, word_table
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
 BITS = 512
-BLOOM_BITS = 1 << 25
+BLOOM_BITS = 1 << 27  # at most: 16 MB
+DEAL = 512
 BLOCK = 1024
 STARS = 3
+PERCENT = 85
 SPACE = word_table(lambda b: not (b == 32 or 9 <= b <= 13))
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLY, ADD = (_SEEDS[:BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[BANDS * ROWS:] >> np.uint64(32)).astype(np.uint32)
@@ -121,15 +123,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, grams binary): the full shingle sets of the wanted documents, and of few others.
 
-    A bitmap of fixed size picks them while the texts are read, so no text is shuffled; what it lets through by chance
-    falls out of the joins that follow.
+    A bitmap picks them while the texts are read, so no text is shuffled; what it lets through by chance falls out of the
+    joins that follow. Its size follows the number of ids up to BLOOM_BITS, enough for some ten million; beyond, more
+    sets pass it than are needed.
     """
 
     def hashed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["k"])
 
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.mapInArrow(hashed, "k long"), "k", BLOOM_BITS))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.mapInArrow(hashed, "k long"), "k", bloom_bits(ids.count(), BLOOM_BITS)))
 
     def run(batches):
         for batch in batches:
@@ -146,24 +149,36 @@ def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold.
 
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(both) - shared)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    A pair's second set goes once to every DEAL partners of it, so neither a popular document nor its partners meet in one task.
+    """
+    spark = docs.sparkSession
+    ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = cut(member_sets(docs, ids), "sets")
-    left, right = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
-    return cut(joined.mapInArrow(run, "a long, b long").distinct(), "links")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    left = dealt.join(sets.select(F.col("id").alias("a"), "grams"), "a").select("b", "part", "a", "grams")
+    right = sets.join(parts, sets["id"] == parts["b"]).select(
+        F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"), F.col("grams").alias("own"))
+
+    def run(key, table, centre):
+        keep = []
+        if centre.num_rows:
+            own = np.frombuffer(centre["own"][0].as_py(), np.uint64)
+            for i, grams in enumerate(table["grams"]):
+                other = np.frombuffer(grams.as_py(), np.uint64)
+                shared = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                    keep.append(i)
+        a = table["a"].take(pa.array(keep, pa.int64()))
+        return pa.table({"a": a, "b": pa.array([key[0].as_py()] * len(a), pa.int64())})
+
+    linked = left.groupBy("b", "part").cogroup(right.groupBy("centre", "deal")).applyInArrow(run, "a long, b long")
+    links = cut(linked.distinct(), "links")
+    for table in (sets, ids):
+        drop_table(spark, table)
+    return links
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +221,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; linked at 100 * common >= percent * union."""
     marks = cut(signatures(docs), "signatures")
     full = marks.where("n > 0 AND doc_id IS NOT NULL")
@@ -231,25 +246,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         met = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return met.where(differing <= limit).select("a", "b")
 
-    apart, links, comp = buckets.withColumn("comp", F.col("id")), None, None
+    spark = docs.sparkSession
+    apart, links, before = buckets.withColumn("comp", F.col("id")), None, []
     for turn in range(STARS):
         # A centre per bucket, by one order for all buckets, so that most buckets name the same pairs.
         order = F.struct(-F.col("shares"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
         centre = apart.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
         pairs = apart.join(centre, "key").where("comp <> c.comp").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
-        new = confirmed(docs, cut(likely(pairs), "pairs"), percent)
+        tested = cut(likely(pairs), "pairs")
+        new = confirmed(docs, tested, percent)
+        drop_table(spark, tested)
         links = new if links is None else links.unionAll(new)
         comp = components(links)
         named = buckets.join(comp, "id", "left").select("key", "id", "shares", F.coalesce("comp", "id").alias("comp"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
         apart = cut(named.join(mixed, "key"), "apart")
+        for table in before:
+            drop_table(spark, table)
+        before = [apart, comp]
         if apart.isEmpty():
             break
     else:
         sets = cut(member_sets(docs, apart.select("id").distinct()), "sets")
         rows = apart.join(reps.select("id", "n", "keys", "sketch"), "id").join(sets, "id")
         links = links.unionAll(cut(across(rows.select("key", "id", "comp", "n", "keys", "sketch", "grams"), percent), "links"))
+        drop_table(spark, sets)
     whole = components(links.unionAll(copies))
+    for table in (*before, links, buckets, reps):
+        drop_table(spark, table)
     named = whole.select(F.col("id").alias("doc_id"), "comp")
     out = marks.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     component = F.coalesce("comp", "doc_id")

@@ -39,3 +39,43 @@ def test_every_stage_keeps_the_columns_and_the_last_covers_its_input(spark, tmp_
     ids = out.orderBy("start").collect()
     assert [r.doc_id for r in ids] == sorted(r.doc_id for r in ids)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(ids, ids[1:]))
+
+
+def stage(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row_key long, tid string, component_id int, comp int"
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, 7, "t", 1, 2) for i, t in rows], COLUMNS)
+
+
+def test_near_duplicates_are_decided_by_text(spark):
+    """Ids that several texts share, null ids, repeated rows, texts without a word."""
+    a = " ".join(f"word{k}" for k in range(60))
+    near = a.replace("word59", "other")
+    b, c = " ".join(f"else{k}" for k in range(40)), " ".join(f"third{k}" for k in range(40))
+    rows = [(2, a), (1, a), (2, b), (None, a), (3, near), (3, near), (None, c), (None, c), (5, c + " end"), (7, None), (7, None), (8, ""), (None, " \n"), (9, "one"), (9, "two"), (10, "two")]
+    docs = rows_of(spark, rows)
+    found = stage("minhash_near_dedup")(spark, docs, SF)
+    assert found.columns == docs.columns
+    kept = sorted((r["doc_id"], r["text"]) for r in found.where("text IS NOT NULL AND doc_id IS NOT NULL").collect())
+    assert kept == sorted([(1, a), (2, b), (5, c + " end"), (8, ""), (9, "one"), (9, "two")])
+    assert found.where("text IS NULL").count() == 2 and found.where("doc_id IS NULL").count() == 1
+
+
+def test_stages_of_empty_tables(spark):
+    empty = rows_of(spark, [(1, "x")]).limit(0)
+    for name in ("toxicity", "minhash_near_dedup", "benchmark_decontamination", "source_mixing", "token_files"):
+        assert stage(name)(spark, empty, SF).count() == 0
+
+
+def test_decontamination_keeps_clean_rows_with_the_same_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = " ".join(f"word{k}" for k in range(60))
+    found = stage("benchmark_decontamination")(spark, rows_of(spark, [(1, item), (1, clean), (None, item), (None, clean), (2, None)]), SF)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in found.collect()) == [("1", clean), ("2", ""), ("None", clean)]

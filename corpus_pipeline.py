@@ -22,11 +22,22 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: one document of each group stays. Of rows with one doc_id one stays; rows without an id all stay."""
+    """Near duplicates: one row of each group of texts stays, whatever the ids are; texts without a word all stay.
+
+    Groups are formed of texts (by their hash), so an id that several texts share, or none, decides nothing but which row
+    stays: the one with the smallest id.
+    """
     ship(spark)
-    first = minhash_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    chosen = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = docs.where(wordy)
+    groups = minhash_dedup.near_duplicates(some.select(F.xxhash64("text").alias("doc_id"), "text"), percent=minhash_dedup.PERCENT)
+    groups = groups.select(F.col("doc_id").alias("tid"), "component_id").distinct()
+    # Equal rows share a key, so the one shuffle by it also brings repeated rows together.
+    keyed = some.withColumn("row_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    marks = keyed.select("doc_id", "row_key", F.xxhash64("text").alias("tid")).distinct().join(groups, "tid")
+    first = marks.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")).select("m.row_key")
+    kept = keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(*docs.columns).unionByName(docs.where(~wordy))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

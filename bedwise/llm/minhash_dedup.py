@@ -157,24 +157,28 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = cut(member_sets(docs, ids), "sets")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    left = dealt.join(sets.select(F.col("id").alias("a"), "grams"), "a").select("b", "part", "a", "grams")
-    right = sets.join(parts, sets["id"] == parts["b"]).select(
-        F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"), F.col("grams").alias("own"))
-
-    def run(key, table, centre):
-        keep = []
-        if centre.num_rows:
-            own = np.frombuffer(centre["own"][0].as_py(), np.uint64)
-            for i, grams in enumerate(table["grams"]):
-                other = np.frombuffer(grams.as_py(), np.uint64)
-                shared = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
-                    keep.append(i)
-        a = table["a"].take(pa.array(keep, pa.int64()))
-        return pa.table({"a": a, "b": pa.array([key[0].as_py()] * len(a), pa.int64())})
-
-    linked = left.groupBy("b", "part").cogroup(right.groupBy("centre", "deal")).applyInArrow(run, "a long, b long")
+    dealt = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
+    partners = dealt.join(sets.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "grams")
+    centres = parts.join(sets.withColumnRenamed("id", "b"), "b").select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "grams")
+
+    def run(batches):
+        centre, own = None, None
+        for batch in batches:
+            b, a, grams, keep = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), []
+            for i, partner in enumerate(a):
+                members = np.frombuffer(grams[i].as_buffer(), np.uint64)
+                if partner is None:  # sorted before its partners
+                    centre, own = b[i], members.copy()
+                elif centre == b[i]:
+                    shared = int((own[np.minimum(np.searchsorted(own, members), len(own) - 1)] == members).sum())
+                    if 100 * shared >= percent * (len(own) + len(members) - shared):
+                        keep.append(i)
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(keep), batch.column(0).take(keep)], ["a", "b"])
+
+    both = partners.unionByName(centres).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+    linked = both.mapInArrow(run, "a long, b long")
     links = cut(linked.distinct(), "links")
     for table in (sets, ids):
         drop_table(spark, table)

@@ -379,8 +379,11 @@ def training_set(sources: list[str], seed: int = SEED) -> tuple[list[Page], list
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Fit on at most ``sample`` pages of at most LONGEST characters, chosen by a hash."""
-    chosen = pages.where(f"length(html) BETWEEN 1 AND {LONGEST}").select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(sample)
-    return Labeller.fresh().fit(*training_set([r["html"] for r in chosen.collect()]))
+    usable = pages.where(f"length(html) BETWEEN 1 AND {LONGEST}").select("html", F.xxhash64("html").alias("h"))
+    # The hashes are ordered without the pages, so that a task sends numbers to the driver and only the sample's pages follow.
+    least = usable.select("h").distinct().orderBy("h").limit(sample)
+    chosen = usable.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])  # ``sample`` numbers
+    return Labeller.fresh().fit(*training_set([r["html"] for r in sorted(chosen.collect(), key=lambda r: r["h"])]))
 
 
 def main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:

@@ -6,8 +6,9 @@
    highest quotients target / (2 i + 1) give each source its blocks up to there. The method is monotone in the count, so
    the differences between shards are quotas, whole numbers of zero or more. Only seats near the line are ranked: at most a
    few per source and shard.
-4. A source's documents stand in a seeded order, a stream of blocks; the quota takes blocks one after another from a
-   seeded start, around the stream as often as needed. Whole documents are taken but for the two ends of the run.
+4. A source's documents stand in a seeded order, a stream of blocks from a seeded start, around it as often as needed. The
+   shards take their quotas of blocks from it one after another, so each shard of each source is a run of whole documents
+   but for its two ends. ``mixture`` names the shard in which a document is first taken.
 
 The offset of a document in its source's stream comes from sums per (source, slice) and a running sum within a
 slice, so a source that holds a third of all rows is spread over many tasks. One row per source is all that meets in one
@@ -55,7 +56,7 @@ def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
 
 
 def block_quotas(targets: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(source, source_size, target, block, shard, quota): whole blocks of each source for each shard."""
+    """(source, source_size, target, block, shard, quota, upto): whole blocks of each source for each shard, and up to its end."""
     every = Window.partitionBy(F.lit(1))
     t = targets.where("source_size > 0").withColumn("sources", F.count("*").over(every)).withColumn("total", F.sum("source_size").over(every))
     block = F.greatest(F.lit(1), F.least(F.lit(LARGEST_BLOCK), F.floor(F.min("target").over(every) / 1000))).cast("long")
@@ -74,13 +75,14 @@ def block_quotas(targets: DataFrame, shards: int = SHARDS) -> DataFrame:
     won = near.join(lows, "shard").withColumn("won", (F.col("place") <= F.col("seats") - F.col("sure")).cast("long"))
     upto = won.groupBy("source", "source_size", "target", "block", "shard").agg((F.max("low") + F.sum("won")).alias("upto"))
     before = F.lag("upto", 1, 0).over(Window.partitionBy("source").orderBy("shard"))
-    return upto.select("source", "source_size", "target", "block", "shard", (F.col("upto") - before).alias("quota"))
+    return upto.select("source", "source_size", "target", "block", "shard", (F.col("upto") - before).alias("quota"), "upto")
 
 
 def placed(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with a struct ``mix``: size, source_size, target, taken, and where the taken words lie.
+    """``docs`` with a struct ``mix``: size, source_size, target, taken, shard, and where the taken words lie.
 
-    mix.passes: how often the whole text is taken; mix.parts: word ranges (from, to), 0-based, of one more partial taking.
+    mix.passes: how often the whole text is taken; mix.parts: word ranges (from, to), 0-based, of one more partial taking;
+    mix.shard: the shard whose quota takes the document first.
     """
     docs = docs.withColumn("mix_size", word_count(F.col("text")))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
@@ -88,11 +90,13 @@ def placed(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame
     sizes = docs.select(F.col("source"), F.col("mix_size").alias("size"), F.col("mix_slice").alias("slice"))
     slices = sizes.groupBy("source", "slice").agg(F.sum("size").alias("size"))
     targets = source_targets(slices)
-    quota = block_quotas(targets, shards).groupBy("source").agg(F.sum("quota").alias("quota"), F.first("block").alias("block"))
+    # One row for each source, with the blocks that its shards have taken up to their ends.
+    ends = F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"])
+    quota = block_quotas(targets, shards).groupBy("source").agg(F.sum("quota").alias("quota"), F.first("block").alias("block"), ends.alias("ends"))
     base = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slices = slices.select(F.col("source").alias("s"), F.col("slice").alias("l"), base.alias("base"))
     plan = targets.join(quota.withColumnRenamed("source", "q"), F.col("source").eqNullSafe(F.col("q")), "left").select(
-        F.col("source").alias("t"), "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), F.coalesce("block", F.lit(1)).alias("block"))
+        F.col("source").alias("t"), "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), F.coalesce("block", F.lit(1)).alias("block"), "ends")
     plan = slices.join(plan, F.col("s").eqNullSafe(F.col("t"))).drop("t")
     within = Window.partitionBy("source", "mix_slice").orderBy("mix_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("mix_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
@@ -116,15 +120,20 @@ def placed(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame
         overlap(F.col("mix_start"), F.least(end, F.col("source_size")))), lambda p: p["from"] < p["to"])
     docs = docs.withColumn("mix_parts", parts)
     part = F.aggregate("mix_parts", F.lit(0).cast("long"), lambda acc, p: acc + p["to"] - p["from"])
+    taken = F.col("mix_passes") * F.col("mix_size") + part
+    # Where the document's first word behind the start stands in the run.
+    at = F.when(F.col("mix_from") >= F.col("mix_start"), F.col("mix_from") - F.col("mix_start")).when(F.col("mix_from") + F.col("mix_size") > F.col("mix_start"), F.lit(0))
+    docs = docs.withColumn("mix_at", F.coalesce(at, F.col("mix_from") + F.col("source_size") - F.col("mix_start")))
+    shard = F.when(taken > 0, F.size(F.filter("ends", lambda e: e * F.col("block") <= F.col("mix_at"))))
     mix = F.struct(
-        F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_passes") * F.col("mix_size") + part).alias("taken"), F.col("mix_passes").alias("passes"), F.col("mix_parts").alias("parts"))
-    helpers = [c for c in docs.columns if c.startswith("mix_")] + ["s", "l", "base", "source_size", "target", "quota", "block"]
+        F.col("mix_size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("mix_passes").alias("passes"), F.col("mix_parts").alias("parts"), shard.alias("shard"))
+    helpers = [c for c in docs.columns if c.startswith("mix_")] + ["s", "l", "base", "source_size", "target", "quota", "block", "ends"]
     return docs.withColumn("mix", mix).drop(*helpers)
 
 
 def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``."""
-    return placed(docs.select(F.col("doc_id"), F.col("text"), F.col("source")), seed).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    """(doc_id, size, source_size, target, taken, shard) for every row of ``docs``; shard is null where nothing is taken."""
+    return placed(docs.select(F.col("doc_id"), F.col("text"), F.col("source")), seed).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.shard")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:

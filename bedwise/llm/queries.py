@@ -177,21 +177,22 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY target / (2
 won AS (
   SELECT source, shard, max(low) + sum(CASE WHEN place <= seats - sure THEN 1 ELSE 0 END) AS upto
   FROM placed JOIN (SELECT shard, sum(low) AS sure FROM bounds GROUP BY shard) USING (shard) GROUP BY ALL
-), quota AS (SELECT source, max(upto)::BIGINT AS quota FROM won WHERE shard = 15 GROUP BY source),
+), quota AS (SELECT source, max(upto)::BIGINT AS quota, list(upto ORDER BY shard) AS ends FROM won GROUP BY source),
 plan AS (
   SELECT t.source, t.source_size, t.target, least(coalesce(quota * block, 0), 3 * t.source_size)::BIGINT AS words,
-    coalesce(('0x' || substr(md5('42:' || coalesce(t.source, '')), 1, 12))::BIGINT % ceil(t.source_size / block)::BIGINT * block, 0)::BIGINT AS start
+    coalesce(('0x' || substr(md5('42:' || coalesce(t.source, '')), 1, 12))::BIGINT % ceil(t.source_size / block)::BIGINT * block, 0)::BIGINT AS start, block, ends
   FROM t LEFT JOIN quota ON t.source IS NOT DISTINCT FROM quota.source LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source
 ), r AS (
-  SELECT doc_id, size, plan.source_size, target, start,
+  SELECT doc_id, size, plan.source_size, target, start, block, ends,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off,
     CASE WHEN plan.source_size > 0 THEN words // plan.source_size ELSE 0 END AS passes, words
   FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
 )
-SELECT doc_id, size, source_size, target, (passes * size
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN len(list_filter(ends, lambda e: e * block <= CASE WHEN off >= start THEN off - start WHEN off + size > start THEN 0 ELSE off + source_size - start END)) END::INTEGER AS shard FROM (
+SELECT doc_id, size, source_size, target, start, block, ends, off, (passes * size
   + greatest(0, least(size, start + words - passes * source_size - source_size - off))
   + greatest(0, least(size, least(start + words - passes * source_size, source_size) - off) - greatest(0, start - off)))::BIGINT AS taken
-FROM r
+FROM r)
 """
 
 

@@ -9,8 +9,8 @@ Training features of a row come from a lexicon that was made without the row's f
 features need one pass and no shuffle. Labels, lang, source and doc_id are no features.
 
 Defined results. Null or empty text: all features 0, scored like any other. Null doc_id: scored, not held out, never used
-for training. Repeated rows get equal scores; repeated labels count as the largest. Without labelled rows of both classes the
-score is the share of toxic labels (0 without any). An empty table gives an empty result. Other columns are kept apart
+for training. Repeated rows get equal scores; repeated labels count as the largest. Without labelled rows of both classes, in
+one fold and outside it, the score is the share of toxic labels (0 without any). An empty table gives an empty result. Other columns are kept apart
 and not read.
 """
 
@@ -194,9 +194,13 @@ def with_features(docs: DataFrame, others: list[str]) -> StructType:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     rows = cut(labelled(docs, labels, sample), "labelled")
-    classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(classes) < 2:
-        return ToxicityModel(np.zeros(0, np.uint64), share=float(next(iter(classes), 0)))
+    sizes = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
+    # The fold that calibrates: it and the rest must both hold both classes.
+    usable = [f for f in range(FOLDS) if all((f, t) in sizes and any((g, t) in sizes for g in range(FOLDS) if g != f) for t in (0, 1))]
+    if not usable:
+        total = sum(sizes.values())
+        return ToxicityModel(np.zeros(0, np.uint64), share=sum(n for (_, t), n in sizes.items() if t == 1) / total if total else 0.0)
+    held = usable[0]
     lexicons = learned_lexicons(rows)
 
     def run(batches):
@@ -212,9 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     table = rows.select("text", F.col("toxic").cast("double").alias("toxic"), "fold").mapInArrow(run, "toxic double, fold int, x array<double>")
     table = cut(table, "features").withColumn("features", array_to_vector("x"))
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=42)
-    fitted = trees.fit(table.where("fold <> 0").coalesce(4))
-    seen = fitted.transform(table.where("fold = 0")).select("toxic", vector_to_array("probability")[1].alias("raw"))
-    if len(classes) == 2 and seen.select("toxic").distinct().count() < 2:
-        seen = fitted.transform(table).select("toxic", vector_to_array("probability")[1].alias("raw"))
+    fitted = trees.fit(table.where(F.col("fold") != held).coalesce(4))
+    seen = fitted.transform(table.where(F.col("fold") == held)).select("toxic", vector_to_array("probability")[1].alias("raw"))
     calibration = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="score").fit(seen)
     return ToxicityModel(lexicons[-1], fitted, calibration)

@@ -191,6 +191,34 @@ def test_mix_meets_targets_and_caps(spark, corpus):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mixture(docs_of(spark, rows).repartition(7)).collect()))
 
 
+def test_mix_shards_hold_their_quotas(spark):
+    """Documents of one word: a shard is the documents that it takes first, and each takes its quota of blocks."""
+    docs = docs_of(spark, [(k, f"w{k}", "ab"[k % 2]) for k in range(400)])
+    sizes = spark.createDataFrame([("a", 200), ("b", 200)], "source string, size long")
+    quota = {(r["source"], r["shard"]): r["quota"] * r["block"] for r in mixing.block_quotas(mixing.source_targets(sizes)).collect()}
+    taken = mixing.mixture(docs).join(docs.select("doc_id", "source"), "doc_id").where("taken > 0")
+    found = {(r["source"], r["shard"]): r["count"] for r in taken.groupBy("source", "shard").count().collect()}
+    left = {"a": 200, "b": 200}  # the later shards of a source that is taken more than once take documents again
+    for (source, shard), n in sorted(quota.items()):
+        first = min(n, left[source])
+        left[source] -= first
+        assert found.get((source, shard), 0) == first
+    assert mixing.mixture(docs).where("taken = 0 AND shard IS NOT NULL").count() == 0
+
+
+def test_toxicity_with_few_labels(spark):
+    """Labels of both classes in one fold only, of one class, and of one row each."""
+    docs = docs_of(spark, [(k, f"text number {k} you fool", "a") for k in range(200)])
+    fold = {r["doc_id"]: r["f"] for r in docs.where(toxicity.remainder(F.col("doc_id")) != 2).select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    same = [i for i, f in sorted(fold.items()) if f == 0][:4]
+    for ids, share in ((same, 0.5), (same[:1], 0.0), (same[1:2], 1.0)):
+        labels = spark.createDataFrame([(i, 1, same.index(i) % 2) for i in ids], "doc_id long, quality int, toxic int")
+        assert {r["score"] for r in toxicity.train(docs, labels).score(docs).collect()} == {share}
+    some = [i for f in range(toxicity.FOLDS) for i in [j for j, g in sorted(fold.items()) if g == f][:2]]
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(some)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.train(docs, labels).score(docs).collect())
+
+
 def test_mixed_rows_hold_the_words_taken(spark, corpus):
     docs = docs_of(spark, corpus)
     plan, out = mixing.mixture(docs), mixing.mixed(docs)

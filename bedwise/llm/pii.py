@@ -97,16 +97,26 @@ def shape(token: str, spaced: bool) -> int:
     return 2 * s + spaced
 
 
+_shapes: dict[tuple[str, bool], int] = {}
+
+
+def known_shape(token: str, spaced: bool) -> int:
+    """``shape``, remembered for short tokens; the memory is emptied when it is full."""
+    found = _shapes.get((token, spaced))
+    if found is None:
+        found = shape(token, spaced)
+        if len(token) <= 16:
+            if len(_shapes) >= 50_000:
+                _shapes.clear()
+            _shapes[token, spaced] = found
+    return found
+
+
 def chain(line: str, at: int):
     """(token starts, token ends, shapes) of a line that begins at ``at``."""
-    starts, ends, shapes, last = [], [], [], -1
-    for m in TOKEN.finditer(line):
-        a, b = m.span()
-        starts.append(at + a)
-        ends.append(at + b)
-        shapes.append(shape(m[0], a != last))
-        last = b
-    return starts, ends, shapes
+    spans = [m.span() for m in TOKEN.finditer(line)]
+    shapes = [known_shape(line[a:b], a != last) for (a, b), last in zip(spans, [-1] + [b for _, b in spans])]
+    return [at + a for a, _ in spans], [at + b for _, b in spans], shapes
 
 
 def chains(text: str, everything: bool = True):
@@ -168,10 +178,11 @@ class Field:
         out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
         step = self.transitions + FORBIDDEN
+        into = np.ascontiguousarray(step.T)
         lo = 0
         while lo < len(order):
             hi = lo + 1
-            while hi < len(order) and (hi - lo) * len(sequences[order[hi]]) < 60_000:
+            while hi < len(order) and (hi - lo) * len(sequences[order[hi]]) < 200_000:
                 hi += 1
             some = order[lo:hi]
             lo = hi
@@ -181,9 +192,9 @@ class Field:
             back = np.zeros((n, len(some), len(LABELS)), np.int8)
             score = e[:, 0] + step[0]  # a chain begins and ends next to "outside"
             for t in range(1, n):
-                way = score[:, :, None] + step
-                back[t] = way.argmax(axis=1)
-                new = way.max(axis=1) + e[:, t]
+                way = score[:, None, :] + into  # [chain, label, label before]
+                back[t] = best = way.argmax(axis=2)
+                new = np.take_along_axis(way, best[:, :, None], 2)[:, :, 0] + e[:, t]
                 score = np.where((t < size)[:, None], new, score)
             label = (score + step[:, 0]).argmax(axis=1)
             path = np.zeros((len(some), n), int)
@@ -219,6 +230,13 @@ class Field:
             m = x.max(axis=axis, keepdims=True)
             return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
+        # Where each shape stands, seen from each offset: sums by shape are sums of runs of the sorted places.
+        runs = []
+        for at in OFFSETS:
+            flat = shapes[:, 2 + at:2 + at + n].ravel()
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            runs.append((order, first, flat[order][first]))
         for step in range(1, STEPS + 1):
             e = Field(weights, trans).emissions(shapes)
             move = trans + FORBIDDEN
@@ -233,8 +251,8 @@ class Field:
             p = np.exp(alpha + beta - z[:, None, None]) * there[:, :, None]
             grad_e = (p - eye[gold]) * there[:, :, None]
             grad_w, grad_t = PENALTY * weights, PENALTY * trans - pairs / len(sequences)
-            for o, at in enumerate(OFFSETS):
-                np.add.at(grad_w[o], shapes[:, 2 + at:2 + at + n], grad_e / len(sequences))
+            for o, (order, first, shape_) in enumerate(runs):
+                grad_w[o, shape_] += np.add.reduceat(grad_e.reshape(-1, k)[order], first, axis=0) / len(sequences)
             for t in range(1, n):
                 both = np.exp(alpha[:, t - 1, :, None] + move + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
                 grad_t = grad_t + both[there[:, t]].sum(axis=0) / len(sequences)

@@ -139,15 +139,23 @@ def top_actions(recommendations: DataFrame, n: int = 10) -> DataFrame:
 
 
 def resource_needs(recommendations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Beds, overtime hours and stock alerts, selected by the wording of the action."""
-    group = recommendations.groupBy(*by) if by else recommendations
+    """Beds, overtime hours and stock alerts, selected by the wording of the action.
+
+    Rows are summed per action and unit first, so that only the few different actions are searched for words.
+    """
+    per = recommendations.groupBy(*by, "action", "unit").agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("rows"))
+    group = per.groupBy(*by) if by else per
     beds = contains_any("action", "lits")
     staff = contains_any("action", "personnel|heures")
     stock = contains_any("action", "fournitures|stock")
+
+    def rows_of(kind: Column) -> Column:
+        return F.coalesce(F.sum(F.when(kind, F.col("rows"))), F.lit(0))
+
     return group.agg(
-        F.sum(F.when(beds, F.col("quantity"))).alias("extra_beds"), F.count_if(beds).alias("bed_actions"),
+        F.sum(F.when(beds, F.col("quantity"))).alias("extra_beds"), rows_of(beds).alias("bed_actions"),
         F.sum(F.when(staff & (F.col("unit") == "heures"), F.col("quantity"))).alias("overtime_hours"),
-        F.count_if(staff).alias("staff_actions"), F.count_if(stock).alias("stock_alerts"),
+        rows_of(staff).alias("staff_actions"), rows_of(stock).alias("stock_alerts"),
     )
 
 

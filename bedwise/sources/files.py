@@ -63,7 +63,8 @@ def _scan(spark: SparkSession, paths: list[str], columns: list[str], parse_dates
         c: T.StringType() if c == CSV.date_column else T.DoubleType() if isinstance(t, T.IntegralType) else t
         for c, t in types.items()
     }
-    df = _reader(spark).schema(T.StructType([T.StructField(c, t) for c, t in read_as.items()])).csv(paths)
+    # Columns are matched by position: a part file with another header is an error, not misread.
+    df = _reader(spark).option("enforceSchema", False).schema(T.StructType([T.StructField(c, t) for c, t in read_as.items()])).csv(paths)
     casts = {c: F.col(c).cast(t) for c, t in types.items() if isinstance(t, T.IntegralType)}
     if parse_dates and CSV.date_column in columns:
         casts[CSV.date_column] = F.try_to_date(CSV.date_column, CSV.date_pattern)

@@ -124,3 +124,13 @@ def test_report_of_two_sites_keeps_entries_together(spark, tmp_path):
     text = [r[0] for f in sorted((tmp_path / "r").glob("part-*.txt")) for r in spark.read.text(str(f)).collect()]
     entries = [t for t in text if t.startswith("[") or t.startswith("  →")]
     assert entries == [t for s in ("A", "B") for a in ("x", "y") for t in (f"[01/01/2024] {s} : {a}", f"  → d{s}{a}")]
+
+
+def test_a_part_file_with_another_column_order_is_not_misread(spark, tmp_path):
+    folder = tmp_path / "donnees.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("date;total_admissions;available_beds\n01/01/2024;5;900\n")
+    (folder / "part-1.csv").write_text("date;available_beds;total_admissions\n02/01/2024;901;6\n")
+    with pytest.raises(Exception) as error:
+        S.load_data(spark, str(folder)).collect()
+    assert "header" in str(error.value).lower()

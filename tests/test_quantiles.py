@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from bedwise.functions.quantiles import exact_quantiles
+from bedwise.functions.quantiles import BINS, bracket_counts, brackets, exact_quantiles, near_rank
 
 PROBS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
@@ -52,3 +52,26 @@ def test_groups_nulls_and_nan(spark):
 def test_column_without_values_gives_no_row(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
     assert [r["column"] for r in exact_quantiles(df, ["a", "b"], [0.5]).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("values", [
+    [-1.7e308, 1.7e308, 0.0, 1.0, 2.0], [float("-inf"), 1.0, 2.0, 3.0, float("inf")], [5e-324, 0.0, 1e-323], [1.0, 1.0 + 2**-52, 1.0 + 2**-51],
+])
+def test_extreme_ranges(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = got(exact_quantiles(df, ["x"], [0.0, 0.5, 1.0]))
+    ordered = sorted(values)
+    assert found[0.5] == np.quantile(ordered, 0.5, method="inverted_cdf") and (found[0.0], found[1.0]) == (ordered[0], ordered[-1])
+
+
+def test_windows_order_bins_and_a_few_values_not_a_bracket(spark):
+    # A sketch this coarse brackets a large part of 60,000 distinct values.
+    df = spark.range(60_000).selectExpr("cast(id * 7919 % 60013 AS double) AS x")
+    ranks = brackets(df, ["x"], [0.25, 0.5], [], 20)
+    counts = bracket_counts(df, ["x"], ranks, [])
+    inside = counts.where("value IS NOT NULL").groupBy("p").count().collect()
+    assert len(inside) == 2 and min(r["count"] for r in inside) > 5_000
+    ordered = near_rank(counts, []).groupBy("p").count().collect()
+    assert len(ordered) == 2 and max(r["count"] for r in ordered) <= 2 * (60_000 // BINS + 2)
+    values = [i * 7919 % 60013 for i in range(60_000)]
+    assert got(exact_quantiles(df, ["x"], [0.25, 0.5], accuracy=20)) == {p: np.quantile(values, p) for p in (0.25, 0.5)}

@@ -146,16 +146,36 @@ def compare_with_reference(generated: DataFrame, reference: DataFrame, tolerance
     return compare_stats(column_stats(generated, shared), column_stats(reference, shared), tolerance)
 
 
+def compare_parts(df: DataFrame, new: Column, tolerance: float = 0.25, columns: Sequence[str] | None = None) -> DataFrame:
+    """As ``compare_with_reference`` for two parts of one table, in one pass: the rows that meet ``new`` against those that do not.
+
+    Rows for which ``new`` is null belong to neither part.
+    """
+    columns = columns or numeric_columns(df)
+    sides = {"g": new, "r": ~new}
+    row = df.agg(*[
+        measure(F.when(side, F.col(c))).alias(f"{c}__{s}_{name}")
+        for c in columns for s, side in sides.items() for name, measure in (("mean", F.avg), ("std", F.stddev_samp))
+    ])
+    return _drift(rows_of(row, *[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{m}").alias(m) for m in ("g_mean", "g_std", "r_mean", "r_std")])
+        for c in columns
+    ]), tolerance)
+
+
 def compare_stats(generated: DataFrame, reference: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """Drift between two ``column_stats`` tables, for the columns in both."""
     new = generated.select("column", F.col("mean").alias("g_mean"), F.col("std").alias("g_std"))
     old = reference.select("column", F.col("mean").alias("r_mean"), F.col("std").alias("r_std"))
+    return _drift(new.join(old, "column"), tolerance)
+
 
+def _drift(stats: DataFrame, tolerance: float) -> DataFrame:
     def apart(g: str, r: str) -> Column:
         return F.try_divide(F.abs(F.col(g) - F.col(r)), F.col(r) + F.lit(1e-9)) * 100
 
     close = apart("g_mean", "r_mean") < F.lit(tolerance * 100)
-    return new.join(old, "column").select(
+    return stats.select(
         "column",
         rounded(F.col("g_mean"), 2).alias("gen_mean"), rounded(F.col("r_mean"), 2).alias("ref_mean"),
         rounded(apart("g_mean", "r_mean"), 1).alias("mean_diff_pct"),

@@ -659,8 +659,7 @@ DRIFT = f"""{DAILY}, new_days AS (SELECT * FROM daily WHERE date >= DATE '1998-0
 
 def drift(spark, sf):
     days = daily_facts(spark, sf).select("hospital_id", "date", *DRIFT_COLUMNS)
-    cut = F.lit(date(1998, 1, 1))
-    return V.compare_with_reference(days.where(F.col("date") >= cut), days.where(F.col("date") < cut))
+    return V.compare_parts(days, F.col("date") >= F.lit(date(1998, 1, 1)), columns=DRIFT_COLUMNS)
 
 
 @query("drift_comparison", f"WITH {DRIFT} SELECT * FROM compared")
@@ -675,9 +674,7 @@ LINE_DRIFT = f"""{SUPPLIER}, new_days AS (SELECT * FROM supplier_days WHERE tota
 @query("drifted_columns", f"WITH {LINE_DRIFT} SELECT * FROM compared WHERE status = 'DRIFT'")
 def _(spark, sf):
     days = supplier_days(spark, sf)
-    busy = F.col("total_admissions") > 1
-    columns = ["total_admissions", "patients", "epidemic_level"]
-    return FL.drifted(V.compare_with_reference(days.where(busy).select(columns), days.where(~busy).select(columns)))
+    return FL.drifted(V.compare_parts(days, F.col("total_admissions") > 1, columns=["total_admissions", "patients", "epidemic_level"]))
 
 
 @query("calendar_consistency", f"""WITH {WRONG_NAMES}, stored AS (SELECT date, day_of_week, CAST(isodow(date) - 1 AS INTEGER) AS dow, CAST(month(date - 3) AS INTEGER) AS month FROM named)

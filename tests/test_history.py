@@ -195,6 +195,19 @@ def test_drift(spark):
     assert rows["b"]["status"] == "DRIFT" and rows["b"]["mean_diff_pct"] == 75.0
 
 
+def test_drift_between_parts_of_one_table_reads_it_once(spark, tmp_path):
+    rows = [(1, 10.0, 1.0), (1, 20.0, 2.0), (0, 12.0, 5.0), (0, 18.0, 7.0), (0, None, None), (None, 1e9, 1e9)]
+    spark.createDataFrame(rows, "side int, a double, b double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    new = F.col("side") == 1
+    parts = V.compare_parts(df, new, columns=["a", "b"])
+    assert parts._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    whole = V.compare_with_reference(df.where(new).select("a", "b"), df.where(~new).select("a", "b"))
+    assert sorted(parts.collect()) == sorted(whole.select(parts.columns).collect())
+    empty = V.compare_parts(df.limit(0), new, columns=["a"]).first()
+    assert empty["gen_mean"] is None and empty["status"] == "DRIFT"
+
+
 def test_profile_types(spark):
     df = spark.createDataFrame(
         [(date(2024, 1, 1), "a", 0, 0.5, 3, -1, 1.5, 0), (date(2024, 1, 2), "b", 1, 0.7, 5, 2, None, 0)],

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedwise.functions.labels import month_label, weekday_label
@@ -59,6 +59,24 @@ def predict_baseline(
     return joined.select(*df.columns, _prediction(parts, normal_level).alias(name))
 
 
+def predict_in_sample(
+    df: DataFrame, by: Sequence[str], target_col: str = MODEL.target, name: str = "predicted_admissions",
+) -> DataFrame:
+    """As ``predict_baseline`` for the very rows that the baseline is fitted on, reading them once.
+
+    One shuffle by site serves all three means. A site holds one row per day, so its windows are bounded by the calendar.
+    """
+    dow = F.col("dow") if "dow" in df.columns else F.weekday("date")
+    month = F.col("month") if "month" in df.columns else F.month("date")
+    rows = df.withColumns({"__dow": dow, "__month": month})
+    overall = F.avg(target_col).over(Window.partitionBy(*by))
+
+    def mean(key: str) -> Column:
+        return F.coalesce(F.when(F.col(key).isNotNull(), F.avg(target_col).over(Window.partitionBy(*by, key))), overall)
+
+    return rows.withColumn(name, (mean("__dow") + mean("__month")) / 2).select(*df.columns, name)
+
+
 def _prediction(parts: dict[str, Column], normal_level: float | None) -> Column:
     value = _seasonal(parts["dow_means"], parts["month_means"], parts["overall_mean"])
     if normal_level is None:
@@ -77,39 +95,40 @@ def forecast_baseline(
     return days.select(*by, *calendar, prediction.alias(name))
 
 
-def baseline_tables(baseline: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """The baseline as three small tables: ``overall``, ``dow_means`` and ``month_means``."""
-
-    def unfolded(column: str, key: str, first: int) -> DataFrame:
-        return (
-            baseline.select(*by, F.posexplode(column).alias("position", "mean"))
-            .where(F.col("mean").isNotNull())
-            .select(*by, (F.col("position") + first).alias(key), "mean")
-        )
-
-    return {
-        "overall": baseline.select(
-            *by, F.col("overall_mean").alias("mean"), F.col("overall_std").alias("std"),
-            *[c for c in ("last_date",) if c in baseline.columns],
-        ),
-        "dow_means": unfolded("dow_means", "dow", 0),
-        "month_means": unfolded("month_means", "month", 1),
-    }
+def baseline_rows(baseline: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The baseline in long format: ``(by..., part, position, mean, std, last_date)``.
 
+    ``part`` is ``overall`` (one row per site), ``dow`` (position 0 to 6) or ``month`` (1 to 12).
+    """
+    last = F.col("last_date") if "last_date" in baseline.columns else F.lit(None).cast("date")
+
+    def row(part: str, position: Column, mean: Column, std: Column, date: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), position.cast("int").alias("position"), mean.alias("mean"), std.cast("double").alias("std"),
+            date.cast("date").alias("last_date"))
+
+    null = F.lit(None)
+    rows = F.concat(
+        F.array(row("overall", null, F.col("overall_mean"), F.col("overall_std"), last)),
+        F.transform("dow_means", lambda m, i: row("dow", i, m, null, null)),
+        F.transform("month_means", lambda m, i: row("month", i + 1, m, null, null)),
+    )
+    return baseline.select(*by, F.inline(rows))
 
-def baseline_from_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
-    """Inverse of ``baseline_tables``."""
 
-    def folded(table: DataFrame, key: str, keys: range, name: str) -> DataFrame:
-        group = table.groupBy(*by) if by else table
-        return group.agg(F.array(*[F.max(F.when(F.col(key) == k, F.col("mean"))) for k in keys]).alias(name))
+def baseline_from_rows(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Inverse of ``baseline_rows``, by one aggregation. ``last_date`` is null where the baseline had none."""
+    def mean(part: str, position: int) -> Column:
+        return F.max(F.when((F.col("part") == part) & (F.col("position") == position), F.col("mean")))
 
-    overall = tables["overall"].withColumnsRenamed({"mean": "overall_mean", "std": "overall_std"})
-    dow = folded(tables["dow_means"], "dow", range(7), "dow_means")
-    month = folded(tables["month_means"], "month", range(1, 13), "month_means")
-    if by:
-        return overall.join(dow, list(by), "left").join(month, list(by), "left")
-    return overall.select("*", dow.scalar().alias("dow_means"), month.scalar().alias("month_means"))
+    overall = F.col("part") == "overall"
+    group = rows.groupBy(*by) if by else rows
+    return group.agg(
+        F.max(F.when(overall, F.col("mean"))).alias("overall_mean"), F.max(F.when(overall, F.col("std"))).alias("overall_std"),
+        F.array(*[mean("dow", i) for i in range(7)]).alias("dow_means"),
+        F.array(*[mean("month", i) for i in range(1, 13)]).alias("month_means"),
+        F.max("last_date").alias("last_date"),
+    )
 
 
 def weekday_profile(baseline: DataFrame, by: Sequence[str] = ()) -> DataFrame:

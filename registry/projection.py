@@ -150,13 +150,8 @@ def _(spark, sf):
 UNION ALL SELECT hospital_id, 'dow', CAST(dow AS INTEGER), round(m, 6), NULL FROM dow_means
 UNION ALL SELECT hospital_id, 'month', CAST(month AS INTEGER), round(m, 6), NULL FROM month_means""")
 def _(spark, sf):
-    parts = B.baseline_tables(fitted(spark, sf), SITE)
-    none = F.lit(None).cast("double").alias("std")
-    return (
-        parts["overall"].select("hospital_id", F.lit("overall").alias("part"), F.lit(0).alias("key"), "mean", "std")
-        .unionByName(parts["dow_means"].select("hospital_id", F.lit("dow").alias("part"), F.col("dow").alias("key"), "mean", none))
-        .unionByName(parts["month_means"].select("hospital_id", F.lit("month").alias("part"), F.col("month").alias("key"), "mean", none))
-    )
+    rows = B.baseline_rows(fitted(spark, sf), SITE).where("part = 'overall' OR mean IS NOT NULL")
+    return rows.select("hospital_id", "part", F.coalesce("position", F.lit(0)).alias("key"), "mean", "std")
 
 
 @query("baseline_network_fit", f"""WITH {DAILY} SELECT round(avg(total_admissions), 6) AS overall_mean, round(stddev_samp(total_admissions), 6) AS overall_std FROM daily""")
@@ -175,7 +170,7 @@ def _(spark, sf):
 def in_sample(spark, sf):
     history = supplier_days(spark, sf).select(
         "hospital_id", "date", "total_admissions", F.weekday("date").alias("dow"), F.month("date").alias("month"))
-    return B.predict_baseline(B.train_baseline(history, by=SITE), history, SITE).drop("dow", "month")
+    return B.predict_in_sample(history, SITE).drop("dow", "month")
 
 
 IN_SAMPLE = f"""{SUPPLIER},{BASELINE}, fit AS (SELECT total_admissions AS y, (coalesce(d.m, o.m) + coalesce(mm.m, o.m)) / 2 AS f

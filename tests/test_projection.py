@@ -186,6 +186,16 @@ def test_baseline_uses_weekday_and_month(spark):
     assert rows[0]["predicted_admissions"] == pytest.approx(want)
 
 
+def test_in_sample_predictions_equal_the_fitted_baseline(spark):
+    df = history(spark).unionAll(spark.createDataFrame([("A", None, 5.0), ("B", date(2023, 1, 5), None), ("C", date(2023, 1, 5), None)], "hospital_id string, date date, total_admissions double"))
+    df = df.withColumns({"dow": F.weekday("date"), "month": F.month("date")})
+    want = B.predict_baseline(B.train_baseline(df, by=["hospital_id"]), df, ["hospital_id"])
+    got = B.predict_in_sample(df, ["hospital_id"])
+    as_rows = lambda t: sorted((str(r[:-1]), r[-1] if r[-1] is None else round(r[-1], 9)) for r in map(tuple, t.collect()))
+    assert as_rows(got) == as_rows(want)
+    assert B.predict_in_sample(df.drop("dow", "month"), ["hospital_id"]).count() == df.count()
+
+
 def test_missing_season_falls_back_to_the_overall_mean(spark):
     df = history(spark, ["A"], 20)
     row = B.predict_baseline(B.train_baseline(df), M.generate_future_dates(spark, date(2023, 8, 7), 1)).first()

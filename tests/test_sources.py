@@ -87,6 +87,25 @@ def test_baseline_round_trip(spark, tmp_path):
         SM.load_baseline(spark, str(tmp_path / "none"))
 
 
+def test_a_saved_baseline_computes_the_fit_once_and_is_replaced_as_a_whole(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(s, date(2023, 1, 1 + d % 28), float(d)) for s in "AB" for d in range(50)]
+    df = spark.createDataFrame(rows, "hospital_id string, date date, total_admissions double")
+    path = str(tmp_path / "b")
+    fit = B.train_baseline(df.mapInArrow(counted, df.schema), by=["hospital_id"])
+    SM.save_baseline(fit, path, ["hospital_id"])
+    assert read.value == 100
+    only_b = B.train_baseline(df.where("hospital_id = 'B'"), by=["hospital_id"])
+    SM.save_baseline(only_b, path, ["hospital_id"])
+    assert SM.load_baseline(spark, path, ["hospital_id"]).select(*only_b.columns).collect() == only_b.collect()
+
+
 def test_model_round_trip(spark, tmp_path):
     df = spark.range(60).select(F.col("id").cast("int").alias("dow"), F.lit("it's").alias("season"), (F.col("id") * 2).alias("total_admissions"))
     model = L.train_model(df, ["dow", "season"], trees=3, depth=4)
@@ -100,9 +119,17 @@ def test_model_round_trip(spark, tmp_path):
 
 def test_reports_are_written(spark, tmp_path):
     df = spark.createDataFrame([(date(2020, 1, 1), -5)], "date date, total_admissions int")
-    SM.save_validation_report(V.validate_dataset(df, df), str(tmp_path / "v"))
-    assert spark.read.parquet(str(tmp_path / "v" / "summary")).first()["is_valid"] is False
-    assert spark.read.parquet(str(tmp_path / "v" / "comparison")).count() == 1
+    path = str(tmp_path / "v")
+    for report in (V.validate_dataset(df, df), V.validate_dataset(df)):
+        SM.save_validation_report(report, path)
+        back = SM.load_validation_report(spark, path)
+        for name in SM.REPORT_COLUMNS:
+            saved, loaded = getattr(report, name), getattr(back, name)
+            assert (saved is None) == (loaded is None)
+            if saved is not None:
+                assert sorted(map(str, saved.select(loaded.columns).collect())) == sorted(map(str, loaded.collect()))
+    with pytest.raises(S.DataNotFoundError):
+        SM.load_validation_report(spark, str(tmp_path / "none"))
     recs = R.generate_recommendations(df)
     lines = R.action_report(recs, "x", X.ScenarioParams().to_dict(), date(2020, 1, 1), 7, "now")
     SM.write_action_report(lines, str(tmp_path / "r"))

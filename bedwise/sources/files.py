@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from bedwise.schema import DAILY_TYPES
 from bedwise.settings import CSV, DEFAULT_SITE, HOSPITALS
 
 TRAINING_FILES = "donnees_*.csv"
+HEADER_READERS = 32
 
 
 class DataNotFoundError(FileNotFoundError):
@@ -63,7 +66,7 @@ def _scan(spark: SparkSession, paths: list[str], columns: list[str], parse_dates
         c: T.StringType() if c == CSV.date_column else T.DoubleType() if isinstance(t, T.IntegralType) else t
         for c, t in types.items()
     }
-    # Columns are matched by position: a part file with another header is an error, not misread.
+    # Spark matches columns by position and checks the names: a file changed since its header was read is an error, not misread.
     df = _reader(spark).option("enforceSchema", False).schema(T.StructType([T.StructField(c, t) for c, t in read_as.items()])).csv(paths)
     casts = {c: F.col(c).cast(t) for c, t in types.items() if isinstance(t, T.IntegralType)}
     if parse_dates and CSV.date_column in columns:
@@ -71,19 +74,67 @@ def _scan(spark: SparkSession, paths: list[str], columns: list[str], parse_dates
     return df.withColumns(casts) if casts else df
 
 
+def _part_files(spark: SparkSession, path: str) -> list[str]:
+    """The files behind a path: itself, or the part files of a folder. A folder of folders stays as it is."""
+    files = []
+    for found in _glob(spark, path):
+        at = spark._jvm.org.apache.hadoop.fs.Path(found)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.getFileStatus(at).isDirectory():
+            files.append(found)
+            continue
+        parts = [f for f in fs.listStatus(at) if not f.getPath().getName().startswith(("_", "."))]
+        files += [found] if any(f.isDirectory() for f in parts) else [str(f.getPath()) for f in parts]
+    return sorted(files)
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, of which no more than a buffer is read. None for an empty file or a folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.getFileStatus(at).isDirectory():
+        return None
+    stream = fs.open(at)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, CSV.encoding)).readLine()
+    finally:
+        stream.close()
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, ...]]:
+    """The column names of every file, without a Spark job: only first lines are read, HEADER_READERS files at a time."""
+
+    def names(path: str) -> tuple[str, ...]:
+        line = _first_line(spark, path)
+        header = tuple(next(csv.reader([line], delimiter=CSV.separator), ())) if line else ()
+        # Spark names missing and repeated columns itself.
+        plain = header and all(header) and len({h.lower() for h in header}) == len(header)
+        return header if plain else tuple(_reader(spark).csv(path).columns)
+
+    with ThreadPoolExecutor(HEADER_READERS) as readers:
+        return list(readers.map(names, paths))
+
+
 def _load(spark: SparkSession, paths: list[str], parse_dates: bool) -> DataFrame:
     """Files grouped by header, one scan per header, stacked by column name.
 
-    Spark matches CSV columns by position, so files with another header need their own scan.
+    Spark matches CSV columns by position, so files with another header need their own scan, part files of one folder too.
+    Empty files hold no column and no row.
     """
+    files = [f for p in paths for f in _part_files(spark, p)]
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(_reader(spark).csv(path).columns), []).append(path)
+    for file, header in zip(files, _headers(spark, files)):
+        by_header.setdefault(header, []).append(file)
+    if len(by_header) > 1:
+        by_header.pop((), None)
     return union_all([_scan(spark, group, list(header), parse_dates) for header, group in by_header.items()])
 
 
 def load_data(spark: SparkSession, path: str, parse_dates: bool = True) -> DataFrame:
-    """One daily CSV file (or directory of part files with one header). Bad dates become null."""
+    """One daily CSV file, or directory of part files, whose columns are matched by name. Bad dates become null."""
     if not _glob(spark, path):
         raise DataNotFoundError(f"no data file at {path}")
     return _load(spark, [path], parse_dates)

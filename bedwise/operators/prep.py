@@ -81,8 +81,9 @@ def preprocess_data(df: DataFrame, add_time_features: bool = True, fill_missing:
     df = clean_data(df)
     if add_time_features:
         df = add_temporal_features(df)
-    # The fill values and the result read the rows without repeating the shuffle that drops equal ones.
-    return fill_missing_values(df.persist()) if fill_missing else df
+    # The fill values and the result read the rows without repeating the shuffle that drops equal ones, from a table
+    # that outlives an executor and holds no storage of one.
+    return fill_missing_values(written(df, "cleaned")) if fill_missing else df
 
 
 def get_feature_columns(df: DataFrame | None = None, extra: Sequence[str] = ()) -> list[str]:

@@ -22,7 +22,7 @@ from bedwise.sources.files import export_rows, hospital_catalogue, in_date_order
 from registry.core import query
 from registry.tables import (
     DAILY, HOSPITAL, HOSPITAL_FULL, LEDGER, SUPPLIER, daily_facts, hospital_days, hospital_full, sql_list, sql_season,
-    supplier_days, table,
+    supplier_days, supplier_visits, table,
 )
 
 START, END = date(1997, 1, 1), date(1998, 12, 31)
@@ -752,7 +752,7 @@ def _(spark, sf):
 @query("calendar_spine", f"""WITH sites AS (SELECT DISTINCT 'S' || CAST(l_suppkey AS VARCHAR) AS hospital_id FROM lineitem)
 SELECT hospital_id, CAST(unnest(generate_series(TIMESTAMP '2001-01-01', TIMESTAMP '2001-03-31', INTERVAL 1 DAY)) AS DATE) AS date FROM sites""")
 def _(spark, sf):
-    return G.calendar_spine(supplier_days(spark, sf).select("hospital_id").distinct(), date(2001, 1, 1), date(2001, 3, 31))
+    return G.calendar_spine(supplier_visits(spark, sf).select("hospital_id").distinct(), date(2001, 1, 1), date(2001, 3, 31))
 
 
 @query("expected_demand", f"""WITH {HOSPITAL}

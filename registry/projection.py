@@ -24,7 +24,7 @@ from bedwise.sources import models as S
 from bedwise.sources.work import shared_dir, written
 from registry.core import query
 from registry.history import calendar_sql
-from registry.tables import DAILY, HOSPITAL, HOSPITAL_FULL, SUPPLIER, daily_facts, hospital_days, hospital_full, sql_list, sql_season, supplier_days, table
+from registry.tables import DAILY, HOSPITAL, HOSPITAL_FULL, SUPPLIER, daily_facts, hospital_days, hospital_full, sql_list, sql_season, supplier_days, supplier_visits, table
 
 SITE = ["hospital_id"]
 HORIZON = 30
@@ -215,7 +215,7 @@ def _(spark, sf):
 
 @query("future_calendar", f"""WITH {SUPPLIER},{FUTURE} SELECT hospital_id, date, {calendar_sql('date')}, {sql_season('month(date)')} AS season, dayname(date) AS day_of_week FROM future""")
 def _(spark, sf):
-    return M.days_after(supplier_days(spark, sf), HORIZON)
+    return M.days_after(supplier_visits(spark, sf), HORIZON)
 
 
 @query("forecast_drivers", f"""WITH {SUPPLIER},{FUTURE} SELECT hospital_id, date, {calendar_sql('date')}, {sql_season('month(date)')} AS season, dayname(date) AS day_of_week,
@@ -224,7 +224,7 @@ def _(spark, sf):
   CAST(2 AS INTEGER) AS epidemic_level, CAST(0 AS INTEGER) AS heatwave_event, CAST(0 AS INTEGER) AS strike_level, 0.06e0 AS staff_absence_rate, CAST(420 AS INTEGER) AS available_staff,
   CAST(1420 AS INTEGER) AS available_beds, 72e0 AS medical_stock_level_pct, CAST(0 AS INTEGER) AS accident_event, CAST(0 AS INTEGER) AS external_alert_level FROM future""")
 def _(spark, sf):
-    return M.with_drivers(M.days_after(supplier_days(spark, sf), HORIZON), {"epidemic_level": 2})
+    return M.with_drivers(M.days_after(supplier_visits(spark, sf), HORIZON), {"epidemic_level": 2})
 
 
 @query("baseline_forecast", f"""WITH {PREDICTED} SELECT hospital_id, date, round(predicted_admissions, 6) AS predicted_admissions,

@@ -122,6 +122,12 @@ def supplier_days(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def supplier_visits(spark: SparkSession, sf: str) -> DataFrame:
+    """Site and day of every row, for what needs no count per day."""
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("hospital_id"), F.to_date("l_shipdate").alias("date"))
+
+
 # --- the same tables as SQL common table expressions -----------------------------------
 
 REGION_DAYS = """

@@ -133,23 +133,31 @@ def encoder(path: str) -> WordEncoder:
 
 
 def compress(ids: np.ndarray, vocabulary: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Rules per round, left and right symbols of all rules, and the remaining symbols."""
+    """Rules per round, left and right symbols of all rules, and the remaining symbols.
+
+    The first round counts all pairs. A round only takes places from pairs of older symbols, so after it no pair can be
+    frequent but those that hold one of its new symbols and those that were frequent before: only they are counted again.
+    """
     seq, rounds, lefts, rights, size = ids.astype(np.uint32), [], [], [], vocabulary
     none = np.iinfo(np.int32).max
+    there = np.arange(max(0, len(seq) - 1))  # places of pairs that may be frequent
     while len(seq) >= 2 * LEAST:
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        # Of a run of one symbol only every second pair counts: the others overlap it.
-        count_it = np.ones(len(pairs), bool)
-        same = np.flatnonzero(seq[:-1] == seq[1:])
-        if len(same):
-            first = np.concatenate([[True], np.diff(same) > 1])
-            count_it[same] = (same - same[first][np.cumsum(first) - 1]) % 2 == 0
+        same = seq[there] == seq[there + 1]
+        if same.any():
+            # Of a run of one symbol only every second pair counts: the others overlap it.
+            run = there[same]
+            first = np.concatenate([[True], np.diff(run) > 1])
+            count_it = np.ones(len(there), bool)
+            count_it[same] = (run - run[first][np.cumsum(first) - 1]) % 2 == 0
+            there = there[count_it]
+        pairs = seq[there].astype(np.uint64) << np.uint64(32) | seq[there + 1]
         # A cell counts all pairs of one hash, so a pair in a cell below LEAST is rare; only the others are sorted.
-        cell = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
-        there = np.flatnonzero(count_it)
-        there = there[np.bincount(cell[there], minlength=1 << 22)[cell[there]] >= LEAST]
-        order = np.argsort(pairs[there])
-        ordered = pairs[there][order]
+        bits = min(22, len(pairs).bit_length() + 2)
+        cell = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        common = np.bincount(cell, minlength=1 << bits)[cell] >= LEAST
+        there, pairs = there[common], pairs[common]
+        order = np.argsort(pairs)
+        ordered = pairs[order]
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else there
         count = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(count >= LEAST)
@@ -158,21 +166,28 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[list[int], np.ndarray, n
         often = often[np.argsort(-count[often], kind="stable")]
         rule, place = ordered[edge[often]], np.full(len(edge), none, np.int32)
         place[often] = np.arange(len(often), dtype=np.int32)
-        rank = np.full(len(pairs), none, np.int32)
-        rank[there[order]] = np.repeat(place, count)
-        best = rank < none
-        best[1:] &= rank[1:] < rank[:-1]
-        best[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(best)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.repeat(place, count)
+        there, rank = there[rank < none], rank[rank < none]
+        apart = np.diff(there) > 1
+        best = np.ones(len(there), bool)
+        best[1:] &= apart | (rank[1:] < rank[:-1])
+        best[:-1] &= apart | (rank[:-1] <= rank[1:])
         # The most frequent pair is replaced wherever it stands, so each round shortens the row.
-        used = np.bincount(rank[at], minlength=len(rule))
+        used = np.bincount(rank[best], minlength=len(rule))
         number = np.cumsum(used > 1) - 1
-        at = at[used[rank[at]] > 1]
-        kept = rule[used > 1]
-        seq[at] = (size + number[rank[at]]).astype(np.uint32)
-        stay = np.ones(len(seq), bool)
+        best &= used[rank] > 1
+        at = there[best]
+        seq[at] = (size + number[rank[best]]).astype(np.uint32)
+        stay, again = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        again[there] = True
+        seq, again = seq[stay], again[stay]
+        fresh = seq >= size
+        again |= fresh
+        again[:-1] |= fresh[1:] | (seq[1:] == seq[:-1])
+        there = np.flatnonzero(again[:-1])
+        kept = rule[used > 1]
         rounds.append(len(kept))
         lefts.append((kept >> np.uint64(32)).astype(np.uint32))
         rights.append(kept.astype(np.uint32))

@@ -18,8 +18,9 @@ part, seq (shard order), before (ids of the part before the shard), n_ids, and p
     u4  [N] expansion lengths
     u2 or u4 [S] symbols
 
-Encoding works word by word with a cache: white space separates words for this tokenizer, so a word's ids do not depend
-on its neighbours; the tokenizers library encodes every word that the cache lacks.
+Encoding looks up pieces: the tokenizer encodes runs of letters, single digits, runs of other signs and contractions one
+by one, so their ids do not depend on their neighbours. Words that hold a character beyond ASCII and the letters of
+Latin-1 are given to the tokenizers library whole, as are all pieces that the cache lacks.
 
 Defined results. Null or empty text: only the end id. Rows with equal doc_id are separate documents, one after another.
 An empty table writes no shard and reads back as no rows. Other columns are not read.
@@ -43,13 +44,17 @@ from bedwise.llm.common import new_path
 END_ID = 2
 SHARD_IDS = 1 << 20
 LEAST = 8
-CACHE_WORDS, CACHE_PIECES = 150_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 50_000, 400_000
+RUN_CHARS = 1 << 20
 MAGIC = b"RPG1"
 
-# Letters of ASCII and Latin-1 with punctuation around them: the three are always encoded apart.
-_PUNCTUATION = rb"[!-&(-/:-@\[-`{-~]*"
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
-_PLAIN = re.compile(rb"(" + _PUNCTUATION + rb")((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(" + _PUNCTUATION + rb")")
+# White space of ASCII, at which words are taken apart, and characters of which the pieces below are known: ASCII and the
+# letters of Latin-1. "<|" may begin a special token.
+WHITE = re.compile(r"[\t-\r ]")
+WORD = re.compile(r"[^\t-\r ]+")
+ODD = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+# The parts that this tokenizer encodes one by one, in lower case: contractions, letters, single digits, other signs.
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class WordEncoder:
@@ -60,22 +65,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _encode_single(self, pieces: list[bytes]) -> list[bytes]:
+    def _encode_single(self, pieces: list[str]) -> list[bytes]:
         """Pieces of one pre-token each: many in one text, told apart by the library's word numbers."""
         out = []
         for lo in range(0, len(pieces), 2000):
             some = pieces[lo:lo + 2000]
-            e = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             word, ids = np.array(e.word_ids), np.array(e.ids, "<u4")
             ends = np.flatnonzero(np.append(word[1:] != word[:-1], True)) + 1 if len(word) else word
             if len(ends) != len(some):  # a piece that the library divides
@@ -85,42 +90,59 @@ class WordEncoder:
             out += [data[a:b] for a, b in zip([0, *at[:-1]], at)]
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        known = self.words
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(words)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {b"": b""}
-        # Letters alone, letters with one mark after them, and all else.
-        alone = [w for w in new if w.isalpha()]
-        marked = [w for w in new if not w.isalpha() and w[:-1].isalpha() and w[-1] in PUNCTUATION]
-        rest = [w for w in new if not w.isalpha() and not (w[:-1].isalpha() and w[-1] in PUNCTUATION)]
-        low, low_marked = list(map(bytes.lower, alone)), [w[:-1].lower() for w in marked]
-        parts, odd = [], []
-        for w in rest:
-            m = _PLAIN.fullmatch(w)
-            if m and b"<|" not in w:
-                parts.append((w, m[1], m[2].decode().lower().encode(), m[3]))
-            else:
-                odd.append(w)
-        wanted = {p for t in parts for p in t[1:]}
-        wanted.update(low, low_marked, {w[-1:] for w in marked})
-        pieces = self.pieces
-        missing = [p for p in wanted if p not in pieces]
-        pieces.update(zip(missing, self._encode_single(missing)))
-        get = pieces.__getitem__
-        known.update(zip(alone, map(get, low)))
-        known.update((w, get(c) + get(w[-1:])) for w, c in zip(marked, low_marked))
-        known.update((w, get(a) + get(b) + get(c)) for w, a, b, c in parts)
-        known.update(zip(odd, self._encode(odd)))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # at ASCII white space
-        self.learn(set().union(*split))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _of_pieces(self, split: list[list[str]]) -> list[bytes]:
+        wanted = set().union(*split)
+        missing = [p for p in wanted if p not in self.pieces]
+        if len(self.pieces) + len(missing) > CACHE_PIECES:
+            self.pieces.clear()
+            missing = list(wanted)
+        self.pieces.update(zip(missing, self._encode_single(missing)))
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in split]
+
+    def _of_words(self, text: str) -> bytes:
+        """A text with characters that ``PIECE`` does not know: its words are looked up whole."""
+        words = WORD.findall(text)
+        new = [w for w in set(words) if w not in self.words]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = list(set(words))
+        odd = [w for w in new if ODD.search(w)]
+        plain = [w for w in new if not ODD.search(w)]
+        self.words.update(zip(odd, self._encode(odd)))
+        self.words.update(zip(plain, self._of_pieces([PIECE.findall(w.lower()) for w in plain])))
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(ODD.search(t)) for t in texts]
+        plain = iter(self._of_pieces([PIECE.findall(t.lower()) for t, o in zip(texts, odd) if not o]))
+        return [self._of_words(t) if o else next(plain) for t, o in zip(texts, odd)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Runs of texts of about ``RUN_CHARS`` characters at a time; a longer text is cut at white space."""
+        out, run, size = [], [], 0
+        for text in texts:
+            if len(text) > RUN_CHARS:
+                out += self._run(run)
+                run, size = [], 0
+                out.append(b"".join(d for part in cut_at_white(text) for d in self._run([part])))
+                continue
+            run.append(text)
+            size += len(text)
+            if size >= RUN_CHARS:
+                out += self._run(run)
+                run, size = [], 0
+        return out + self._run(run)
+
+
+def cut_at_white(text: str):
+    """Parts of a text of at least ``RUN_CHARS`` characters that end before white space."""
+    at = 0
+    while at < len(text):
+        white = WHITE.search(text, at + RUN_CHARS)
+        end = white.start() if white else len(text)
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -284,7 +306,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                texts = some.column(1).cast(pa.large_string()).fill_null("").cast(pa.large_binary()).to_pylist()
+                texts = some.column(1).cast(pa.large_string()).fill_null("").to_pylist()
                 for doc, data in zip(some.column(0).to_pylist(), enc.encode(texts)):
                     ids.append(doc)
                     sizes.append(len(data) // 4 + 1)

@@ -256,6 +256,32 @@ def test_token_files_round_trip(spark, corpus, tmp_path):
     assert sorted(map(tuple, out), key=lambda r: r[1]) == want
 
 
+def test_pieces_have_the_ids_of_the_library(monkeypatch):
+    """Contractions, digits, letters of other scripts, odd white space, special tokens, and texts cut at white space."""
+    encoder = token_store.WordEncoder(queries.tokenizer_path())
+    rng = np.random.default_rng(8)
+    signs = np.array(list("abZ019 '\"sStTrevmlLd.,!<|>-_\t\n\x0b\x1c\x85\xa0\u00e9\u00c9\u00df\u00d7\u00f7\u015f\u0130\u03a3\u03c2\u0301\u200b\u00b2\u00aa\u4e2d"))
+    texts = ["".join(rng.choice(signs[:k], rng.integers(0, 60))) for k in (26, len(signs)) for _ in range(2000)]
+    texts += ["", "it's IT'S 'TIS \"'s we'll", "a<|endoftext|>b <|ENDOFTEXT|>", "'" * 50]
+    want = encoder._encode(texts)
+    assert encoder.encode(texts) == want
+    monkeypatch.setattr(token_store, "RUN_CHARS", 50)
+    monkeypatch.setattr(token_store, "CACHE_PIECES", 100)
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 100)
+    long = [" ".join(texts[-300:]), "", "\u0301" + " ".join(texts[:300])]
+    assert encoder.encode(long) == encoder._encode(long) and encoder.encode(texts) == want
+
+
+def test_later_rounds_count_every_pair_that_is_frequent():
+    """The grammar of a row is that of counting all pairs anew each round: after the last one, none is frequent."""
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        ids = np.repeat(rng.integers(0, rng.integers(1, 40), rng.integers(1, 1500)), rng.integers(1, 6)).astype("<u4")
+        shard = token_store.Shard(token_store.pack([1], [len(ids)], ids, 50))
+        assert (shard.ids() == ids).all()
+        assert token_store.compress(shard.seq.astype("<u4"), 50 + len(shard.left))[0] == []
+
+
 def test_grammar_decodes_any_range():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.zipf(1.3, 30_000) % 700, np.full(500, 9), np.tile([1, 2, 3], 300)]).astype("<u4")

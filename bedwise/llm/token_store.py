@@ -19,8 +19,8 @@ part, seq (shard order), before (ids of the part before the shard), n_ids, and p
     u2 or u4 [S] symbols
 
 Encoding looks up pieces: the tokenizer encodes runs of letters, single digits, runs of other signs and contractions one
-by one, so their ids do not depend on their neighbours. Words that hold a character beyond ASCII and the letters of
-Latin-1 are given to the tokenizers library whole, as are all pieces that the cache lacks.
+by one, so their ids do not depend on their neighbours. Pieces that the cache lacks go to the model of the tokenizers library;
+words that hold a character beyond ASCII and the letters of Latin-1 go whole through the library's tokenizer.
 
 Defined results. Null or empty text: only the end id. Rows with equal doc_id are separate documents, one after another.
 An empty table writes no shard and reads back as no rows. Other columns are not read.
@@ -52,10 +52,18 @@ MAGIC = b"RPG1"
 # letters of Latin-1. "<|" may begin a special token.
 WHITE = re.compile(r"[\t-\r ]")
 WORD = re.compile(r"[^\t-\r ]+")
-ODD = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 # The parts that this tokenizer encodes one by one, in lower case: contractions, letters, single digits, other signs.
 PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 
+# Byte-level tokenizers write a byte as the character of that number where it prints, and the others as characters from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
+
+
+def is_odd(text: str) -> bool:
+    return PLAIN.fullmatch(text) is None or "<|" in text
+
 
 class WordEncoder:
     """Ids of texts as little-endian u4 bytes."""
@@ -75,20 +83,11 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _encode_single(self, pieces: list[str]) -> list[bytes]:
-        """Pieces of one pre-token each: many in one text, told apart by the library's word numbers."""
-        out = []
-        for lo in range(0, len(pieces), 2000):
-            some = pieces[lo:lo + 2000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            word, ids = np.array(e.word_ids), np.array(e.ids, "<u4")
-            ends = np.flatnonzero(np.append(word[1:] != word[:-1], True)) + 1 if len(word) else word
-            if len(ends) != len(some):  # a piece that the library divides
-                out += self._encode(some)
-                continue
-            data, at = ids.tobytes(), (4 * ends).tolist()
-            out += [data[a:b] for a, b in zip([0, *at[:-1]], at)]
-        return out
+    def _encode_piece(self, piece: str) -> bytes:
+        """A piece is lower-cased and apart already, so the tokenizer's model alone gives its ids, of its bytes as signs."""
+        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SIGNS)
+        ids = [token.id for token in self.tokenizer.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _of_pieces(self, split: list[list[str]]) -> list[bytes]:
         wanted = set().union(*split)
@@ -96,7 +95,7 @@ class WordEncoder:
         if len(self.pieces) + len(missing) > CACHE_PIECES:
             self.pieces.clear()
             missing = list(wanted)
-        self.pieces.update(zip(missing, self._encode_single(missing)))
+        self.pieces.update((p, self._encode_piece(p)) for p in missing)
         get = self.pieces.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
@@ -107,14 +106,14 @@ class WordEncoder:
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
             new = list(set(words))
-        odd = [w for w in new if ODD.search(w)]
-        plain = [w for w in new if not ODD.search(w)]
+        odd = [w for w in new if is_odd(w)]
+        plain = [w for w in new if not is_odd(w)]
         self.words.update(zip(odd, self._encode(odd)))
         self.words.update(zip(plain, self._of_pieces([PIECE.findall(w.lower()) for w in plain])))
         return b"".join(map(self.words.__getitem__, words))
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(ODD.search(t)) for t in texts]
+        odd = [is_odd(t) for t in texts]
         plain = iter(self._of_pieces([PIECE.findall(t.lower()) for t, o in zip(texts, odd) if not o]))
         return [self._of_words(t) if o else next(plain) for t, o in zip(texts, odd)]
 
@@ -259,14 +258,10 @@ class Shard:
         seq, base = seq.astype(np.uint32), self.vocabulary + sum(self.rounds)
         for n in reversed(self.rounds):
             base -= n
-            rule = seq >= base
-            place = np.arange(len(seq)) + np.cumsum(rule) - rule
-            out = np.empty(len(seq) + int(rule.sum()), np.uint32)
-            of = seq[rule] - self.vocabulary
-            out[place] = seq
-            out[place[rule]] = self.left[of]
-            out[place[rule] + 1] = self.right[of]
-            seq = out
+            at = np.flatnonzero(seq >= base)
+            of = seq[at] - self.vocabulary
+            seq[at] = self.left[of]
+            seq = np.insert(seq, at + 1, self.right[of])
         return seq
 
     def ids(self) -> np.ndarray:

@@ -260,3 +260,23 @@ def test_feature_sets_are_compared_on_one_split(spark):
     rows = L.compare_feature_sets(df, trees=3, depth=4).collect()
     assert [r["model"] for r in rows] == ["Full", "Strong Corr", "Realistic"]
     assert {r["rows"] for r in rows} == {160} and set(FEATURE_COLUMNS) >= {"dow", "month"}
+
+
+def test_forest_is_grown_a_few_trees_at_a_time(spark, tmp_path, monkeypatch):
+    """No run, and so no driver, holds all trees; predictions and importances are those of all of them."""
+    from bedwise.sources.models import load_model, save_model
+
+    monkeypatch.setattr(L, "TREES_PER_RUN", 3)
+    df = history(spark).withColumns({"dow": F.weekday("date"), "month": F.month("date")})
+    model = L.train_model(df, ["dow", "month", "hospital_id"], trees=7, depth=5)
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 7 and forest.sizes == [3, 3, 1]
+    trees = [t for part in forest.parts for t in L.RandomForestRegressionModel.load(part).trees]
+    vectors = [r["features"] for r in L.preprocessed_features(model, df).orderBy("date", "hospital_id").limit(5).collect()]
+    got = [r["predicted_admissions"] for r in L.predict(model, df).orderBy("date", "hospital_id").limit(5).collect()]
+    assert got == pytest.approx([sum(t.predict(v) for t in trees) / 7 for v in vectors])
+    weights = [sum(t.featureImportances.toArray()[i] for t in trees) / 7 for i in range(len(vectors[0]))]
+    assert forest.featureImportances.toArray().tolist() == pytest.approx(weights)
+    again = load_model(spark, save_model(model, str(tmp_path / "m")))
+    assert sorted(L.predict(again, df).collect()) == sorted(L.predict(model, df).collect())
+    assert len({tuple(L.RandomForestRegressionModel.load(p).trees[0].featureImportances.toArray()) for p in forest.parts}) == 3

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +139,8 @@ def chains(text: str, everything: bool = True):
 _OTHER, _GAP = r"(?:[^\w\n]|_|[^\D0-9])", r"[^\S\n]*"
 #: What every span that ``credible`` accepts has: four numbers or nine digits without a letter between them, or the "at", word, and "dot" of an address.
 NUMBERS = re.compile(rf"[0-9]+(?:{_OTHER}+[0-9]+){{3}}|[0-9](?:{_OTHER}*[0-9]){{8}}")
-ADDRESS = re.compile(rf"(?:@|[aA][tT]){_GAP}[\])]?{_GAP}[\w-]+{_GAP}[\[(]?{_GAP}(?:\.|[dD][oO][tT]){_GAP}[\])]?{_GAP}[\w-]")
+#: Space is never given back and stands on one side of a bracket in one way only, so that no text is tried in many ways.
+ADDRESS = re.compile(rf"(?:@|[aA][tT]){_GAP}+(?:[\])]{_GAP}+)?[\w-]+{_GAP}+(?:[\[(]{_GAP}+)?(?:\.|[dD][oO][tT]){_GAP}+(?:[\])]{_GAP}+)?[\w-]")
 
 
 def maybe_lines(text: str):
@@ -343,14 +345,40 @@ def train(table: DataFrame) -> Field:
 
 # --- spans --------------------------------------------------------------------------------------------------------
 
-OBFUSCATED = re.compile(r"[\w.%+-]+\s*[\[(]?\s*(?:@|at)\s*[\])]?\s*[\w-]+(?:\s*[\[(]?\s*(?:\.|dot)\s*[\])]?\s*[\w-]+)+", re.I)
+LOCAL_PART, HOST_PART, AT, DOT = re.compile(r"[\w.%+-]+"), re.compile(r"[\w-]+"), re.compile("at", re.I), re.compile("dot", re.I)
+#: "at" and "dot" with the space and brackets around them, before a word.
+AT_SIGN = re.compile(r"\s*+(?:[\[(]\s*+)?(?:@|at)\s*+(?:[\])]\s*+)?(?=[\w-])", re.I)
+DOT_SIGN = re.compile(r"\s*+(?:[\[(]\s*+)?(?:\.|dot)\s*+(?:[\])]\s*+)?(?=[\w-])", re.I)
+
+
+def spelled_address(piece: str) -> bool:
+    """Whether all of ``piece`` is a local part, an "at", and words with a "dot" between any two.
+
+    "at" and "dot" may be letters of a word. Places where a word can begin are followed from left to right, so the work
+    grows with the length, where a pattern with repeats would try all ways to cut the words.
+    """
+    local = LOCAL_PART.match(piece)
+    if not local:
+        return False
+    runs = [m.end() for m in HOST_PART.finditer(piece)]
+    run = lambda at: runs[bisect_right(runs, at)]  # the end of the word characters that begin at or before ``at``
+    first: dict[int, int] = {}  # end of a run of word characters: the first place in it where a word can begin
+    for at in [m.start() for m in AT.finditer(piece, 1, local.end())] + [local.end()]:
+        if m := AT_SIGN.match(piece, at):
+            first.setdefault(run(m.end()), m.end())
+    for at, end in sorted([(m.start(), run(m.start())) for m in DOT.finditer(piece)] + [(r, r) for r in runs]):
+        if first.get(end, at) < at and (m := DOT_SIGN.match(piece, at)):
+            if run(m.end()) == len(piece):
+                return True
+            first[run(m.end())] = min(m.end(), first.get(run(m.end()), m.end()))
+    return False
 
 
 def credible(kind: str, piece: str) -> bool:
     numbers = re.findall(r"[0-9]+", piece)
     digits = "".join(numbers)
     if kind == "email":
-        return OBFUSCATED.fullmatch(piece) is not None
+        return spelled_address(piece)
     if re.search(r"[^\W\d_]", piece):
         return False
     if kind == "ip":

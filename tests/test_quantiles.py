@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from bedwise.functions.quantiles import BINS, bracket_counts, brackets, exact_quantiles, near_rank
+from bedwise.functions.quantiles import BINS, PARTS, bracket_counts, brackets, exact_quantiles, near_rank
 
 PROBS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
@@ -75,3 +76,21 @@ def test_windows_order_bins_and_a_few_values_not_a_bracket(spark):
     assert len(ordered) == 2 and max(r["count"] for r in ordered) <= 2 * (60_000 // BINS + 2)
     values = [i * 7919 % 60013 for i in range(60_000)]
     assert got(exact_quantiles(df, ["x"], [0.25, 0.5], accuracy=20)) == {p: np.quantile(values, p) for p in (0.25, 0.5)}
+
+
+def test_values_of_one_column_are_dealt_over_many_tasks(spark):
+    """The join of values and ranks, each sent to tasks by its keys: a column is not one key."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).cast("double").alias("x"))
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        counts = bracket_counts(df, ["x"], brackets(df, ["x"], [0.5], [], 100), [])
+        joins = [line for line in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line]
+        assert len(joins) == 1 and "part#" in joins[0] and PARTS > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = exact_quantiles(df, ["x"], [0.25, 0.5]).orderBy("p").collect()
+    assert [r["value"] for r in got] == df.selectExpr("percentile(x, array(0.25, 0.5)) AS q").first()["q"]

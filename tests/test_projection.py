@@ -196,6 +196,21 @@ def test_in_sample_predictions_equal_the_fitted_baseline(spark):
     assert B.predict_in_sample(df.drop("dow", "month"), ["hospital_id"]).count() == df.count()
 
 
+def test_in_sample_predictions_sort_a_site_once(spark):
+    """Weekday and month of the date: the same predictions as with both as columns, and the rows are held by one sort, not three."""
+    df = history(spark).unionAll(spark.createDataFrame([("A", None, 5.0), ("B", date(2023, 1, 5), None), ("C", date(2023, 1, 5), None)], "hospital_id string, date date, total_admissions double"))
+    got = B.predict_in_sample(df, ["hospital_id"])
+    want = B.predict_in_sample(df.withColumns({"dow": F.weekday("date"), "month": F.month("date")}), ["hospital_id"]).drop("dow", "month")
+    as_rows = lambda t: sorted((str(r[:-1]), r[-1] if r[-1] is None else round(r[-1], 9)) for r in map(tuple, t.collect()))
+    assert as_rows(got) == as_rows(want)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = B.predict_in_sample(df.select("*"), ["hospital_id"])
+        assert again._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_missing_season_falls_back_to_the_overall_mean(spark):
     df = history(spark, ["A"], 20)
     row = B.predict_baseline(B.train_baseline(df), M.generate_future_dates(spark, date(2023, 8, 7), 1)).first()

@@ -185,6 +185,23 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """The rows of every bucket in pairs (i, j) of blocks, ``own`` the one of the row; a row is repeated for each pair it is in.
+
+    The largest component of a bucket has blocks of its own, which meet those of the others only, so that its rows are
+    repeated by the number of other rows and not by their own.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    blocks = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"))
+    number = lambda m: F.greatest(F.lit(1), F.ceil(m / BLOCK)).cast("int")
+    blocks = blocks.select("key", F.col("main.comp").alias("main"), number(F.col("all") - F.col("main.m")).alias("nb"), number(F.col("main.m")).alias("mb"))
+    dealt, main = rows.join(blocks, "key"), F.col("comp") == F.col("main")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    dealt = dealt.withColumn("own", F.when(main, F.col("nb") + block("mb")).otherwise(block("nb")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1 + F.when(main, 0).otherwise(F.col("mb")))))
+    return dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rows.columns)
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of a bucket, as many as join them.
 
@@ -192,10 +209,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     first band that it shares only, by its sketches and then on the full sets; what a task has joined it tests no more.
     """
     limit = sketch_limit(percent)
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "keys", "sketch", "grams")
+    rows = block_pairs(rows).select("key", "i", "j", "own", "id", "comp", "n", "keys", "sketch", "grams")
 
     def run(key, table):
         own, ids, comp, n = (table.column(c).to_numpy() for c in ("own", "id", "comp", "n"))

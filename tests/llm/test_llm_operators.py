@@ -540,3 +540,40 @@ def test_empty_tables(spark):
     assert pii.personal_data_report(docs, pii.train(pii.labelled_table(spark, docs))).count() == 0
     tokens = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     assert token_store.token_table(docs, tokens).count() == 0
+
+
+def test_spelled_addresses_take_time_in_proportion():
+    """The same pieces as one pattern names, which tries all ways to share out a space and did not end on long spans."""
+    import random
+    import re
+    import time
+
+    pattern = re.compile(r"[\w.%+-]+\s*[\[(]?\s*(?:@|at)\s*[\])]?\s*[\w-]+(?:\s*[\[(]?\s*(?:\.|dot)\s*[\])]?\s*[\w-]+)+", re.I)
+    rng, parts, found = random.Random(5), ["a", "at", "dot", "AT", "Dot", "@", ".", " ", "[", "]", "(", ")", "-", "%", "\n", "\u00f1", "1"], 0
+    for _ in range(20_000):
+        piece = f"a{rng.choice([' ', ''])}{rng.choice(['at', '@', '(at)'])}{rng.choice([' ', ''])}" + "".join(rng.choices(parts, k=rng.randint(0, 8)))
+        assert pii.spelled_address(piece) == (pattern.fullmatch(piece) is not None), piece
+        found += pii.spelled_address(piece)
+    assert found > 100
+    began = time.process_time()
+    for piece in ("attith. " * 200 + "atti", "hationer. " * 5000 + "!", "a at " + "dot" * 5000 + "!", "a" + " " * 5000 + "!"):
+        pii.spelled_address(piece)
+        list(pii.maybe_lines(piece))
+    assert time.process_time() - began < 5
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    """Rows grow with a bucket, not with its square, where one component holds most of it; pairs across all meet once."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    comps = {i: 0 if i < 400 else i for i in range(410)}
+    rows = spark.createDataFrame([(7, i, c) for i, c in comps.items()], "key long, id long, comp long")
+    dealt = minhash_dedup.block_pairs(rows).collect()
+    assert len(dealt) == 400 + 10 * (1 + 25)
+    met = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in dealt:
+        met[r.i, r.j][r.own].append(r.id)
+    pairs = collections.Counter()
+    for (i, j), blocks in met.items():
+        pairs.update({(min(x, y), max(x, y)) for x in blocks[i] for y in blocks[j] if comps[x] != comps[y]})
+    wanted = {(x, y) for x in comps for y in comps if x < y and comps[x] != comps[y]}
+    assert set(pairs) == wanted and set(pairs.values()) == {1}

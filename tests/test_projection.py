@@ -295,3 +295,21 @@ def test_forest_is_grown_a_few_trees_at_a_time(spark, tmp_path, monkeypatch):
     again = load_model(spark, save_model(model, str(tmp_path / "m")))
     assert sorted(L.predict(again, df).collect()) == sorted(L.predict(model, df).collect())
     assert len({tuple(L.RandomForestRegressionModel.load(p).trees[0].featureImportances.toArray()) for p in forest.parts}) == 3
+
+
+def test_runs_have_fewer_trees_the_more_rows_there_are(spark, monkeypatch):
+    """The driver holds a bounded number of nodes while it grows, and of trees while it predicts."""
+    options = L._forest("y", 300, 20, 2, 1, 64)
+    assert [L.trees_per_run(n, options) for n in (0, 1_000, 9_620, 50_000, 10**8)] == [25, 25, 10, 2, 1]
+    assert L.lots([2, 2, 2, 1, 9, 1], 4) == [[0, 1], [2, 3], [4], [5]]
+    df = history(spark).withColumns({"dow": F.weekday("date"), "month": F.month("date")})
+    rows = df.count()
+    monkeypatch.setattr(L, "NODES_PER_RUN", 2 * 2 * 8)
+    monkeypatch.setattr(L, "TREES_PER_RUN", 4)
+    model = L.train_model(df, ["dow", "month"], trees=7, depth=3, min_leaf=2)
+    assert rows >= 16 and model.stages[-1].sizes == [2, 2, 2, 1]
+    seen, load, write = [], L.RandomForestRegressionModel.load, L.written
+    monkeypatch.setattr(L.RandomForestRegressionModel, "load", staticmethod(lambda path: seen.append("load") or load(path)))
+    monkeypatch.setattr(L, "written", lambda *a: seen.append("write") or write(*a))
+    L.predict(model, df).count()
+    assert seen == ["load", "load", "write"] * 2

@@ -53,8 +53,13 @@ MAGIC = b"RPG1"
 WHITE = re.compile(r"[\t-\r ]")
 WORD = re.compile(r"[^\t-\r ]+")
 PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-# The parts that this tokenizer encodes one by one, in lower case: contractions, letters, single digits, other signs.
-PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+# The parts that this tokenizer encodes one by one, in lower case: letters, single digits, other signs, and contractions, which
+# are a lone apostrophe and what it begins. Kinds of the bytes of such a text, and bytes after an apostrophe.
+SPACE, LETTER, DIGIT, SIGN = range(4)
+KIND = np.full(256, SIGN, np.uint8)
+KIND[[*b"\t\n\v\f\r "]], KIND[[*range(97, 123), *range(128, 256)]], KIND[48:58] = SPACE, LETTER, DIGIT
+SHORT_FORMS, LONG_FORMS = np.isin(np.arange(256), [*b"stmd"]), [b"re", b"ve", b"ll"]
+KEEP_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 # Byte-level tokenizers write a byte as the character of that number where it prints, and the others as characters from 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,6 +70,27 @@ def is_odd(text: str) -> bool:
     return PLAIN.fullmatch(text) is None or "<|" in text
 
 
+def piece_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of lower-case bytes that end in white space."""
+    kind = KIND[buf]
+    new = kind == DIGIT
+    new[0] = True
+    new[1:] |= kind[1:] != kind[:-1]
+    edges = np.flatnonzero(new)
+    solid = kind[edges] != SPACE
+    starts, ends = edges[solid], np.append(edges[1:], len(buf))[solid]
+    lone = np.flatnonzero((buf[starts] == 39) & (ends - starts == 1) & (kind[ends % len(buf)] == LETTER))
+    one, two = buf[ends[lone]], buf[ends[lone] + 1]
+    form = np.where(SHORT_FORMS[one], 1, 0)
+    for a, b in LONG_FORMS:
+        form[(one == a) & (two == b)] = 2
+    # The letters that a contraction takes are no longer the next piece's.
+    ends[lone] += form
+    starts[lone[form > 0] + 1] += form[form > 0]
+    left = ends > starts
+    return starts[left], ends[left]
+
+
 class WordEncoder:
     """Ids of texts as little-endian u4 bytes."""
 
@@ -74,7 +100,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[int | bytes, bytes] = {}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -89,18 +115,43 @@ class WordEncoder:
         ids = [token.id for token in self.tokenizer.model.tokenize(signs)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _of_pieces(self, split: list[list[str]]) -> list[bytes]:
-        wanted = set().union(*split)
+    def _known(self, wanted: list) -> list[bytes]:
+        """Ids of pieces given as little-endian numbers of their bytes or, beyond eight bytes, as the bytes."""
         missing = [p for p in wanted if p not in self.pieces]
         if len(self.pieces) + len(missing) > CACHE_PIECES:
             self.pieces.clear()
-            missing = list(wanted)
-        self.pieces.update((p, self._encode_piece(p)) for p in missing)
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+            missing = wanted
+        for p in missing:
+            raw = p if isinstance(p, bytes) else p.to_bytes(8, "little").rstrip(b"\0")
+            self.pieces[p] = self._encode_piece(raw.decode())
+        return [self.pieces[p] for p in wanted]
+
+    def _of_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts of known characters, all pieces at once: each is looked up once and its ids are put where it stands."""
+        raws = [t.lower().encode() for t in texts]
+        raw = b"\n".join(raws) + b"\n" * 8
+        first = np.cumsum([0] + [len(r) + 1 for r in raws])
+        starts, ends = piece_spans(np.frombuffer(raw, np.uint8))
+        size = ends - starts
+        short = size <= 8
+        eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        keys, at = np.unique(eights[starts[short]] & KEEP_BYTES[size[short]], return_inverse=True)
+        rest = [raw[a:b] for a, b in zip(starts[~short].tolist(), ends[~short].tolist())]
+        names = list(dict.fromkeys(rest))
+        place = dict(zip(names, range(len(keys), len(keys) + len(names))))
+        entry = np.empty(len(starts), np.int64)
+        entry[short], entry[~short] = at, [place[r] for r in rest]
+        found = self._known(keys.tolist() + names)
+        count = np.array([len(f) // 4 for f in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        n = count[entry]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        data = flat[np.repeat((np.cumsum(count) - count)[entry] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        cut = (4 * upto[np.searchsorted(starts, first)]).tolist()
+        return [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
     def _of_words(self, text: str) -> bytes:
-        """A text with characters that ``PIECE`` does not know: its words are looked up whole."""
+        """A text with characters that ``KIND`` does not know: its words are looked up whole."""
         words = WORD.findall(text)
         new = [w for w in set(words) if w not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
@@ -109,12 +160,12 @@ class WordEncoder:
         odd = [w for w in new if is_odd(w)]
         plain = [w for w in new if not is_odd(w)]
         self.words.update(zip(odd, self._encode(odd)))
-        self.words.update(zip(plain, self._of_pieces([PIECE.findall(w.lower()) for w in plain])))
+        self.words.update(zip(plain, self._of_plain(plain)))
         return b"".join(map(self.words.__getitem__, words))
 
     def _run(self, texts: list[str]) -> list[bytes]:
         odd = [is_odd(t) for t in texts]
-        plain = iter(self._of_pieces([PIECE.findall(t.lower()) for t, o in zip(texts, odd) if not o]))
+        plain = iter(self._of_plain([t for t, o in zip(texts, odd) if not o]))
         return [self._of_words(t) if o else next(plain) for t, o in zip(texts, odd)]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -577,3 +577,25 @@ def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
         pairs.update({(min(x, y), max(x, y)) for x in blocks[i] for y in blocks[j] if comps[x] != comps[y]})
     wanted = {(x, y) for x in comps for y in comps if x < y and comps[x] != comps[y]}
     assert set(pairs) == wanted and set(pairs.values()) == {1}
+
+
+def test_op5_pieces_of_bytes_are_those_of_the_tokenizers_pattern():
+    """Letters, single digits, other signs and contractions, found in bytes without a pattern; ids are the library's."""
+    import random
+    import re
+
+    import numpy as np
+
+    from bedwise.llm import token_store
+    from bedwise.llm.queries import tokenizer_path
+
+    pattern = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+    chance = random.Random(5)
+    texts = ["".join(chance.choice("aestrvlmd'' !\"01\n\x0b\tß\xe9À~`ZS") for _ in range(chance.randrange(30))) for _ in range(2000)]
+    texts += ["", "'", "'S", "'re've", "a'", "'ll'd'street", "12345678", "abcdefgh abcdefghi", "一 'İs", "x" * 20]
+    for text in texts:
+        raw = text.lower().encode() + b"\n"
+        found = [raw[a:b].decode() for a, b in zip(*token_store.piece_spans(np.frombuffer(raw, np.uint8)))]
+        assert token_store.is_odd(text) or found == pattern.findall(text.lower())
+    encoder = token_store.WordEncoder(tokenizer_path())
+    assert encoder.encode(texts) == encoder._encode(texts) and encoder.encode([]) == []

@@ -32,6 +32,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,9 @@ KEEP_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 # Byte-level tokenizers write a byte as the character of that number where it prints, and the others as characters from 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
+SIGN_OF = np.arange(256, dtype="<u4")
+SIGN_OF[sorted(set(range(256)) - set(PRINTED))] = 256 + np.arange(256 - len(PRINTED))
+SIGN_OF[10] = 10  # stands between pieces
 
 
 def is_odd(text: str) -> bool:
@@ -100,7 +103,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[int | bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty cache of pieces: arrays of counts and ids, and where in them a piece is, the short ones in order."""
+        self.short, self.short_at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -109,22 +118,34 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _encode_piece(self, piece: str) -> bytes:
-        """A piece is lower-cased and apart already, so the tokenizer's model alone gives its ids, of its bytes as signs."""
-        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SIGNS)
-        ids = [token.id for token in self.tokenizer.model.tokenize(signs)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _known(self, wanted: list) -> list[bytes]:
-        """Ids of pieces given as little-endian numbers of their bytes or, beyond eight bytes, as the bytes."""
-        missing = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(missing) > CACHE_PIECES:
-            self.pieces.clear()
-            missing = wanted
-        for p in missing:
-            raw = p if isinstance(p, bytes) else p.to_bytes(8, "little").rstrip(b"\0")
-            self.pieces[p] = self._encode_piece(raw.decode())
-        return [self.pieces[p] for p in wanted]
+    def _learn(self, short: np.ndarray, long: list[bytes]) -> None:
+        """Put pieces into the cache, those of up to eight bytes given as little-endian numbers of them.
+
+        A piece is lower-cased and apart already, so the tokenizer's model alone gives its ids, of its bytes as signs.
+        """
+        raw = b"\n".join(short.astype("<u8").view("S8").tolist() + long)
+        tokenize = self.tokenizer.model.tokenize
+        found = [[token.id for token in tokenize(signs)] for signs in SIGN_OF[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le").split("\n")]
+        at, have = np.searchsorted(self.short, short), len(self.count)
+        self.short, self.short_at = np.insert(self.short, at, short), np.insert(self.short_at, at, np.arange(have, have + len(short)))
+        self.long.update(zip(long, range(have + len(short), have + len(found))))
+        self.count = np.append(self.count, [len(f) for f in found])
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), "<u4"))
+        self.first = np.cumsum(self.count) - self.count
+
+    def _places(self, short: np.ndarray, long: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Where pieces are in the cache, which learns those that it lacks and begins anew when full; ``short`` in order and distinct."""
+        for _ in range(2):
+            at = np.searchsorted(self.short, short)
+            there = at < len(self.short)
+            there[there] = self.short[at[there]] == short[there]
+            new, names = short[~there], list(dict.fromkeys(p for p in long if p not in self.long))
+            if len(self.count) + len(new) + len(names) <= CACHE_PIECES:
+                break
+            self._forget()
+        if len(new) or names:
+            self._learn(new, names)
+        return self.short_at[np.searchsorted(self.short, short)], list(map(self.long.__getitem__, long))
 
     def _of_plain(self, texts: list[str]) -> list[bytes]:
         """Texts of known characters, all pieces at once: each is looked up once and its ids are put where it stands."""
@@ -136,17 +157,12 @@ class WordEncoder:
         short = size <= 8
         eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
         keys, at = np.unique(eights[starts[short]] & KEEP_BYTES[size[short]], return_inverse=True)
-        rest = [raw[a:b] for a, b in zip(starts[~short].tolist(), ends[~short].tolist())]
-        names = list(dict.fromkeys(rest))
-        place = dict(zip(names, range(len(keys), len(keys) + len(names))))
+        short_at, long_at = self._places(keys, [raw[a:b] for a, b in zip(starts[~short].tolist(), ends[~short].tolist())])
         entry = np.empty(len(starts), np.int64)
-        entry[short], entry[~short] = at, [place[r] for r in rest]
-        found = self._known(keys.tolist() + names)
-        count = np.array([len(f) // 4 for f in found], np.int64)
-        flat = np.frombuffer(b"".join(found), "<u4")
-        n = count[entry]
+        entry[short], entry[~short] = short_at[at], long_at
+        n = self.count[entry]
         upto = np.concatenate([[0], np.cumsum(n)])
-        data = flat[np.repeat((np.cumsum(count) - count)[entry] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        data = self.ids[np.repeat(self.first[entry] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
         cut = (4 * upto[np.searchsorted(starts, first)]).tolist()
         return [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
@@ -224,7 +240,7 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[list[int], np.ndarray, n
             there = there[count_it]
         pairs = seq[there].astype(np.uint64) << np.uint64(32) | seq[there + 1]
         # A cell counts all pairs of one hash, so a pair in a cell below LEAST is rare; only the others are sorted.
-        bits = min(22, len(pairs).bit_length() + 2)
+        bits = min(18, len(pairs).bit_length() + 2)  # counts that fit a cache
         cell = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
         common = np.bincount(cell, minlength=1 << bits)[cell] >= LEAST
         there, pairs = there[common], pairs[common]

@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -272,6 +273,20 @@ def test_pieces_have_the_ids_of_the_library(monkeypatch):
     assert encoder.encode(long) == encoder._encode(long) and encoder.encode(texts) == want
 
 
+def test_known_pieces_take_few_bytes():
+    """What the encoder keeps of short pieces is arrays, not an object or two for each."""
+    encoder = token_store.WordEncoder(queries.tokenizer_path())
+    pieces = ["".join("abcdefghij"[int(d)] for d in f"{i * 37:06d}") for i in range(20_000)]
+    tracemalloc.start()
+    try:
+        encoder.encode([" ".join(pieces)])
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 80 * len(pieces)
+    assert encoder.encode(pieces[:50]) == encoder._encode(pieces[:50])
+
+
 def test_later_rounds_count_every_pair_that_is_frequent():
     """The grammar of a row is that of counting all pairs anew each round: after the last one, none is frequent."""
     rng = np.random.default_rng(11)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -49,6 +50,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system: Spark keeps workers for later tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends here, and lost executors take nothing with them."""
     path = new_path(df.sparkSession, name)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bedwise.llm.common import new_path
+from bedwise.llm.common import give_back, new_path
 
 END_ID = 2
 SHARD_IDS = 1 << 20
@@ -363,6 +363,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 [{"part": part, "seq": state["seq"], "before": state["before"], "n_ids": len(whole), "payload": pack(ids, sizes, whole, vocabulary)}], SCHEMA)
             state["seq"] += 1
             state["before"] += len(whole)
+            give_back()
             return row
 
         for batch in batches:
@@ -379,6 +380,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                         ids, sizes, parts, total = [], [], [], 0
         if ids:
             yield shard()
+        del ids, sizes, parts
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows.mapInArrow(run, "part int, seq int, before long, n_ids long, payload binary").write.parquet(path)
@@ -400,6 +403,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([part] * len(shard.sizes), pa.int32()), pa.array(shard.doc_ids, mask=~shard.known), pa.array(shard.starts[:-1] + before), pa.array(shard.sizes),
                     pa.array([zlib.crc32(data[4 * a:4 * b]) for a, b in zip(starts[:-1], starts[1:])], pa.int64()),
                 ], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+        give_back()
 
     shards = spark.read.schema("part int, seq int, before long, n_ids long, payload binary").parquet(path)
     # One row per written partition, never more.

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bedwise.llm import decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, pii, queries, suffix_dedup, token_store, toxicity, url_filter
+from bedwise.llm import common, decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, pii, queries, suffix_dedup, token_store, toxicity, url_filter
 from bedwise.llm.common import components, ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keys string, s string, size int, comp int"
@@ -287,6 +287,18 @@ def test_known_pieces_take_few_bytes():
     assert encoder.encode(pieces[:50]) == encoder._encode(pieces[:50])
 
 
+def test_freed_memory_leaves_the_worker():
+    def held():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1])
+
+    small = [bytes(60_000) for _ in range(2000)]
+    last = bytes(60_000)  # without a trim, what stands before it stays
+    full = held()
+    del small
+    common.give_back()
+    assert full - held() > 80_000 and last
+
+
 def test_later_rounds_count_every_pair_that_is_frequent():
     """The grammar of a row is that of counting all pairs anew each round: after the last one, none is frequent."""
     rng = np.random.default_rng(11)

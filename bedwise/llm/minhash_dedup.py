@@ -120,42 +120,61 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, set_id binary, keys array<long>, sketch array<long>")
 
 
-def member_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, grams binary): the full shingle sets of the wanted documents, and of few others.
-
-    A bitmap picks them while the texts are read, so no text is shuffled; what it lets through by chance falls out of the
-    joins that follow. Its size follows the number of ids up to BLOOM_BITS, enough for some ten million; beyond, more
-    sets pass it than are needed.
-    """
+def id_bitmap(ids: DataFrame, count: int):
+    """A bitmap of ``count`` ids, broadcast; a few others are in it too. Its size follows their number up to BLOOM_BITS."""
 
     def hashed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["k"])
 
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(ids.mapInArrow(hashed, "k long"), "k", bloom_bits(ids.count(), BLOOM_BITS)))
+    return ids.sparkSession.sparkContext.broadcast(bloom(ids.mapInArrow(hashed, "k long"), "k", bloom_bits(count, BLOOM_BITS)))
+
+
+def repeated_ids(rows: DataFrame):
+    """The bitmap of the ids that several rows share, None where no id is shared."""
+    ids = cut(rows.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "repeated")
+    count = ids.count()
+    found = id_bitmap(ids, count) if count else None
+    drop_table(rows.sparkSession, ids)
+    return found
+
+
+def member_sets(docs: DataFrame, ids: DataFrame, repeated=None) -> DataFrame:
+    """(id, grams binary): the full shingle sets of the wanted documents, and of few others; a table made by ``cut``.
+
+    A bitmap picks them while the texts are read, so no text is shuffled; what it lets through by chance falls out of the
+    joins that follow. It is enough for some ten million ids; beyond, more sets pass it than are needed.
+    Rows of one id with equal sets give one row, or else each would meet every partner of its id in the joins. Only sets of ids in
+    the bitmap ``repeated`` are compared for that.
+    """
+    wanted = id_bitmap(ids, ids.count())
 
     def run(batches):
         for batch in batches:
             some = pa.array(np.flatnonzero(in_bloom(wanted.value, mix(batch.column(0).to_numpy().view(np.uint64)))))
             batch = batch.take(some)
             for lo, hi, values, offsets in shingle_sets(batch.column(1)):
+                own = batch.column(0).slice(lo, hi - lo)
+                again = np.zeros(hi - lo, bool) if repeated is None else in_bloom(repeated.value, mix(own.to_numpy().view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()),
-                ], ["id", "grams"])
+                    own, pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()), pa.array(again),
+                ], ["id", "grams", "again"])
 
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return known.mapInArrow(run, "id long, grams binary")
+    sets = cut(known.mapInArrow(run, "id long, grams binary, again boolean"), "sets")
+    if repeated is None:
+        return sets.select("id", "grams")
+    return sets.where("NOT again").select("id", "grams").unionAll(cut(sets.where("again").select("id", "grams").distinct(), "sets"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, repeated=None) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
     A pair's second set goes once to every DEAL partners of it, so neither a popular document nor its partners meet in one task.
     """
     spark = docs.sparkSession
     ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = cut(member_sets(docs, ids), "sets")
+    sets = member_sets(docs, ids, repeated)
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts"))
     dealt = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a")
     partners = dealt.join(sets.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "grams")
@@ -264,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         met = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         return met.where(differing <= limit).select("a", "b")
 
-    spark = docs.sparkSession
+    spark, repeated = docs.sparkSession, repeated_ids(full)
     apart, links, before = buckets.withColumn("comp", F.col("id")), None, []
     for turn in range(STARS):
         # A centre per bucket, by one order for all buckets, so that most buckets name the same pairs.
@@ -272,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         centre = apart.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("c"))
         pairs = apart.join(centre, "key").where("comp <> c.comp").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
         tested = cut(likely(pairs), "pairs")
-        new = confirmed(docs, tested, percent)
+        new = confirmed(docs, tested, percent, repeated)
         drop_table(spark, tested)
         links = new if links is None else links.unionAll(new)
         comp = components(links)
@@ -285,7 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if apart.isEmpty():
             break
     else:
-        sets = cut(member_sets(docs, apart.select("id").distinct()), "sets")
+        sets = member_sets(docs, apart.select("id").distinct(), repeated)
         rows = apart.join(reps.select("id", "n", "keys", "sketch"), "id").join(sets, "id")
         links = links.unionAll(cut(across(rows.select("key", "id", "comp", "n", "keys", "sketch", "grams"), percent), "links"))
         drop_table(spark, sets)

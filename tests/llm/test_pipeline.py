@@ -68,6 +68,27 @@ def test_near_duplicates_are_decided_by_text(spark):
     assert found.where("text IS NULL").count() == 2 and found.where("doc_id IS NULL").count() == 1
 
 
+def test_copies_do_not_meet_every_partner_of_their_text(spark, monkeypatch):
+    """The join of pairs with full sets makes as many rows as there are pairs, however often a text is repeated."""
+    from bedwise.llm import minhash_dedup
+
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:k] + ["other"] + words[k + 1:]) for k in range(0, 120, 10)]
+    rows = [(i, t) for i, t in enumerate([" ".join(words)] * 60 + texts + [texts[3]] * 30 + ["a b c", "a b c"])]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    most, drop = [], minhash_dedup.drop_table
+
+    def dropped(spark, table):
+        if "grams" in table.columns:
+            most.append(max(r["count"] for r in table.groupBy("id").count().collect()))
+        drop(spark, table)
+
+    monkeypatch.setattr(minhash_dedup, "drop_table", dropped)
+    found = {r.doc_id for r in stage("minhash_near_dedup")(spark, docs, SF).collect()}
+    assert most and set(most) == {1}
+    assert found == {0, 102}
+
+
 def test_stages_of_empty_tables(spark):
     empty = rows_of(spark, [(1, "x")]).limit(0)
     for name in ("toxicity", "minhash_near_dedup", "benchmark_decontamination", "source_mixing", "token_files"):

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bedwise.sources.work import shared_dir
+from bedwise.sources.work import shared_dir, ship_package
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_shipped: set[str] = set()
-
-
 #: Rows of an Arrow batch: whole texts and shingle sets travel in them, and a batch of Spark's 10,000 can exceed a worker's memory.
 BATCH_ROWS = 1_000
 
@@ -35,19 +30,7 @@ def ship(spark: SparkSession) -> None:
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "bedwise_package.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+    ship_package(spark)
 
 
 def give_back() -> None:

@@ -1,5 +1,6 @@
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,62 @@ def test_runs_have_fewer_trees_the_more_rows_there_are(spark, monkeypatch):
     monkeypatch.setattr(L, "written", lambda *a: seen.append("write") or write(*a))
     L.predict(model, df).count()
     assert seen == ["load", "load", "write"] * 2
+
+
+def test_dealt_trees_are_the_same_however_rows_are_dealt(spark, tmp_path, monkeypatch):
+    """Nodes finished in a task, split by histograms of all tasks, in many blocks, or saved: one forest, and as good as MLlib's."""
+    from bedwise.plans import trees as T
+    from bedwise.sources.models import load_model, save_model
+
+    df = history(spark).withColumns({"dow": F.weekday("date"), "month": F.month("date"), "day": F.dayofmonth("date")})
+    columns, found = ["dow", "month", "day", "hospital_id"], []
+    mllib = L.train_model(df, columns, trees=12, depth=8)
+    monkeypatch.setattr(L, "MLLIB_ROWS", 0)
+    ran = []
+    monkeypatch.setattr(L.RandomForestRegressor, "fit", lambda self, rows: ran.append(1))
+    for rows in (10**6, 25):
+        monkeypatch.setattr(T, "NODE_ROWS", rows)
+        model = L.train_model(df, columns, trees=12, depth=8, rows_per_part=70)
+        forest = model.stages[-1]
+        assert isinstance(forest, L.DealtForest) and (forest.getNumTrees, forest.getOrDefault("maxDepth")) == (12, 8)
+        nodes = spark.read.parquet(f"{forest.parts[0]}/nodes")
+        assert nodes.select("tree").distinct().count() == 12 and (nodes.count() > 12) == (rows == 25)
+        again = load_model(spark, save_model(model, str(tmp_path / f"m{rows}")))
+        got = sorted((r["date"], r["hospital_id"], r["predicted_admissions"]) for r in L.predict(again, df).collect())
+        assert got == sorted((r["date"], r["hospital_id"], r["predicted_admissions"]) for r in L.predict(model, df).collect())
+        found.append((got, forest.importances))
+        assert sum(forest.importances) == pytest.approx(1) and min(forest.importances) >= 0
+    assert not ran and len(found[0][0]) == df.count()
+    assert [r[2] for r in found[0][0]] == pytest.approx([r[2] for r in found[1][0]])
+    # Where two features split the rows of a small node alike, either may be named.
+    a, b = ([*i[:3], i[3] + i[4]] for _, i in found)
+    assert a == pytest.approx(b, abs=5e-3)
+    r2, other = (L.evaluate_model(m, df).first()["r2"] for m in (model, mllib))
+    assert r2 > 0.95 and abs(r2 - other) < 0.03
+
+
+def test_nodes_finished_in_a_task_have_the_best_splits():
+    from bedwise.plans.trees import route, subtree
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, [3, 9, 30], (120, 3)).astype(np.uint8)
+    w = rng.integers(1, 4, 120).astype(np.uint8)
+    y = rng.normal(size=120) + 1000 + x[:, 1]
+
+    def grown(rows, depth):
+        """The value of each row, by trying all splits."""
+        weight, mean = w[rows].sum(), np.average(y[rows], weights=w[rows])
+        gain = lambda i: w[i].sum() * (np.average(y[i], weights=w[i]) - mean) ** 2
+        sides = [(rows[x[rows, f] <= c], rows[x[rows, f] > c]) for f in range(3) for c in np.unique(x[rows, f])[:-1]] if depth else []
+        sides = [s for s in sides if min(w[s[0]].sum(), w[s[1]].sum()) >= 2]
+        if not sides or weight < 4:
+            return {i: mean for i in rows.tolist()}
+        low, high = max(sides, key=lambda s: gain(s[0]) + gain(s[1]))
+        return grown(low, depth - 1) | grown(high, depth - 1)
+
+    for depth in (0, 1, 4, 20):
+        feature, cut, left, value, _ = subtree(x, y, w, depth, 2)
+        want = grown(np.arange(120), depth)
+        assert value[route(x, feature, cut, left)].tolist() == pytest.approx([want[i] for i in range(120)], rel=1e-12)
+    feature, _, _, value, gains = subtree(x, np.full(120, 0.1), w, 20, 2)
+    assert feature.tolist() == [-1] and value.tolist() == pytest.approx([0.1]) and not gains.any()

@@ -373,3 +373,16 @@ def test_nodes_finished_in_a_task_have_the_best_splits():
         assert value[route(x, feature, cut, left)].tolist() == pytest.approx([want[i] for i in range(120)], rel=1e-12)
     feature, _, _, value, gains = subtree(x, np.full(120, 0.1), w, 20, 2)
     assert feature.tolist() == [-1] and value.tolist() == pytest.approx([0.1]) and not gains.any()
+
+
+def test_bounds_of_bins_are_those_of_mllib(spark):
+    """Few values, a value that most rows have, and more values than are counted."""
+    from pyspark.ml.linalg import Vectors
+
+    from bedwise.plans import trees as T
+
+    assert T.bounds_between([(3.0, 1), (1.0, 5)], 4) == [2.0]
+    rows = [(Vectors.dense(float(k % 3), float(max(0, k - 600))), float(k > 700)) for k in range(1000)]
+    df = spark.createDataFrame(rows, ["features", "y"])
+    few, many = T.bin_bounds(df, "features", 8)
+    assert few == [0.5, 1.5] and len(many) == 7 and many[0] == 0.5 and len(set(many)) == 7
